@@ -13,6 +13,7 @@ longer than that has a block of its own.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -27,13 +28,19 @@ from pyspark.sql import Window as W
 
 from .common import scratch_path
 
-BLOCK_TOKENS = 4_000_000
+BLOCK_TOKENS = 2_000_000
 HEADER = struct.Struct("<4sIIQqBII")
 MAGIC = b"VTK1"
 SEPARATOR = b"\x01"
 CACHE_WORDS = 400_000
 CACHED_LENGTH = 64
 
+#: A plain word: letters that are their own normal form in lower case, and a full stop or comma after them.
+_PLAIN = re.compile("([a-zß-öø-ÿ]+)([.,]?)")
+#: Byte-level vocabularies write a byte that is no visible Latin-1 character as a character from 256 on.
+_SHOWN = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+_BYTE_LEVEL = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in set(_SHOWN))}
+
 _encoders: dict[str, WordEncoder] = {}
 
 
@@ -48,8 +55,9 @@ class WordEncoder:
     """Encodes whole texts with a tokenizer that never joins what ASCII white space separates.
 
     Such a tokenizer gives a text's ids as its words' ids in turn, so each new word is encoded once and kept as bytes (at
-    most CACHE_WORDS of them). New words go to the tokenizer in one string, with a separator word between them whose id
-    no other word yields; words that hold the separator or a special token are encoded alone.
+    most CACHE_WORDS of them). Where it lower-cases, ASCII letters are lowered first. Plain words of letters, which its
+    rules leave whole, go straight to its model; all other new words go to the tokenizer in one string, with a separator
+    word between them whose id no other word yields; words that hold the separator or a special token are encoded alone.
     """
 
     def __init__(self, path: str):
@@ -61,15 +69,33 @@ class WordEncoder:
         self.wide = self.tokenizer.get_vocab_size(with_added_tokens=True) > 1 << 16
         ids = self.tokenizer.encode(SEPARATOR.decode(), add_special_tokens=False).ids
         self.mark = ids[0] if len(ids) == 1 else None
+        self.plain = self._takes_plain_words()
+        self.stops = {s.encode(): self._alone(s.encode()) for s in ".,"}
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
 
+    def _takes_plain_words(self) -> bool:
+        """Whether plain words give the same ids from the model alone, tried on a few; only lower-casing tokenizers can."""
+        tried = ["abc", "naïve", "straßenfähig", "qzxv", "thstio", "ÿöø"]
+        return all(self.tokenizer.encode(x, add_special_tokens=False).ids == self._model_ids(w) for w in tried for x in (w, w.upper() if w.isascii() else w))
+
+    def _model_ids(self, word: str) -> list[int]:
+        return [t.id for t in self.tokenizer.model.tokenize(word if word.isascii() else word.encode().decode("latin-1").translate(_BYTE_LEVEL))]
+
     def _alone(self, word: bytes) -> bytes:
         return np.array(self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
 
     def _learn(self, words: list[bytes]) -> dict[bytes, bytes]:
         out, plain = {}, []
         for w in words:
-            if self.mark is None or len(w) > CACHED_LENGTH or SEPARATOR in w or any(s in w for s in self.special):
+            if self.plain and len(w) <= CACHED_LENGTH and (m := _PLAIN.fullmatch(w.decode("utf-8", "replace").lower())):
+                stem, stop = m[1].encode(), m[2].encode()
+                ids = self.known.get(stem) or out.get(stem)
+                if ids is None:
+                    out[stem] = ids = np.array(self._model_ids(m[1]), "<u4").tobytes()
+                if stop:
+                    ids = ids + self.stops[stop]
+                out[w] = ids
+            elif self.mark is None or len(w) > CACHED_LENGTH or SEPARATOR in w or any(s in w for s in self.special):
                 out[w] = self._alone(w)
             else:
                 plain.append(w)
@@ -92,7 +118,8 @@ class WordEncoder:
         known = self.known
         if len(known) > CACHE_WORDS:
             known.clear()
-        words = [t.split() for t in texts]
+        # special tokens are matched as they stand, so texts that may hold one keep their case
+        words = [(t.lower() if self.plain and b"<|" not in t else t).split() for t in texts]
         new: set[bytes] = set()
         for w in words:
             new.update(filterfalse(known.__contains__, w))
