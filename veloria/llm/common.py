@@ -48,14 +48,14 @@ def running_base(df: DataFrame, keys: list[str], order: str, size: str, block: s
     key. The second level has one row per key and block.
     """
     inner = W.partitionBy(*keys, block).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
-    blocks = df.groupBy(*keys, block).agg(F.sum(size).alias("_block_size"))
-    outer = (W.partitionBy(*keys) if keys else W.partitionBy()).orderBy(block).rowsBetween(W.unboundedPreceding, -1)
-    blocks = blocks.select(*keys, block, F.coalesce(F.sum("_block_size").over(outer), F.lit(0)).alias("_block_base"))
-    on = [df[k].eqNullSafe(blocks[k]) for k in [*keys, block]]
-    cond = on[0]
-    for c in on[1:]:
-        cond = cond & c
-    joined = df.join(blocks.hint("merge"), cond, "left").select(*[df[c] for c in df.columns], "_block_base")
+    names = {k: f"_b{i}" for i, k in enumerate([*keys, block])}
+    blocks = df.groupBy(*[F.col(k).alias(n) for k, n in names.items()]).agg(F.sum(size).alias("_block_size"))
+    outer = W.partitionBy(*[names[k] for k in keys]).orderBy(names[block]).rowsBetween(W.unboundedPreceding, -1)
+    blocks = blocks.select(*names.values(), F.coalesce(F.sum("_block_size").over(outer), F.lit(0)).alias("_block_base"))
+    on = F.lit(True)
+    for k, n in names.items():
+        on = on & F.col(k).eqNullSafe(F.col(n))
+    joined = df.join(blocks.hint("merge"), on, "left").drop(*names.values())
     own = F.coalesce(F.sum(size).over(inner), F.lit(0))
     return joined.withColumn("base", (F.col("_block_base") + own).cast("long")).drop("_block_base")
 

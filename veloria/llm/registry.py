@@ -6,17 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact, packing, simhash, tokens
+from . import ann, exact, html, langid, mixing, packing, simhash, tokens, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_files": tokens.op1_token_files,
         "op2_simhash": simhash.op2_simhash,
+        "op3_language_id": langid.op3_language_id,
+        "op4_main_text": html.op4_main_text,
         "op6_exact_dedup": exact.op6_exact_dedup,
+        "op7_nearest": ann.op7_nearest,
         "op8_pack_sequences": packing.op8_pack_sequences,
+        "op9_warc": warc.op9_warc,
+        "op10_mix_sources": mixing.op10_mix_sources,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_exact_dedup": exact.SQL}
+    return {"op6_exact_dedup": exact.SQL, "op7_nearest": ann.SQL, "op10_mix_sources": mixing.SQL}
