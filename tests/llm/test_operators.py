@@ -1,0 +1,405 @@
+"""The training-data operators against brute force, round trips and held-out accuracy, and on awkward rows."""
+
+import glob
+import re
+import zlib
+from collections import defaultdict
+
+import duckdb
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from veloria.llm import ann, components, exact, html, langid, linededup, mixing, packing, registry, simhash, tokens, warc
+from veloria.llm.common import scratch_path
+
+SF = "/root/testdata/sf0.001"
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet").limit(1000).cache()
+
+
+@pytest.fixture(scope="module")
+def awkward(spark):
+    """Null cells, empty and long texts, ties, repeated rows and columns whose names clash with the operators' own."""
+    long = " ".join(f"word{i % 977}" for i in range(60_000))
+    rows = [(1, "a b c d e", "en", "x"), (1, "a b c d e", "en", "x"), (2, None, None, None), (3, "", "en", "x"), (None, "a b c d e", "fr", None), (None, None, None, None), (4, long, "en", "y"), (5, long, None, "y"), (6, " \n\t ", "de", "z"), (-7, "a b c d e", "en", "x"), (9, "x" * 5000 + " <|endoftext|> é\x01", "en", "x"), (10, "12 34 !!", "en", "x")]
+    schema = "doc_id long, text string, lang string, source string"
+    extra = {c: F.lit(7) for c in ("size", "target", "passes", "_digest", "_keep", "fp", "root", "base", "block", "start", "score", "line_no", "words", "_size", "_base", "taken", "sid", "_own_sha")}
+    return spark.createDataFrame(rows, schema).withColumns(extra).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+def encoded(texts):
+    tok = tokens.encoder(tokens.tokenizer_path()).tokenizer
+    return [tok.encode(t or "", add_special_tokens=False).ids + [1] for t in texts]
+
+
+def crc(ids):
+    return zlib.crc32(np.array(ids, "<u4").tobytes())
+
+
+def test_elias_fano_selects():
+    rng = np.random.default_rng(1)
+    for values in (rng.integers(0, 10**9, 3000), np.arange(700), np.zeros(5, int), rng.integers(0, 3, 900), np.array([2**62])):
+        values = np.sort(values).astype(np.uint64)
+        ef = tokens.EliasFano.from_bytes(tokens.EliasFano.of(values).to_bytes())
+        assert (ef.values() == values).all()
+        for i in [0, len(values) - 1, *rng.integers(0, len(values), 50).tolist()]:
+            assert ef.select(i) == values[i]
+    assert len(tokens.EliasFano.of(np.array([], np.uint64)).values()) == 0
+
+
+def test_encoder_equals_the_tokenizer():
+    texts = ["Ab <|endoftext|>x <|EndOfText|> STRASSE Größe's don't DON'T", "ﬁ Å \x01 a\x01b naïve, ÀÉ.", "x y \x1c z 12ab 3.5,,", "", "x" * 3000, "ΣΑΣ İstanbul 漢字 ​", "we'll they're,' 'tis"]
+    got = tokens.encoder(tokens.tokenizer_path()).encode([t.encode() for t in texts])
+    assert [np.frombuffer(g, "<u4").tolist() + [1] for g in got] == encoded(texts)
+
+
+def test_token_files_round_trip(spark, docs, awkward, empty):
+    for table in (docs, awkward):
+        path = scratch_path(spark, "t")
+        tokens.write_token_files(table, path, tokens.tokenizer_path(), block_tokens=5000)
+        got = sorted(tokens.read_token_files(spark, path).collect(), key=lambda r: r.start)
+        rows = sorted(table.select("doc_id", "text").collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.text is not None, (r.text or "").encode()))
+        ids = encoded([r.text for r in rows])
+        starts = np.cumsum([0, *map(len, ids)])[:-1]
+        assert [(r.doc_id, s, len(i), crc(i)) for r, s, i in zip(rows, starts.tolist(), ids)] == [tuple(r) for r in got]
+    blocks = [tokens.TokenBlock(open(f, "rb").read()) for f in sorted(glob.glob(f"{path}/*.txt")) if len(open(f, "rb").read()) > 1]
+    flat = [blocks[0].document(i).tolist() for i in range(blocks[0].n_docs)]
+    assert flat == ids[: len(flat)]
+    path = scratch_path(spark, "t")
+    tokens.write_token_files(empty, path, tokens.tokenizer_path())
+    assert tokens.read_token_files(spark, path).count() == 0
+
+
+def brute_fingerprint(text):
+    import xxhash
+
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    grams = [" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))] if words else []
+    votes = [xxhash.xxh64_intdigest(g.encode(), 42) for g in grams]
+    return sum(1 << b for b in range(64) if sum(v >> b & 1 for v in votes) * 2 > len(votes)) if votes else 0
+
+
+def brute_components(fps):
+    """fps: list of (doc_id, fingerprint)."""
+    root = list(range(len(fps)))
+
+    def find(i):
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    for i in range(len(fps)):
+        for j in range(i):
+            if (fps[i][1] ^ fps[j][1]).bit_count() <= 3:
+                root[find(i)] = find(j)
+    least = defaultdict(list)
+    for i, (d, _) in enumerate(fps):
+        if d is not None:
+            least[find(i)].append(d)
+    return [(d, f"{f:016x}", min(least[find(i)], default=None)) for i, (d, f) in enumerate(fps)]
+
+
+def test_simhash_equals_brute_force(spark, docs, awkward, empty):
+    for table in (docs, awkward):
+        want = brute_components([(r.doc_id, brute_fingerprint(r.text)) for r in table.collect()])
+        got = [tuple(r) for r in simhash.near_duplicates(table).collect()]
+        assert sorted(map(str, got)) == sorted(map(str, want))
+    assert simhash.near_duplicates(empty).count() == 0
+    assert simhash.drop_near_copies(awkward).columns == awkward.columns
+
+
+@pytest.mark.parametrize("block_homes", [2, 1024])
+def test_anchor_links_join_clusters(spark, block_homes):
+    """Clusters of near fingerprints, dense enough to fill anchors; links join just what brute force joins."""
+    rng = np.random.default_rng(3)
+    values = {int(v) for v in rng.integers(0, 2**63, 40)}
+    for v in list(values)[:8]:
+        for _ in range(30):
+            w = v
+            for b in rng.integers(0, 64, rng.integers(1, 6)):
+                w ^= 1 << int(b)
+            values.add(w)
+    signed = [v - (1 << 64) if v >= 1 << 63 else v for v in sorted(values)]
+    links = simhash.near_links(spark.createDataFrame([(v,) for v in signed], "fp long"), block_homes=block_homes)
+    roots = dict(components.connected_components(links).collect())
+    want = brute_components([(v, v % (1 << 64)) for v in signed])
+    groups, expected = defaultdict(set), defaultdict(set)
+    for v, (_, _, c) in zip(signed, want):
+        groups[roots.get(v, v)].add(v)
+        expected[c].add(v)
+    assert sorted(map(sorted, groups.values())) == sorted(map(sorted, expected.values()))
+    assert links.count() < 40 * len(values)
+
+
+def test_components_of_paths_and_stars(spark):
+    edges = [(i, i + 1) for i in range(200)] + [(1000, 1000 + i) for i in range(1, 300)] + [(5000, 5000), (7001, 7000), (7001, 7000)]
+    got = dict(components.connected_components(spark.createDataFrame(edges, "u long, v long")).collect())
+    assert got == {i: 0 for i in range(201)} | {1000 + i: 1000 for i in range(300)} | {7000: 7000, 7001: 7000}
+    assert components.connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_language_is_recognised_on_held_out_rows(spark):
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = langid.fit_language_model(table, per_language=150)
+    rows = langid.identify(table, model).join(table.select("doc_id", "lang"), "doc_id").where("held_out").collect()
+    assert np.mean([r.lang == r.lang_pred for r in rows]) > 0.98
+    assert np.mean([r.rejected for r in rows]) < 0.02 and all(0 <= r.score <= 1 for r in rows)
+
+
+def test_language_of_awkward_rows(spark, awkward, empty):
+    model = langid.fit_language_model(awkward)
+    got = langid.identify(awkward, model)
+    assert got.count() == awkward.count()
+    none = got.join(awkward.select("doc_id", "text"), "doc_id").where("text IS NULL OR NOT rlike(text, '[a-zA-Z]')").collect()
+    assert none and all(r.lang_pred == "und" and r.score == 0 and r.rejected for r in none)
+    assert {r.lang_pred for r in langid.identify(awkward, langid.fit_language_model(empty)).collect()} == {"und"}
+    assert langid.identify(empty, model).count() == 0
+    assert langid.drop_unknown_languages(awkward).columns == awkward.columns
+
+
+PAGE = """<!DOCTYPE html><html><head><title>T</title><script>var t="</p>";</script><style>p{}</style></head><body class="has-sidebar"><header><h1>Site</h1></header>
+<nav><ul><li><a href="/a">Home</a></li><li><a href="/b">News</a></li></ul></nav><div class="cookie-notice">We use cookies on this site to make it better for you and others.</div>
+<article><h2>Big &amp; bold</h2><p><b>First   paragraph with
+ some words<br>and more of them, quite a few in fact.<p>Short one.</p><!-- <p>hidden</p> --><aside>Aside text that is here</aside><div class="ad">Buy now, this is an advert text</div>
+<p>Last a &lt; b &#233;t&eacute; and its end is near.</p><section id="comments"><p>I liked this article very much indeed, thank you for it.</p></section></article>
+<form><label>Mail</label><input><button>Go</button></form><footer>&copy; us, with a long line of legal text that nobody reads</footer></body></html>"""
+
+
+def test_main_text():
+    tree = html.train_tree()
+    x = np.array(html.LABELLED, float)
+    assert (tree.predict(x[:, :-1]) == x[:, -1]).all()
+    got = html.main_texts([PAGE, "", "<p>a", PAGE[:900], "<" * 300 + "plain", "<div hidden>" + "no " * 30 + "</div>"], tree)
+    assert got[0] == "Big & bold First paragraph with some words and more of them, quite a few in fact. Short one. Last a < b été and its end is near."
+    assert got[1] == "" and got[5] == ""
+
+
+def test_pages(spark, empty):
+    rows = [(1, "u", PAGE), (1, "u", PAGE), (2, None, None), (None, "v", ""), (3, "w", "<p>" + "lorem ipsum dolor " * 40_000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit(1)).withColumn("n_chars", F.lit(2))
+    got = {(r.page_id, r.url): r for r in html.extract_main_text(pages).collect()}
+    assert len(got) == 4 and got[2, None].text == "" and got[3, "w"].n_chars == 40_000 * 18 - 1
+    assert html.extract_main_text(pages.limit(0)).count() == 0
+    real = html.extract_main_text(spark.read.parquet(f"{SF}/pages.parquet")).join(spark.read.parquet(f"{SF}/pages.parquet").drop("url"), "page_id").collect()
+    for r in real:
+        inner = re.search("<article>(.*?)</article>", r.html, re.DOTALL)[1]
+        assert r.text.split() == __import__("html").unescape(re.sub("<[^>]*>", " ", inner)).split()
+
+
+def brute_lines(rows, t=0.8):
+    """rows: (doc_id, text); returns {doc_id: removed line numbers}."""
+    lines = sorted((d, i, frozenset(re.findall(r"[^\x20\x09-\x0D]+", x))) for d, text in rows for i, x in enumerate((text or "").split("\n")))
+    removed, distinct = defaultdict(list), {}
+    for d, i, s in lines:
+        if not s:
+            continue
+        if s in distinct:
+            removed[d].append(i)
+            continue
+        if any(len(s & o) >= t * len(s | o) - 1e-9 for o in distinct if min(len(s), len(o)) >= t * max(len(s), len(o)) - 1e-9):
+            removed[d].append(i)
+        distinct[s] = True
+    return removed
+
+
+def test_lines_equal_brute_force(spark, docs, awkward, empty):
+    rng = np.random.default_rng(2)
+    base = [[f"w{rng.zipf(1.3) % 5000}" for _ in range(n)] for n in (1, 2, 5, 5, 10, 20, 40, 200)]
+    near = []
+    for i in range(120):
+        words = list(base[i % len(base)])
+        for _ in range(rng.integers(0, 1 + len(words) // 6 + 1)):
+            words[rng.integers(0, len(words))] = f"n{rng.integers(0, 40)}"
+        near.append((i, "\n".join([" ".join(words), "", " ".join(rng.permutation(words))])))
+    made = spark.createDataFrame(near, "doc_id long, text string")
+    for table in (docs.select("doc_id", "text"), made):
+        rows = [tuple(r) for r in table.collect()]
+        want = brute_lines(rows)
+        got = {r.doc_id: r for r in linededup.repeated_lines(table).collect()}
+        assert len(got) == len(rows)
+        for d, text in rows:
+            assert got[d].n_lines == len((text or "").split("\n")) and list(got[d].removed_lines) == want[d], d
+    assert linededup.repeated_lines(awkward).count() == awkward.select("doc_id").distinct().count()
+    assert linededup.repeated_lines(empty).count() == 0
+    kept = {r.doc_id: r.text for r in linededup.drop_repeated_lines(made).collect()}
+    assert kept[0] == "\n".join(x for i, x in enumerate(near[0][1].split("\n")) if i not in brute_lines(near)[0])
+
+
+def test_exact_groups(spark, docs, awkward, empty):
+    rows = [(r.doc_id, r.text or "") for r in awkward.collect()]
+    got = exact.exact_groups(awkward).collect()
+    assert len(got) == len(rows)
+    import hashlib
+
+    by_text = defaultdict(list)
+    for d, x in rows:
+        by_text[hashlib.sha256(x.encode()).hexdigest()].append(d)
+    for r in got:
+        own = by_text[r.text_sha256]
+        assert r.group_size == len(own) and r.keep_id == max((d for d in own if d is not None), default=None) and r.kept == (r.doc_id == r.keep_id)
+    assert exact.exact_groups(empty).count() == 0 and exact.drop_exact_copies(docs).count() == docs.select("text").distinct().count()
+
+
+def test_nearest_equals_brute_force(spark):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(300, 8)).astype(np.float32)
+    x[10], x[11], x[12] = x[0] * 2, x[0], 0
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(x)] + [(300, None, 1), (350, [float("nan")] * 8, 1), (400, [1.0, None] + [0.0] * 6, 1), (450, [1e38] * 8, 1), (500, [1.0, 2.0], 1), (550, [2.0, 4.0], 1), (600, [], 1), (None, [1.0] * 8, 1)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>, rank int")
+    got = defaultdict(list)
+    for r in ann.nearest(table, tile_rows=64, query_rows=3).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r["rank"], r.vec_id, round(r.score, 12)))
+    vectors = {i: np.array(v, np.float64) for i, v, _ in rows if i is not None and v and None not in v and np.isfinite(v).all() and np.any(np.array(v))}
+    unit = {i: v / np.abs(v).max() for i, v in vectors.items()}
+    unit = {i: v / np.linalg.norm(v) for i, v in unit.items()}
+    for q in (i for i in unit if i % 50 == 0):
+        best = sorted((-round(float(unit[q] @ unit[c]), 12), c) for c in unit if c != q and len(unit[c]) == len(unit[q]))[:5]
+        assert [(k, c, s) for k, (s, c) in enumerate([(-s, c) for s, c in best], 1)] == [(k, c, s) for k, c, s in got[q]] or [-s for s, _ in best] == pytest.approx([s for _, _, s in got[q]], abs=1e-9)
+    assert [c for _, c, _ in got[0]][:2] == [10, 11] and ann.nearest(table.limit(0)).count() == 0
+
+
+def check_pack(rows, ids_of, sequence):
+    held = defaultdict(list)
+    pieces = defaultdict(list)
+    for r in rows:
+        held[r.sequence_id].append((r.offset, r.length))
+        pieces[r.doc_id, r.doc_tokens].append((r.start, r.length, r.ids_crc32))
+    for parts in held.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= sequence
+    return held, pieces
+
+
+def test_packing(spark, docs, awkward, empty):
+    held, pieces = check_pack(packing.pack_documents(docs, tokens.tokenizer_path(), group_pieces=50).collect(), None, 2048)
+    rows = docs.collect()
+    for r, ids in zip(rows, encoded([r.text for r in rows])):
+        assert sorted(pieces[r.doc_id, len(ids)]) == [(a, len(ids[a : a + 2048]), crc(ids[a : a + 2048])) for a in range(0, len(ids), 2048)]
+    total = sum(n for parts in held.values() for _, n in parts)
+    assert len(held) * 2048 < 1.1 * total
+    got = packing.pack_documents(awkward, tokens.tokenizer_path())
+    check_pack(got.collect(), None, 2048)
+    assert got.select(F.sum("length")).first()[0] == sum(map(len, encoded([r.text for r in awkward.collect()])))
+    assert packing.pack_documents(empty, tokens.tokenizer_path()).count() == 0
+
+
+def test_tournament_tree_is_first_fit():
+    rng = np.random.default_rng(4)
+    tree, bins = packing.TournamentTree(100), []
+    for size in rng.integers(1, 101, 500).tolist():
+        want = next((i for i, b in enumerate(bins) if b + size <= 100), len(bins))
+        if want == len(bins):
+            bins.append(0)
+        assert tree.place(size) == (want, bins[want])
+        bins[want] += size
+
+
+def test_warc_round_trip(spark):
+    rng = np.random.default_rng(5)
+    noise = [bytes(rng.integers(0, 256, 3000, dtype=np.uint8)).decode("latin-1") for _ in range(20)]
+    rows = [(i, f"http://h/{i}?a=b c\r\nX: y", noise[i % 20]) for i in range(60)] + [(100, None, None), (101, "u", ""), (None, "u", "only"), (103, "u", "x" * 20_000_000), (104, "u", "<p>é漢</p>"), (104, "u", "<p>é漢</p>")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("payload", F.lit(1)).withColumn("revisit", F.lit(1)).repartition(2)
+    path = scratch_path(spark, "w")
+    warc.write_warc(pages, path)
+    got = warc.read_warc(spark, path, range_bytes=700).collect()
+    assert len(got) == len(rows)
+    first = {}
+    for i, _, h in rows:
+        first[h or ""] = min((x for x in (first.get(h or ""), i) if x is not None), default=None)
+    text = {(i): (u, (h or "")) for i, u, h in rows}
+    for r in got:
+        url, h = text[r.page_id]
+        assert r.payload_bytes == len(h.encode()) and r.payload_digest == warc.digest_of(h.encode())
+        assert (r.record_type, r.refers_to) == (("response", None) if first[h] == r.page_id else ("revisit", first[h]))
+        assert r.payload == (h.encode() if r.record_type == "response" else None)
+    path = scratch_path(spark, "w")
+    warc.write_warc(pages, path, least=10)
+    assert {r.record_type for r in warc.read_warc(spark, path).collect() if r.payload_bytes < 10} == {"response"}
+    path = scratch_path(spark, "w")
+    warc.write_warc(pages.limit(0), path)
+    assert warc.read_warc(spark, path).count() == 0
+
+
+def test_range_reader_refuses_false_magic():
+    member = warc.warc_record(1, "u", b"payload", None, False)
+    data = b"\x1f\x8b\x08\x00junk" + member + b"\x1f\x8b\x08" + b"zz" * 50 + member
+    read = lambda at, n: data[at : at + n]
+    for step in (1, 7, 50, 10_000):
+        found = [x for at in range(0, len(data), step) for x in warc.records_in(read, len(data), at, min(len(data), at + step))]
+        assert len(found) == 2
+
+
+def test_mixing(spark, docs, awkward, empty):
+    for table in (docs, awkward):
+        rows = mixing.mix(table).collect()
+        assert len(rows) == table.count()
+        per = defaultdict(lambda: [0, 0, 0.0])
+        for r in rows:
+            assert r.taken <= 3 * r.size and (r.position is None) == (r.taken == 0)
+            per[r.source][0] += r.size
+            per[r.source][1] += r.taken
+            per[r.source][2] = r.target
+        largest = defaultdict(int)
+        for r in rows:
+            largest[r.source] = max(largest[r.source], r.size)
+        for s, (size, taken, target) in per.items():
+            assert target <= 3 * size + 1e-6 and abs(taken - target) <= largest[s]
+        assert sum(x[2] for x in per.values()) == pytest.approx(sum(x[0] for x in per.values()))
+        assert sorted(map(str, mixing.mix(table.repartition(5)).collect())) == sorted(map(str, rows))
+    stream = mixing.mixed_documents(docs)
+    assert stream.columns == docs.columns and stream.count() == sum(r.passes for r in mixing.mix(docs).collect())
+    assert mixing.mix(empty).count() == 0
+
+
+def test_curriculum_inverts_its_integral(spark):
+    slope = 0.5
+    rows = spark.range(0, 101).select((F.col("id") / 100).alias("p")).select("p", mixing.training_time(F.col("p"), F.lit(slope)).alias("t")).collect()
+    for p, t in rows:
+        assert t + slope * (t * t - t) == pytest.approx(p, abs=1e-12)
+
+
+@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
+def test_queries_equal_their_sql(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "embeddings", "pages"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    want = con.execute(registry.oracle_sql()[name]).df()
+    got = registry.queries()[name](spark, SF).toPandas()
+    columns = sorted(want.columns)
+    assert sorted(got.columns) == columns and len(got) == len(want)
+    key = lambda df: df[columns].sort_values(columns).reset_index(drop=True)
+    for c in columns:
+        assert key(got)[c].astype(str).tolist() == key(want)[c].astype(str).tolist(), c
+
+
+@pytest.mark.parametrize("name", sorted(registry.queries()))
+def test_queries_run(spark, name):
+    got = registry.queries()[name](spark, SF)
+    assert got.count() > 0 and not any(isinstance(f.dataType, T.NullType) for f in got.schema)
+
+
+def test_pipeline(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before = docs.count()
+        docs = stage(spark, docs, SF).cache()
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"] and (docs.count() <= before or name == "mixing")
+    held, pieces = check_pack(corpus_pipeline.run(spark, SF).collect(), None, 2048)
+    assert {d for d, _ in pieces} == {r.doc_id for r in docs.collect()}

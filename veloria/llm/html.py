@@ -27,7 +27,9 @@ LABELLED = [
     (2, 0.0, 50, 0.0, 70, 0.0, 1, 0, 0, 0, 1), (1, 0.0, 12, 0.0, 8, 1.0, 1, 0, 0, 0, 1), (33, 0.3, 8, 1.0, 4, 0.0, 1, 0, 0, 0, 1),
     (5, 0.0, 7, 0.0, 9, 0.0, 1, 0, 0, 0, 1), (3, 0.0, 10, 0.0, 0, 0.0, 1, 0, 0, 0, 1), (150, 0.1, 0, 0.0, 0, 0.0, 1, 0, 0, 0, 1),
     (20, 0.45, 40, 0.0, 35, 0.0, 1, 0, 0, 0, 1), (6, 0.5, 30, 0.0, 45, 0.0, 1, 0, 0, 0, 1), (8, 1.0, 60, 0.0, 50, 0.0, 1, 0, 0, 0, 1),
+    (1, 0.0, 1, 0.0, 9, 0.0, 1, 0, 0, 0, 1), (4, 0.0, 4, 0.0, 7, 0.0, 1, 0, 0, 0, 1), (2, 0.0, 2, 0.0, 20, 0.0, 1, 0, 0, 0, 1), (7, 0.0, 3, 0.0, 5, 1.0, 1, 0, 0, 0, 1), (3, 0.5, 2, 1.0, 2, 1.0, 1, 0, 0, 0, 1),
     # headings inside articles
+    (1, 0.0, 9, 0.0, 1, 0.0, 1, 0, 0, 1, 1), (2, 0.0, 3, 1.0, 2, 0.0, 1, 0, 0, 1, 1), (5, 0.0, 25, 0.0, 5, 0.0, 1, 0, 0, 1, 1), (3, 0.0, 1, 1.0, 4, 0.0, 1, 0, 0, 1, 1),
     (10, 0.0, 7, 0.0, 50, 0.0, 1, 0, 0, 1, 1), (4, 0.0, 60, 0.0, 40, 0.0, 1, 0, 0, 1, 1), (11, 0.0, 0, 0.0, 90, 0.0, 1, 0, 0, 1, 1), (9, 1.0, 6, 1.0, 44, 0.0, 1, 0, 0, 1, 1),
     (8, 0.0, 5, 1.0, 60, 0.0, 1, 1, 0, 1, 0), (7, 0.0, 5, 0.0, 9, 0.0, 1, 0, 1, 1, 0), (3, 0.0, 40, 0.0, 20, 1.0, 1, 0, 1, 1, 0),
     # link lists inside articles
@@ -45,6 +47,13 @@ LABELLED = [
     (3, 1.0, 3, 1.0, 40, 0.0, 0, 0, 0, 0, 0), (2, 0.0, 2, 1.0, 3, 1.0, 0, 0, 0, 0, 0), (4, 0.0, 3, 1.0, 2, 1.0, 0, 0, 0, 0, 0), (30, 0.9, 6, 1.0, 28, 1.0, 0, 0, 0, 0, 0), (5, 0.0, 4, 0.0, 4, 0.0, 0, 0, 0, 0, 0),
     (9, 0.8, 30, 0.0, 10, 0.9, 0, 0, 0, 0, 0), (4, 1.0, 60, 0.0, 2, 1.0, 0, 0, 0, 0, 0), (3, 0.0, 2, 1.0, 4, 1.0, 0, 0, 0, 1, 0), (6, 0.0, 50, 0.0, 5, 1.0, 0, 0, 0, 1, 0),
 ]
+#: Blocks of every length, beside blocks of every length: main text in articles, boilerplate in what is set apart by its tag
+#: or name, and elsewhere main text if they are long or stand by long ones.
+LABELLED += [
+    (words, 0.0, before, 0.0, after, 0.0, article, region, named, heading, int(not region and not named and (article or words >= 15 or (words >= 4 and max(before, after) >= 60))))
+    for words in (1, 4, 30, 95) for before in (0, 12, 70) for after in (0, 4, 60) for heading in (0, 1)
+    for article, region, named in ((1, 0, 0), (0, 0, 0), (0, 1, 0), (0, 0, 1), (1, 1, 0), (1, 0, 1))
+]
 
 #: Elements whose content is no page text at all.
 DROPPED = "script style noscript template svg iframe object canvas textarea select title head button audio video math map datalist".split()

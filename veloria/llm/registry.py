@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, exact, html, langid, mixing, packing, simhash, tokens, warc
+from . import ann, exact, html, langid, linededup, mixing, packing, simhash, tokens, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_simhash": simhash.op2_simhash,
         "op3_language_id": langid.op3_language_id,
         "op4_main_text": html.op4_main_text,
+        "op5_line_dedup": linededup.op5_line_dedup,
         "op6_exact_dedup": exact.op6_exact_dedup,
         "op7_nearest": ann.op7_nearest,
         "op8_pack_sequences": packing.op8_pack_sequences,
