@@ -161,12 +161,18 @@ def _remainder():
 def training_sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
     """(doc_id, lang, part): stretches of at most ``per_language`` labelled documents of each language.
 
-    Documents whose crc32(doc_id) mod 4 is 2 are left out. The choice is by hash of doc_id: reruns agree. Only the ids
-    are ranked over the whole table; the texts follow for the chosen ones.
+    Documents whose crc32(doc_id) mod 4 is 2 are left out. The choice is by hash of doc_id: reruns agree. Only
+    hashes and ids are looked at over the whole table; the texts follow for the chosen ones.
     """
-    rank = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id"))
-    labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (_remainder() != 2)).select(F.col("doc_id"), F.col("lang"))
-    chosen = materialise(labelled.withColumn("_rank", rank).where(F.col("_rank") <= per_language).select("doc_id").distinct(), "language-sample")
+    order = F.xxhash64("doc_id", F.lit(11))
+    rank = F.row_number().over(W.partitionBy("lang").orderBy("_order", "doc_id"))
+    labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (_remainder() != 2)).select(F.col("doc_id"), F.col("lang"), order.alias("_order"))
+    counts = materialise(labelled.groupBy(F.col("lang").alias("_lang")).agg(F.count(F.lit(1)).alias("_n")), "language-counts")
+    # a slice of the hashes holds about three times the sample, so that the ranking sees few rows of a frequent language
+    share = F.least(F.lit(1.0), F.lit(3.0 * per_language) / F.col("_n"))
+    near = labelled.join(counts.hint("broadcast" if counts.count() <= MOST_LANGUAGES else "merge"), F.col("lang") == F.col("_lang"))
+    near = near.where(F.col("_order") < (share * 2 - 1) * F.lit(float(1 << 63)))
+    chosen = materialise(near.withColumn("_rank", rank).where(F.col("_rank") <= per_language).select("doc_id").distinct(), "language-sample")
     small = chosen.count() <= per_language * MOST_LANGUAGES
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
     rows = rows.join(chosen.hint("broadcast" if small else "merge"), "doc_id", "left_semi")
