@@ -3,7 +3,7 @@
 A line's set are the distinct words in it, as 64-bit hashes. A line is removed if an earlier line, by (doc_id, line
 number), has a set whose Jaccard similarity to its own is ``threshold`` or more.
 
-1. Rarity: words are counted in 2^18 hash buckets over all lines; a bucket's rounded logarithm is its words' rarity.
+1. Rarity: words are counted in 2^18 hash buckets over all texts; a bucket's rounded logarithm is its words' rarity.
 2. Equal sets fall together by their digests; the earliest line stands for them. Its set is ordered by (rarity, hash), and
    only the first n - ceil(threshold n) + 1 words, the prefix, are looked up: similar sets share a word of their prefixes.
 3. A semi join on prefix words leaves sets that have a possible partner by length, by the words' places in the sets and by
@@ -17,39 +17,37 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import GAP_CLASS, materialise
+from .common import GAP_CLASS, WORD_CLASS, materialise
 
 THRESHOLD = 0.8
 BUCKETS = 1 << 18
-SENT_DOCS = 1_000_000
+SENT_LINES = 1_000_000
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, line_no, words): every line and the distinct hashes of its words."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n", -1)).alias("line_no", "line"))
-    return rows.select("doc_id", "line_no", _words(F.col("line")).alias("words"))
-
-
-def _words(line: Column) -> Column:
-    return F.array_distinct(F.transform(F.filter(F.split(line, GAP_CLASS), lambda w: w != ""), lambda w: F.xxhash64(w)))
+    """(doc_id, line_no, line) of every line."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n", -1)).alias("line_no", "line"))
 
 
 def _bucket(word: Column) -> Column:
     return word.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
 
 
-def rarity_levels(lines: DataFrame) -> bytes:
+def rarity_levels(docs: DataFrame) -> bytes:
     """One byte for each bucket: four times the binary logarithm of the number of words that fell in it. Of fixed size."""
-    counts = lines.select(F.explode("words").alias("word")).groupBy(_bucket(F.col("word")).alias("bucket")).count().toPandas()
+    words = docs.select(F.explode(F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), GAP_CLASS)).alias("word"))
+    counts = words.groupBy(_bucket(F.xxhash64("word")).alias("bucket")).count().toPandas()
     levels = np.zeros(BUCKETS, np.uint8)
-    levels[counts["bucket"].to_numpy(np.int64)] = np.minimum(255, np.rint(4 * np.log2(counts["count"].to_numpy(np.float64))) + 1)
+    levels[counts["bucket"].to_numpy(np.int64)] = np.minimum(127, np.rint(4 * np.log2(counts["count"].to_numpy(np.float64))) + 1)
     return levels.tobytes()
 
 
-def _ordered(words: Column, levels: bytes) -> Column:
-    """The set by rising (rarity, hash)."""
+def _ordered(line: Column, levels: bytes) -> Column:
+    """The line's set by rising rarity: distinct word hashes with the rarity in place of their upper byte."""
     known = F.lit(bytearray(levels))
-    return F.transform(F.array_sort(F.transform(words, lambda w: F.struct(F.substring(known, _bucket(w) + 1, F.lit(1)).alias("level"), w.alias("word")))), lambda x: x["word"])
+    hashes = F.transform(F.array_remove(F.split(line, GAP_CLASS), ""), lambda w: F.xxhash64(w))
+    level = lambda h: F.ascii(F.substring(known, _bucket(h) + 1, F.lit(1)).cast("string")).cast("long")
+    return F.sort_array(F.array_distinct(F.transform(hashes, lambda h: F.shiftleft(level(h), 56).bitwiseOR(F.shiftrightunsigned(h, 8)))))
 
 
 def _needed(a: Column, b: Column, t: float) -> Column:
@@ -67,77 +65,81 @@ def _sketch(words: Column) -> Column:
     return F.aggregate(words, F.lit(0).cast("long"), lambda acc, w: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), bit(w))))
 
 
-def line_sets(lines: DataFrame, levels: bytes, t: float) -> DataFrame:
-    """One row per distinct set: its digests a and b, its earliest line, size n, sketch and prefix."""
-    words = F.sort_array("words")
-    rows = lines.where(F.size("words") > 0).select("doc_id", "line_no", "words", F.xxhash64(words).alias("a"), F.xxhash64(F.lit(7), words).alias("b"), F.size("words").alias("n"))
-    prefix = F.slice(_ordered(F.col("words"), levels), 1, _prefix(F.col("n"), t))
-    rows = rows.select("a", "b", F.struct("doc_id", "line_no", "n", _sketch(F.col("words")).alias("sketch"), prefix.alias("prefix")).alias("line"))
-    sets = rows.groupBy("a", "b").agg(F.min("line").alias("line")).select("a", "b", "line.*")
+def line_sets(docs: DataFrame, levels: bytes, t: float) -> DataFrame:
+    """One row per distinct set: its digests a and b, its earliest line, size n, sketch and prefix (32 bits of each word)."""
+    rows = _lines(docs).where(F.col("line").rlike(WORD_CLASS)).select("doc_id", "line_no", _ordered(F.col("line"), levels).alias("words"))
+    rows = rows.select("doc_id", "line_no", "words", F.xxhash64("words").alias("a"), F.xxhash64(F.lit(7), "words").alias("b"), F.size("words").alias("n"))
+    prefix = F.transform(F.slice("words", 1, _prefix(F.col("n"), t)), lambda w: w.bitwiseAND(F.lit(0xFFFFFFFF)).cast("long").bitwiseXOR(F.lit(1 << 31)).cast("long") - F.lit(1 << 31))
+    rows = rows.select("a", "b", F.struct("doc_id", "line_no", "n", _sketch(F.col("words")).alias("sketch"), prefix.cast("array<int>").alias("prefix")).alias("line"))
+    sets = rows.groupBy("a", "b").agg(F.min("line").alias("line")).select("line.*")
     return materialise(sets.withColumn("sid", F.monotonically_increasing_id()), "line-sets")
 
 
-def _looked_up(sets: DataFrame, *more: str) -> DataFrame:
-    """A row for each word of a set's prefix, with the word's place in the set."""
-    return sets.select("sid", "n", *more, F.posexplode("prefix").alias("place", "word"))
+#: Sizes and places beyond these count as these in the first look-up, which only makes its filters weaker.
+_MOST_WORDS, _MOST_PLACE = (1 << 18) - 1, (1 << 14) - 1
 
 
-def _renamed(df: DataFrame) -> DataFrame:
-    return df.select(*[F.col(c).alias(f"o_{c}") for c in df.columns])
+def _fits(n: Column, m: Column, place: Column, other: Column, t: float) -> Column:
+    """Length and positional filter."""
+    return (F.least(n, m) >= F.greatest(n, m) * F.lit(t) - F.lit(1e-9)) & (F.least(n - place, m - other) >= _needed(n, m, t))
 
 
-def _fits(t: float) -> Column:
-    """Length and positional filter."""
-    n, m = F.col("n"), F.col("o_n")
-    shorter, longer = F.least(n, m), F.greatest(n, m)
-    left = F.least(n - F.col("place"), m - F.col("o_place"))
-    return (shorter >= longer * F.lit(t) - F.lit(1e-9)) & (left >= _needed(n, m, t))
+def possible_sets(sets: DataFrame, t: float) -> DataFrame:
+    """sid of every set that may have a similar one. An entry is a word with the set's size and its place, in one number."""
+    entries = sets.select("sid", "sketch", F.least(F.col("n"), F.lit(_MOST_WORDS)).cast("long").alias("n"), F.posexplode("prefix").alias("place", "word"))
+    entry = F.shiftleft(F.col("word").cast("long"), 32).bitwiseOR(F.shiftleft(F.col("n"), 14)).bitwiseOR(F.least(F.col("place"), F.lit(_MOST_PLACE)).cast("long"))
+    entries = entries.select(entry.alias("entry"), "sid", "sketch")
+    word = lambda side: F.shiftright(F.col(f"{side}.entry"), 32)
+    size = lambda side: F.shiftright(F.col(f"{side}.entry"), 14).bitwiseAND(F.lit(_MOST_WORDS))
+    place = lambda side: F.col(f"{side}.entry").bitwiseAND(F.lit(_MOST_PLACE))
+    n, m = size("x"), size("y")
+    differ = n + m - F.lit(2) * _needed(n, m, t)
+    near = (word("x") == word("y")) & (F.col("x.sid") != F.col("y.sid")) & _fits(n, m, place("x"), place("y"), t) & (F.bit_count(F.col("x.sketch").bitwiseXOR(F.col("y.sketch"))) <= differ)
+    return entries.alias("x").join(entries.alias("y").hint("merge"), near, "left_semi").select("sid").distinct()
 
 
 def removed_sets(docs: DataFrame, sets: DataFrame, levels: bytes, t: float) -> DataFrame:
     """sid of every set that has an earlier similar one."""
-    entries = _looked_up(sets, "sketch")
-    others = _renamed(entries)
-    differ = F.col("n") + F.col("o_n") - F.lit(2) * _needed(F.col("n"), F.col("o_n"), t)
-    near = (F.col("word") == F.col("o_word")) & (F.col("sid") != F.col("o_sid")) & _fits(t) & (F.bit_count(F.col("sketch").bitwiseXOR(F.col("o_sketch"))) <= differ)
-    possible = materialise(entries.join(others.hint("merge"), near, "left_semi").select("sid").distinct(), "possible-lines")
-    found = sets.join(possible.hint("merge"), "sid", "left_semi").select("sid", "doc_id", "line_no", "n")
-    by_doc = materialise(found.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_list(F.struct("sid", "line_no", "n")).alias("_found")), "possible-documents")
-    how = "broadcast" if by_doc.count() <= SENT_DOCS and (by_doc.agg(F.sum(F.size("_found"))).first()[0] or 0) <= SENT_DOCS else "merge"
+    possible = materialise(possible_sets(sets, t), "possible-lines")
+    found = sets.join(possible.hint("merge"), "sid", "left_semi").select("sid", "doc_id", "line_no")
+    by_doc = materialise(found.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_list(F.struct("sid", "line_no")).alias("_found")), "possible-documents")
+    held = by_doc.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("_found")), F.lit(0))).first()
+    how = "broadcast" if max(held) <= SENT_LINES else "merge"
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(by_doc.hint(how), F.col("doc_id").eqNullSafe(F.col("_doc")))
-    rows = texts.select("doc_id", F.split("text", "\n", -1).alias("lines"), F.explode("_found").alias("f")).select("doc_id", "f.sid", "f.line_no", "f.n", F.get("lines", F.col("f.line_no")).alias("line"))
-    rows = rows.select("sid", "doc_id", "line_no", "n", _ordered(_words(F.coalesce("line", F.lit(""))), levels).alias("words")).where(F.size("words") == F.col("n"))
-    full = materialise(rows.dropDuplicates(["sid"]), "possible-sets")
-    entries = _looked_up(full.withColumn("prefix", F.slice("words", 1, _prefix(F.col("n"), t))).withColumn("at", F.struct("doc_id", "line_no")), "at", "words")
-    others = _renamed(entries)
-    shared = F.size(F.array_intersect("words", "o_words"))
-    same = (F.col("word") == F.col("o_word")) & (F.col("o_at") < F.col("at")) & _fits(t) & (shared >= _needed(F.col("n"), F.col("o_n"), t))
-    return entries.join(others.hint("merge"), same, "left_semi").select("sid").distinct()
+    rows = texts.select("doc_id", F.split("text", "\n", -1).alias("lines"), F.explode("_found").alias("f")).select("doc_id", "f.sid", "f.line_no", F.get("lines", F.col("f.line_no")).alias("line"))
+    rows = rows.select("sid", F.struct("doc_id", "line_no").alias("at"), _ordered(F.coalesce("line", F.lit("")), levels).alias("words"))
+    full = materialise(rows.withColumn("n", F.size("words")).where("n > 0"), "possible-sets")
+    entries = full.select("sid", "at", "n", "words", F.posexplode(F.slice("words", 1, _prefix(F.col("n"), t))).alias("place", "word"))
+    x, y = (lambda c: F.col(f"x.{c}")), (lambda c: F.col(f"y.{c}"))
+    shared = F.size(F.array_intersect(x("words"), y("words")))
+    same = (x("word") == y("word")) & (y("at") < x("at")) & _fits(x("n"), y("n"), x("place"), y("place"), t) & (shared >= _needed(x("n"), y("n"), t))
+    return entries.alias("x").join(entries.alias("y").hint("merge"), same, "left_semi").select("sid").distinct()
 
 
 def repeated_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, n_lines, removed_lines) for every document; removed_lines are line numbers from 0, ascending.
+    """(doc_id, n_lines, removed_lines) for every row of ``docs``; removed_lines are line numbers from 0, ascending.
 
-    Lines end at newlines. Lines without words are never removed; null texts are one empty line. Rows that share a doc_id
-    (null as well) are read as one document, and lines at one place do not remove each other. Other columns are ignored;
-    an empty table gives no rows.
+    Lines end at newlines. Lines without words are never removed; null texts are one empty line. A place (doc_id, line
+    number) keeps its line if it is the earliest of a set without an earlier similar one, so rows that share a doc_id (null
+    as well) do not remove each other's lines at one place. Other columns are ignored; an empty table gives no rows.
     """
-    lines = _lines(docs)
-    levels = rarity_levels(lines)
-    sets = line_sets(lines, levels, threshold)
-    removed = materialise(removed_sets(docs, sets, levels, threshold), "removed-lines").withColumn("removed", F.lit(True))
-    known = sets.join(removed.hint("merge"), "sid", "left").select("a", "b", F.col("doc_id").alias("_doc"), F.col("line_no").alias("_line"), F.coalesce("removed", F.lit(False)).alias("removed"))
-    words = F.sort_array("words")
-    own = lines.select("doc_id", "line_no", F.xxhash64(words).alias("a"), F.xxhash64(F.lit(7), words).alias("b"))
-    marked = own.join(known.hint("merge"), ["a", "b"], "left")
-    first = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("line_no") == F.col("_line"))
-    gone = F.col("removed").isNotNull() & (F.col("removed") | ~first)
-    return marked.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_lines"), F.array_sort(F.collect_list(F.when(gone, F.col("line_no")))).alias("removed_lines"))
+    levels = rarity_levels(docs)
+    sets = line_sets(docs, levels, threshold)
+    removed = removed_sets(docs, sets, levels, threshold)
+    kept = sets.select("sid", "doc_id", "line_no").join(removed.hint("merge"), "sid", "left_anti")
+    kept = kept.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_list("line_no").alias("_kept"))
+    lines = F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n", -1)
+    worded = F.array_compact(F.transform(lines, lambda x, i: F.when(x.rlike(WORD_CLASS), i)))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.size(lines).cast("long").alias("n_lines"), worded.alias("_worded"))
+    joined = rows.join(kept.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_doc")), "left")
+    gone = F.sort_array(F.array_except("_worded", F.coalesce("_kept", F.array().cast("array<int>"))))
+    return joined.select("doc_id", "n_lines", gone.alias("removed_lines"))
 
 
 def drop_repeated_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` with their repeated lines taken out of text."""
     gone = repeated_lines(docs, threshold).where(F.size("removed_lines") > 0).select(F.col("doc_id").alias("_doc"), "removed_lines")
+    gone = gone.groupBy("_doc").agg(F.max("removed_lines").alias("removed_lines"))
     joined = docs.join(gone.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_doc")), "left")
     kept = F.filter(F.split("text", "\n", -1), lambda line, i: ~F.array_contains("removed_lines", i))
     return joined.withColumn("text", F.when(F.col("removed_lines").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))).select(*docs.columns)
