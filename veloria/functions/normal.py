@@ -36,5 +36,5 @@ def log_clip(x: Column, most: float) -> Column:
 
 
 def fit_bounds(df: DataFrame, columns: list[str]) -> DataFrame:
-    """One row with min_<c> and max_<c> of every column, by one aggregate."""
-    return df.agg(*[f(F.col(c).cast("double")).alias(f"{n}_{c}") for c in columns for f, n in ((F.min, "min"), (F.max, "max"))])
+    """One row with min_<c> and max_<c> of every column, by one aggregate; 0 for a column without values."""
+    return df.agg(*[F.coalesce(f(F.col(c).cast("double")), F.lit(0.0)).alias(f"{n}_{c}") for c in columns for f, n in ((F.min, "min"), (F.max, "max"))])

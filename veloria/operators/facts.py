@@ -18,7 +18,8 @@ def sentiment(posts: DataFrame, as_of: Column, days: int = 30) -> DataFrame:
 def mentions(posts: DataFrame, names: DataFrame) -> DataFrame:
     """(name, posts): posts that have the name among their words; each post counts once for a name."""
     words = posts.select("post_id", F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"))).alias("name"))
-    return words.join(F.broadcast(names.select(F.lower("name").alias("name")).distinct()), "name").groupBy("name").agg(F.count(F.lit(1)).alias("posts"))
+    counts = words.groupBy("name").agg(F.count(F.lit(1)).alias("posts"))  # combines on the map side, before any join
+    return counts.join(names.select(F.lower("name").alias("name")).distinct().hint("merge"), "name")
 
 
 def search_index(events: DataFrame) -> DataFrame:
