@@ -16,8 +16,8 @@ import os
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
-from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -31,12 +31,11 @@ from .common import scratch_path
 BLOCK_TOKENS = 2_000_000
 HEADER = struct.Struct("<4sIIQqBII")
 MAGIC = b"VTK1"
-SEPARATOR = b"\x01"
 CACHE_WORDS = 400_000
 CACHED_LENGTH = 64
 
-#: A plain word: letters that are their own normal form in lower case, and a full stop or comma after them.
-_PLAIN = re.compile("([a-zß-öø-ÿ]+)([.,]?)")
+#: A plain word: letters that are their own normal form in lower case, and marks after them.
+_PLAIN = re.compile("([a-zß-öø-ÿ]+)([.,;:!?]*)")
 #: Byte-level vocabularies write a byte that is no visible Latin-1 character as a character from 256 on.
 _SHOWN = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
 _BYTE_LEVEL = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in set(_SHOWN))}
@@ -51,84 +50,65 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
-class WordEncoder:
+class WordEncoder(dict):
     """Encodes whole texts with a tokenizer that never joins what ASCII white space separates.
 
-    Such a tokenizer gives a text's ids as its words' ids in turn, so each new word is encoded once and kept as bytes (at
-    most CACHE_WORDS of them). Where it lower-cases, ASCII letters are lowered first. Plain words of letters, which its
-    rules leave whole, go straight to its model; all other new words go to the tokenizer in one string, with a separator
-    word between them whose id no other word yields; words that hold the separator or a special token are encoded alone.
+    Such a tokenizer gives a text's ids as its words' ids in turn, so each new word is encoded once and kept as bytes: this
+    is a dictionary from words to ids that fills itself. It has two generations of CACHE_WORDS at most; what is used again
+    moves to the young one. Where the tokenizer lower-cases, ASCII letters are lowered first. Plain words of letters, which
+    its rules leave whole, go straight to its model, and marks after them are encoded once; all other words go through the
+    whole tokenizer.
     """
 
     def __init__(self, path: str):
+        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+        self.marks: dict[str, bytes] = {"": b""}
         self.wide = self.tokenizer.get_vocab_size(with_added_tokens=True) > 1 << 16
-        ids = self.tokenizer.encode(SEPARATOR.decode(), add_special_tokens=False).ids
-        self.mark = ids[0] if len(ids) == 1 else None
         self.plain = self._takes_plain_words()
-        self.stops = {s.encode(): self._alone(s.encode()) for s in ".,"}
-        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+
+    def _alone(self, word: str) -> bytes:
+        return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+
+    def _model_ids(self, word: str) -> list[int]:
+        return [t.id for t in self.tokenizer.model.tokenize(word if word.isascii() else word.encode().decode("latin-1").translate(_BYTE_LEVEL))]
 
     def _takes_plain_words(self) -> bool:
         """Whether plain words give the same ids from the model alone, tried on a few; only lower-casing tokenizers can."""
         tried = ["abc", "naïve", "straßenfähig", "qzxv", "thstio", "ÿöø"]
         return all(self.tokenizer.encode(x, add_special_tokens=False).ids == self._model_ids(w) for w in tried for x in (w, w.upper() if w.isascii() else w))
 
-    def _model_ids(self, word: str) -> list[int]:
-        return [t.id for t in self.tokenizer.model.tokenize(word if word.isascii() else word.encode().decode("latin-1").translate(_BYTE_LEVEL))]
-
-    def _alone(self, word: bytes) -> bytes:
-        return np.array(self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _learn(self, words: list[bytes]) -> dict[bytes, bytes]:
-        out, plain = {}, []
-        for w in words:
-            if self.plain and len(w) <= CACHED_LENGTH and (m := _PLAIN.fullmatch(w.decode("utf-8", "replace").lower())):
-                stem, stop = m[1].encode(), m[2].encode()
-                ids = self.known.get(stem) or out.get(stem)
-                if ids is None:
-                    out[stem] = ids = np.array(self._model_ids(m[1]), "<u4").tobytes()
-                if stop:
-                    ids = ids + self.stops[stop]
-                out[w] = ids
-            elif self.mark is None or len(w) > CACHED_LENGTH or SEPARATOR in w or any(s in w for s in self.special):
-                out[w] = self._alone(w)
-            else:
-                plain.append(w)
-        for i in range(0, len(plain), 1000):
-            part = plain[i : i + 1000]
-            text = (b" " + SEPARATOR + b" ").join(part).decode("utf-8", "replace")
-            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-            cuts = np.flatnonzero(ids == self.mark).tolist()
-            if len(cuts) != len(part) - 1:
-                out |= {w: self._alone(w) for w in part}
-                continue
-            raw, at = ids.tobytes(), 0
-            for w, end in zip(part, [*cuts, len(ids)], strict=True):
-                out[w] = raw[4 * at : 4 * end]
-                at = end + 1
-        return out
+    def __missing__(self, word: bytes) -> bytes:
+        ids = self.old.get(word)
+        if ids is None:
+            ids = self._new(word)
+        if len(word) <= CACHED_LENGTH:
+            self[word] = ids
+        return ids
+
+    def _new(self, word: bytes) -> bytes:
+        text = word.decode("utf-8", "replace")
+        m = _PLAIN.fullmatch(text.lower()) if self.plain and len(word) <= CACHED_LENGTH else None
+        if m is None:
+            return self._alone(text)
+        letters, marks = m.groups()
+        if marks not in self.marks:
+            self.marks[marks] = self._alone(marks)
+        own = letters.encode()
+        return (self[own] if marks and own != word else array("I", self._model_ids(letters)).tobytes()) + self.marks[marks]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
-        known = self.known
-        if len(known) > CACHE_WORDS:
-            known.clear()
+        if len(self) > CACHE_WORDS:
+            self.old = dict(self)
+            self.clear()
+        ids_of = self.__getitem__
         # special tokens are matched as they stand, so texts that may hold one keep their case
-        words = [(t.lower() if self.plain and b"<|" not in t else t).split() for t in texts]
-        new: set[bytes] = set()
-        for w in words:
-            new.update(filterfalse(known.__contains__, w))
-        learnt = self._learn(list(new)) if new else {}
-        long = {w: ids for w, ids in learnt.items() if len(w) > CACHED_LENGTH}
-        known.update((w, ids) for w, ids in learnt.items() if len(w) <= CACHED_LENGTH)
-        if not long:
-            return [b"".join(map(known.__getitem__, w)) for w in words]
-        return [b"".join([known[x] if x in known else long[x] for x in w]) for w in words]
+        return [b"".join(map(ids_of, (t.lower() if self.plain and b"<|" not in t else t).split())) for t in texts]
 
 
 def encoder(path: str) -> WordEncoder:
