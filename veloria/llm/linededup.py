@@ -8,7 +8,8 @@ number), has a set whose Jaccard similarity to its own is ``threshold`` or more.
    only the first n - ceil(threshold n) + 1 words, the prefix, are looked up: similar sets share a word of their prefixes.
 3. A semi join on prefix words leaves sets that have a possible partner by length, by the words' places in the sets and by
    a 64-bit parity sketch (each differing bit needs a word in which the sets differ). No pairs are listed.
-4. Only for those sets the words are fetched, and a second semi join verifies the Jaccard similarity with an earlier set.
+4. Only for those sets the words are fetched. A set's similarity is verified with the earliest set that shares one of its
+   prefix words, and for sets whose partner that is not, with every earlier one in a second semi join.
 """
 
 from __future__ import annotations
@@ -106,14 +107,31 @@ def removed_sets(docs: DataFrame, sets: DataFrame, levels: bytes, t: float) -> D
     held = by_doc.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("_found")), F.lit(0))).first()
     how = "broadcast" if max(held) <= SENT_LINES else "merge"
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(by_doc.hint(how), F.col("doc_id").eqNullSafe(F.col("_doc")))
-    rows = texts.select("doc_id", F.split("text", "\n", -1).alias("lines"), F.explode("_found").alias("f")).select("doc_id", "f.sid", "f.line_no", F.get("lines", F.col("f.line_no")).alias("line"))
+    picked = F.transform("_found", lambda f: F.struct(f["sid"].alias("sid"), f["line_no"].alias("line_no"), F.get(F.col("lines"), f["line_no"]).alias("line")))
+    rows = texts.select("doc_id", "_found", F.split("text", "\n", -1).alias("lines")).select("doc_id", F.explode(picked).alias("f")).select("doc_id", "f.*")
     rows = rows.select("sid", F.struct("doc_id", "line_no").alias("at"), _ordered(F.coalesce("line", F.lit("")), levels).alias("words"))
-    full = materialise(rows.withColumn("n", F.size("words")).where("n > 0"), "possible-sets")
-    entries = full.select("sid", "at", "n", "words", F.posexplode(F.slice("words", 1, _prefix(F.col("n"), t))).alias("place", "word"))
+    full = materialise(rows.select("sid", "at", F.size("words").alias("n"), _sketch(F.col("words")).alias("sketch"), "words").where("n > 0"), "possible-sets")
+    entries = full.select("sid", "at", "n", "sketch", F.posexplode(F.slice("words", 1, _prefix(F.col("n"), t))).alias("place", "word"))
     x, y = (lambda c: F.col(f"x.{c}")), (lambda c: F.col(f"y.{c}"))
-    shared = F.size(F.array_intersect(x("words"), y("words")))
-    same = (x("word") == y("word")) & (y("at") < x("at")) & _fits(x("n"), y("n"), x("place"), y("place"), t) & (shared >= _needed(x("n"), y("n"), t))
-    return entries.alias("x").join(entries.alias("y").hint("merge"), same, "left_semi").select("sid").distinct()
+
+    def near(near_x, near_y) -> Column:
+        differ = near_x("n") + near_y("n") - F.lit(2) * _needed(near_x("n"), near_y("n"), t)
+        return _fits(near_x("n"), near_y("n"), near_x("place"), near_y("place"), t) & (F.bit_count(near_x("sketch").bitwiseXOR(near_y("sketch"))) <= differ)
+
+    later = materialise(entries.alias("x").join(entries.alias("y").hint("merge"), (x("word") == y("word")) & (y("at") < x("at")) & near(x, y), "left_semi"), "later-lines")
+    # most have the earliest set of one of their words for a partner: verify that one alone
+    heads = entries.groupBy("word").agg(F.min(F.struct("at", "sid", "n", "sketch", "place")).alias("head")).select(F.col("word").alias("_word"), "head.*")
+    tried = later.alias("x").join(heads.alias("y").hint("merge"), (x("word") == F.col("_word")) & (y("at") < x("at")) & near(x, y)).groupBy(x("sid").alias("sid")).agg(F.min(F.struct(y("at").alias("at"), y("sid").alias("sid"))).alias("y")).select("sid", F.col("y.sid").alias("partner"))
+    sets_of = lambda n, m, w: full.select(F.col("sid").alias(n), F.col("n").alias(m), F.col("words").alias(w))
+    held = tried.join(sets_of("sid", "_n", "_words").hint("merge"), "sid").join(sets_of("partner", "_m", "_others").hint("merge"), "partner")
+    found = materialise(held.where(F.size(F.array_intersect("_words", "_others")) >= _needed(F.col("_n"), F.col("_m"), t)).select("sid"), "verified-lines")
+    # the others are compared with every earlier set that shares a prefix word
+    rest = later.join(found.hint("merge"), "sid", "left_anti")
+    partners = entries.join(rest.select("word").distinct().hint("merge"), "word", "left_semi")
+    with_words = lambda e: e.join(full.select("sid", "words").hint("merge"), "sid")
+    same = (x("word") == y("word")) & (y("at") < x("at")) & near(x, y) & (F.size(F.array_intersect(x("words"), y("words"))) >= _needed(x("n"), y("n"), t))
+    more = with_words(rest).alias("x").join(with_words(partners).alias("y").hint("merge"), same, "left_semi").select("sid")
+    return found.unionAll(more).distinct()
 
 
 def repeated_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
