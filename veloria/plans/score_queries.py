@@ -8,12 +8,18 @@ from ..operators import facts, features, learning, scoring, similar
 from ..functions import text
 from ..sources import adapters as A
 from ..sources.feature_view import FEATURE_SQL, feature_view
+from ..sources.files import kept
 
 DIMENSIONS = tuple(scoring.WEIGHTS)
 
 
+def feature_table(spark, d):
+    """The feature view, written once: bounds, scores and comparisons all read it."""
+    return kept(feature_view(spark, d), "features")
+
+
 def _scored(spark, d):
-    view = feature_view(spark, d)
+    view = feature_table(spark, d)
     return scoring.scorecard(view, scoring.fit(view))
 
 
@@ -35,7 +41,7 @@ def bundle(spark, d):
 
 
 def normalizers(spark, d):
-    view = feature_view(spark, d)
+    view = feature_table(spark, d)
     rows = scoring.with_normals(view, scoring.fit(view))
     return rows.select("skin_id", *[F.round(f"n_{r.feature}", 6).alias(r.feature) for r in scoring.RULES])
 
@@ -46,17 +52,17 @@ def scorecard(spark, d):
 
 def scorecard_neutral(spark, d):
     """Missing features count as the middle, not as 0."""
-    view = feature_view(spark, d)
+    view = feature_table(spark, d)
     return scoring.scorecard(view, scoring.fit(view), missing="neutral").select("skin_id", *DIMENSIONS, "total_premium")
 
 
 def scorecard_long(spark, d):
-    view = feature_view(spark, d)
+    view = feature_table(spark, d)
     return scoring.scorecard_long(view, scoring.fit(view)).groupBy("skin_id", "dimension").agg(F.round(F.sum("points"), 4).alias("points"), F.count(F.lit(1)).alias("features"))
 
 
 def what_if(spark, d):
-    view = feature_view(spark, d)
+    view = feature_table(spark, d)
     scenarios = spark.createDataFrame([("voice", True, None), ("top_tier", None, 5), ("both", True, 5)], "scenario string, has_voice_pack boolean, official_tier int")
     return scoring.what_if(view, scenarios, scoring.fit(view)).select("skin_id", "scenario", "aesthetic", "total_premium")
 
@@ -134,7 +140,7 @@ def target(spark, d):
 
 
 def _learning_rows(spark, d):
-    return learning.assembled(feature_view(spark, d).join(_targets(spark, d).select("skin_id", "target"), "skin_id")).cache()
+    return learning.assembled(kept(feature_view(spark, d).join(_targets(spark, d).select("skin_id", "target"), "skin_id"), "learning"))
 
 
 #: Rounds in the registered queries.

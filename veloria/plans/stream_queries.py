@@ -2,22 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..operators import scoring
 from ..sources import adapters as A
-from ..sources.feature_view import base, feature_view
+from ..sources.feature_view import base
+from ..sources.files import shared_path
 from ..streaming import streams
 from .score_queries import SQL as SCORES
-
-
-def _scratch(spark, name: str) -> str:
-    """A new path in the folder that driver and executors share."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-veloria-")
-    return f"{root.rstrip('/')}/veloria/{name}-{uuid.uuid4().hex}"
+from .score_queries import feature_table
 
 
 def _events(spark, d):
@@ -25,45 +18,45 @@ def _events(spark, d):
 
 
 def stream_index(spark, d):
-    return streams.run(streams.sliding_index(_events(spark, d)), _scratch(spark, "index"))
+    return streams.run(streams.sliding_index(_events(spark, d)), shared_path(spark, "index"))
 
 
 def stream_counts(spark, d):
-    return streams.run(streams.daily_counts(_events(spark, d)), _scratch(spark, "counts"))
+    return streams.run(streams.daily_counts(_events(spark, d)), shared_path(spark, "counts"))
 
 
 def stream_dedup(spark, d):
     """Every event crawled twice, kept once."""
     twice = _events(spark, d).unionByName(_events(spark, d))
-    return streams.run(streams.without_repeats(twice, ["event_id"]).select("event_id", "hero_name"), _scratch(spark, "dedup"))
+    return streams.run(streams.without_repeats(twice, ["event_id"]).select("event_id", "hero_name"), shared_path(spark, "dedup"))
 
 
 def stream_upsert(spark, d):
     rows = A.events_of(streams.landed(spark, f"{d}/events.parquet", 1)).select("hero_name", "event_id", "event_type", "value")
-    return streams.upsert_into(rows, _scratch(spark, "upsert"), ["hero_name"], "event_id")
+    return streams.upsert_into(rows, shared_path(spark, "upsert"), ["hero_name"], "event_id")
 
 
 def _scored_stream(spark, d):
     """Incoming items scored with the bounds that were fitted before, on facts known by then."""
-    view = feature_view(spark, d)
+    view = feature_table(spark, d)
     incoming = base(A.skins_of(streams.landed(spark, f"{d}/part.parquet")))
     known = view.select("skin_id", *[c for c in view.columns if c not in incoming.columns])
     return scoring.scorecard(incoming.join(known, "skin_id", "left"), scoring.fit(view))
 
 
 def stream_scores(spark, d):
-    return streams.run(_scored_stream(spark, d).select("skin_id", *scoring.WEIGHTS, "total_premium"), _scratch(spark, "scores"))
+    return streams.run(_scored_stream(spark, d).select("skin_id", *scoring.WEIGHTS, "total_premium"), shared_path(spark, "scores"))
 
 
 def stream_alerts(spark, d):
-    return streams.run(scoring.risks(scoring.with_prices(_scored_stream(spark, d))), _scratch(spark, "alerts"))
+    return streams.run(scoring.risks(scoring.with_prices(_scored_stream(spark, d))), shared_path(spark, "alerts"))
 
 
 def stream_quarantine(spark, d):
     rows = A.events_of(streams.landed(spark, f"{d}/events.parquet"))
     number = F.get_json_object("props", "$.k").try_cast("int")
     bad = streams.quarantined(rows, {"value": F.col("value") > 1, "k": number < 90})
-    return streams.run(bad.select("event_id", F.array_join("failed", ",").alias("failed")), _scratch(spark, "quarantine"))
+    return streams.run(bad.select("event_id", F.array_join("failed", ",").alias("failed")), shared_path(spark, "quarantine"))
 
 
 QUERIES = {f.__name__: f for f in (stream_index, stream_counts, stream_dedup, stream_upsert, stream_scores, stream_alerts, stream_quarantine)}

@@ -5,6 +5,7 @@ A multi-line JSON document is read by one task; its exploded rows are to be land
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.errors import AnalysisException
@@ -66,6 +67,19 @@ def new_version(df: DataFrame, root: str) -> str:
     return path
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share; a temporary one only where the session names none."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-veloria-")
+    return f"{root.rstrip('/')}/veloria/{name}-{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read back: for tables that several branches of a plan read."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def put_features(df: DataFrame, path: str) -> None:
     """Overwrite only the genres that ``df`` has."""
     df.write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy("genre").parquet(path)
