@@ -11,14 +11,14 @@ from .common import materialise
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """One step over edges (u, v) with u > v: neighbours are tied to the least of a node and its neighbours.
 
-    The least neighbour comes from an aggregate that combines on the map side and a join that may be split, so a node with
-    very many neighbours is not gathered anywhere.
+    The least neighbour comes from an aggregate that combines on the map side. It is written before it is joined: both sides
+    of the join then are plain shuffles, and the rows of a node with very many neighbours can be split among tasks.
     """
     if large:  # each node passes its larger neighbours on
         out = edges.select(F.col("u").alias("n"), F.col("v").alias("m")).unionAll(edges.select(F.col("v").alias("n"), F.col("u").alias("m")))
     else:  # each node passes its smaller neighbours on
         out = edges.select(F.col("u").alias("n"), F.col("v").alias("m"))
-    least = out.groupBy("n").agg(F.least(F.min("m"), F.first("n")).alias("low"))
+    least = materialise(out.groupBy("n").agg(F.min("m").alias("_m")).select("n", F.least("_m", "n").alias("low")), "least-neighbours")
     tied = out.join(least.hint("merge"), "n")
     if large:
         tied = tied.where("m > n").select(F.col("m").alias("u"), F.col("low").alias("v"))
