@@ -66,6 +66,13 @@ def _sketch(words: Column) -> Column:
     return F.aggregate(words, F.lit(0).cast("long"), lambda acc, w: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), bit(w))))
 
 
+def _wide_sketch(words: Column) -> Column:
+    """Four such words of 64 bits: room for long lines."""
+    bit = lambda w: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(w, 20).bitwiseAND(F.lit(63)).cast("int"))
+    part = lambda k: F.aggregate(words, F.lit(0).cast("long"), lambda acc, w: acc.bitwiseXOR(F.when(F.shiftright(w, 26).bitwiseAND(F.lit(3)) == k, bit(w)).otherwise(F.lit(0).cast("long"))))
+    return F.struct(*[part(k).alias(f"s{k}") for k in range(4)])
+
+
 def line_sets(docs: DataFrame, levels: bytes, t: float) -> DataFrame:
     """One row per distinct set: its digests a and b, its earliest line, size n, sketch and prefix (32 bits of each word)."""
     rows = _lines(docs).where(F.col("line").rlike(WORD_CLASS)).select("doc_id", "line_no", _ordered(F.col("line"), levels).alias("words"))
@@ -110,13 +117,13 @@ def removed_sets(docs: DataFrame, sets: DataFrame, levels: bytes, t: float) -> D
     picked = F.transform("_found", lambda f: F.struct(f["sid"].alias("sid"), f["line_no"].alias("line_no"), F.get(F.col("lines"), f["line_no"]).alias("line")))
     rows = texts.select("doc_id", "_found", F.split("text", "\n", -1).alias("lines")).select("doc_id", F.explode(picked).alias("f")).select("doc_id", "f.*")
     rows = rows.select("sid", F.struct("doc_id", "line_no").alias("at"), _ordered(F.coalesce("line", F.lit("")), levels).alias("words"))
-    full = materialise(rows.select("sid", "at", F.size("words").alias("n"), _sketch(F.col("words")).alias("sketch"), "words").where("n > 0"), "possible-sets")
+    full = materialise(rows.select("sid", "at", F.size("words").alias("n"), _wide_sketch(F.col("words")).alias("sketch"), "words").where("n > 0"), "possible-sets")
     entries = full.select("sid", "at", "n", "sketch", F.posexplode(F.slice("words", 1, _prefix(F.col("n"), t))).alias("place", "word"))
     x, y = (lambda c: F.col(f"x.{c}")), (lambda c: F.col(f"y.{c}"))
 
     def near(near_x, near_y) -> Column:
         differ = near_x("n") + near_y("n") - F.lit(2) * _needed(near_x("n"), near_y("n"), t)
-        return _fits(near_x("n"), near_y("n"), near_x("place"), near_y("place"), t) & (F.bit_count(near_x("sketch").bitwiseXOR(near_y("sketch"))) <= differ)
+        return _fits(near_x("n"), near_y("n"), near_x("place"), near_y("place"), t) & (sum(F.bit_count(near_x(f"sketch.s{k}").bitwiseXOR(near_y(f"sketch.s{k}"))) for k in range(4)) <= differ)
 
     later = materialise(entries.alias("x").join(entries.alias("y").hint("merge"), (x("word") == y("word")) & (y("at") < x("at")) & near(x, y), "left_semi"), "later-lines")
     # most have the earliest set of one of their words for a partner: verify that one alone
