@@ -167,6 +167,8 @@ def test_regression_learns(spark):
     model = learning.fit(made, maxIter=15, stepSize=0.3)
     q = learning.quality(model.transform(made)).first()
     assert q.rows == 300 and q.mape < 0.25 and q.r2 > 0.7
+    best = learning.search(made.limit(80), {"maxDepth": [1, 2], "maxIter": [2]}, folds=2, parallelism=1).bestModel
+    assert best.getOrDefault("maxDepth") in (1, 2)
     weights = learning.dimension_weights(learning.importance(model, spark)).collect()
     assert sum(w.weight for w in weights) == pytest.approx(1)
     cold = learning.blended(made.withColumn("total_premium", F.lit(40)), None, 10).first()

@@ -33,6 +33,12 @@ def feature_groups(spark, d):
     return rows.select("skin_id", F.col("aesthetic.official_tier").alias("tier"), F.col("belonging.community_post_count").alias("posts"), F.col("collection.series_membership").alias("series"), F.col("surprise.acquisition_method").alias("method"))
 
 
+def feature_vector(spark, d):
+    """The features as one array in their order: its length and some of its places."""
+    rows = features.vector(feature_view(spark, d))
+    return rows.select("skin_id", F.size("vector").alias("length"), F.col("vector")[4].alias("tier"), F.col("vector")[14].alias("posts"), F.col("vector")[32].alias("spend"))
+
+
 def bundle(spark, d):
     community = facts.sentiment(A.posts(spark, d), F.lit("2024-02-29").cast("date"))
     market = facts.resale(A.listings(spark, d), A.skins(spark, d))
@@ -187,7 +193,7 @@ def evaluate_all(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    feature_fusion, feature_groups, bundle, normalizers, scorecard, scorecard_neutral, scorecard_long, what_if, price_range, premium_bands, risk_alerts, risk_counts, radar_long, comparables, competitors, comparison_lines, peers, lsh_neighbors, ahp_weights, target,
+    feature_fusion, feature_groups, feature_vector, bundle, normalizers, scorecard, scorecard_neutral, scorecard_long, what_if, price_range, premium_bands, risk_alerts, risk_counts, radar_long, comparables, competitors, comparison_lines, peers, lsh_neighbors, ahp_weights, target,
     regression_eval, importance_weights, blend, blend_cold, fit_quality, spearman, evaluate_all,
 )}
 
@@ -234,6 +240,7 @@ _RANK = "rank() OVER (PARTITION BY genre ORDER BY {0}) + (count(*) OVER (PARTITI
 SQL = {
     "feature_fusion": f"WITH {FEATURE_SQL} SELECT skin_id, hero_name, " + ", ".join(f"coalesce(CAST({f} AS DOUBLE), 0) AS {f}" for f in features.FEATURES) + " FROM features",
     "feature_groups": f"WITH {FEATURE_SQL} SELECT skin_id, official_tier AS tier, community_post_count AS posts, series_membership AS series, CAST(acquisition_method AS INTEGER) AS method FROM features",
+    "feature_vector": f"WITH {FEATURE_SQL} SELECT skin_id, CAST(33 AS INTEGER) AS length, coalesce(CAST(official_tier AS DOUBLE), 0) AS tier, coalesce(CAST(community_post_count AS DOUBLE), 0) AS posts, coalesce(avg_spend_to_obtain, 0) AS spend FROM features",
     "bundle": f"WITH {A.SKINS}, {A.LISTINGS}, {A.POSTS}, c AS (SELECT hero_name, count(*) AS posts FROM posts WHERE day > DATE '2024-01-30' GROUP BY 1), m AS (SELECT skin_id, count(*) AS listings, round(median(price), 9) AS median_price FROM listings GROUP BY 1) SELECT s.skin_id, s.hero_name, official_price, posts, listings, median_price, DATE '2024-02-29' AS collected_at FROM skins s LEFT JOIN m ON s.skin_id = m.skin_id LEFT JOIN c ON s.hero_name = c.hero_name",
     "normalizers": f"WITH {FEATURE_SQL}, {_scores_sql()} SELECT skin_id, " + ", ".join(f"round(n_{r.feature}, 6) AS {r.feature}" for r in scoring.RULES) + " FROM n",
     "scorecard": f"{_T} SELECT skin_id, {', '.join(DIMENSIONS)}, total_premium FROM t",
