@@ -233,6 +233,8 @@ def test_lines_equal_brute_force(spark, docs, awkward, empty):
             assert got[d].n_lines == len((text or "").split("\n")) and list(got[d].removed_lines) == want[d], d
     assert linededup.repeated_lines(awkward).count() == awkward.count()
     assert linededup.repeated_lines(empty).count() == 0
+    clash = awkward.withColumn("removed_lines", F.lit(1)).withColumn("_doc", F.lit(1))
+    assert linededup.drop_repeated_lines(clash).count() == awkward.count()
     kept = {r.doc_id: r.text for r in linededup.drop_repeated_lines(made).collect()}
     assert kept[0] == "\n".join(x for i, x in enumerate(near[0][1].split("\n")) if i not in brute_lines(near)[0])
 
@@ -249,6 +251,7 @@ def test_exact_groups(spark, docs, awkward, empty):
     for r in got:
         own = by_text[r.text_sha256]
         assert r.group_size == len(own) and r.keep_id == max((d for d in own if d is not None), default=None) and r.kept == (r.doc_id == r.keep_id)
+    assert exact.drop_exact_copies(awkward).count() == len(by_text) and exact.drop_exact_copies(awkward).columns == [c for c in awkward.columns]
     assert exact.exact_groups(empty).count() == 0 and exact.drop_exact_copies(docs).count() == docs.select("text").distinct().count()
 
 
@@ -363,7 +366,9 @@ def test_mixing(spark, docs, awkward, empty):
         assert sorted(map(str, mixing.mix(table.repartition(5)).collect())) == sorted(map(str, rows))
     stream = mixing.mixed_documents(docs)
     assert stream.columns == docs.columns and stream.count() == sum(r.passes for r in mixing.mix(docs).collect())
-    assert mixing.mix(empty).count() == 0
+    assert mixing.mix(empty).count() == 0 and mixing.mixed_documents(empty).count() == 0
+    assert mixing.mixed_documents(awkward.withColumn("slope", F.lit(1))).columns == [*awkward.columns, "slope"]
+    assert mixing.mixed_documents(awkward).count() >= sum(r.passes > 0 for r in mixing.mix(awkward).collect())
 
 
 def test_curriculum_inverts_its_integral(spark):

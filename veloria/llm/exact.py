@@ -46,12 +46,19 @@ def exact_groups(docs: DataFrame, salts: int = SALTS) -> DataFrame:
 
 
 def drop_exact_copies(docs: DataFrame, salts: int = SALTS) -> DataFrame:
-    """The rows of ``docs`` that stay: one of each distinct text, with all its columns."""
-    winners = exact_groups(docs, salts).where("kept").select(F.col("doc_id").alias("_keep"), F.col("text_sha256").alias("_sha"), F.col("group_size")).dropDuplicates(["_keep", "_sha"])
-    sha = F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256)
-    rows = docs.withColumn("_own_sha", sha)
-    joined = rows.join(winners.hint("merge"), rows["doc_id"].eqNullSafe(winners["_keep"]) & (rows["_own_sha"] == winners["_sha"]), "left_semi").drop("_own_sha")
-    return joined
+    """The rows of ``docs`` that stay: one of each distinct text, with all its columns.
+
+    Of rows that repeat the doc_id and the text that stay any one is taken.
+    """
+    kept = exact_groups(docs, salts).where("kept").groupBy(F.col("doc_id").alias("__v_keep"), F.col("text_sha256").alias("__v_sha")).agg(F.count(F.lit(1)).alias("__v_rows"))
+    kept = materialise(kept, "exact-kept")
+    rows = docs.withColumn("__v_own", F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256))
+    on = F.col("doc_id").eqNullSafe(F.col("__v_keep")) & (F.col("__v_own") == F.col("__v_sha"))
+    out = rows.join(kept.where("__v_rows = 1").hint("merge"), on, "left_semi")
+    repeated = kept.where("__v_rows > 1")
+    if not repeated.isEmpty():
+        out = out.unionByName(rows.join(repeated.hint("merge"), on, "left_semi").dropDuplicates(["doc_id", "__v_own"]))
+    return out.select(*docs.columns)
 
 
 SQL = """

@@ -163,11 +163,11 @@ def repeated_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 def drop_repeated_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` with their repeated lines taken out of text."""
-    gone = repeated_lines(docs, threshold).where(F.size("removed_lines") > 0).select(F.col("doc_id").alias("_doc"), "removed_lines")
-    gone = gone.groupBy("_doc").agg(F.max("removed_lines").alias("removed_lines"))
-    joined = docs.join(gone.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_doc")), "left")
-    kept = F.filter(F.split("text", "\n", -1), lambda line, i: ~F.array_contains("removed_lines", i))
-    return joined.withColumn("text", F.when(F.col("removed_lines").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))).select(*docs.columns)
+    gone = repeated_lines(docs, threshold).where(F.size("removed_lines") > 0).select(F.col("doc_id").alias("__v_doc"), F.col("removed_lines").alias("__v_gone"))
+    gone = gone.groupBy("__v_doc").agg(F.max("__v_gone").alias("__v_gone"))
+    joined = docs.join(gone.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__v_doc")), "left")
+    kept = F.filter(F.split("text", "\n", -1), lambda line, i: ~F.array_contains("__v_gone", i))
+    return joined.withColumn("text", F.when(F.col("__v_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))).select(*docs.columns)
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
