@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veloria.llm import ann, components, exact, html, langid, linededup, mixing, packing, registry, simhash, tokens, warc
+from veloria.llm import ann, components, exact, html, jaccard, langid, linededup, mixing, packing, registry, simhash, tokens, warc
 from veloria.llm.common import scratch_path
 
 SF = "/root/testdata/sf0.001"
@@ -408,3 +408,42 @@ def test_pipeline(spark):
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"] and (docs.count() <= before or name == "mixing")
     held, pieces = check_pack(corpus_pipeline.run(spark, SF).collect(), None, 2048)
     assert {d for d, _ in pieces} == {r.doc_id for r in docs.collect()}
+
+
+def edited(text, share, rng):
+    """``text`` with that share of its words replaced, one at least."""
+    words = text.split()
+    for i in rng.choice(len(words), max(1, int(share * len(words))), replace=False):
+        words[i] = f"new{rng.integers(1 << 30)}"
+    return " ".join(words)
+
+
+def test_pipeline_drops_near_copies_of_similarity_080(spark, awkward, empty):
+    """Planted near copies: groups equal brute force over all pairs at Jaccard 0.8 of five-word shingles."""
+    import corpus_pipeline
+
+    rng = np.random.default_rng(11)
+    word = lambda: f"w{rng.integers(5000)}"
+    bases = [" ".join(word() for _ in range(n)) for n in rng.integers(3, 300, 60)]
+    texts = bases + [edited(b, s, rng) for b in bases for s in (0.0, 0.01, 0.02, 0.03)]
+    texts += [edited(" ".join(f"hot{i}" for i in range(60)), 0.0, rng) for _ in range(80)] + ["", " \n", "A b", "a B", "a b c"]
+    def grams(t):
+        w = t.lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+    sets = [grams(t) for t in texts]
+    root = list(range(len(texts)))
+    near = [(i, j) for i in range(len(texts)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    changed = True
+    while changed:
+        changed = False
+        for i, j in near:
+            low = min(root[i], root[j])
+            changed |= root[i] != low or root[j] != low
+            root[i] = root[j] = low
+    table = spark.createDataFrame([(i, t, "en", "x", len(t)) for i, t in enumerate(texts)], DOCS).repartition(3)
+    got = {r.doc_id: r.component_id for r in jaccard.similar_documents(table).collect()}
+    assert got == dict(enumerate(root))
+    assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, table, SF).collect()} == set(root)
+    stay = jaccard.drop_similar(awkward)
+    assert stay.columns == awkward.columns and sorted({r.doc_id for r in stay.collect()}, key=str) == sorted({-7, 2, 4, 9, 10}, key=str)
+    assert jaccard.drop_similar(empty).count() == 0
