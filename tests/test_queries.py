@@ -2,6 +2,7 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from veloria.plans import registry
 
@@ -44,3 +45,16 @@ def test_plans_stay_in_the_engine(spark):
         df = QUERIES[name](spark, SF)
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in plan and "Arrow" not in plan and "CartesianProduct" not in plan, name
+
+
+def test_streams_take_all_landed_files_in_any_order(spark, con, tmp_path):
+    """Events shuffled over more than 8 files, and over subfolders, give the rows of the SQL."""
+    events = spark.read.parquet(f"{SF}/events.parquet")
+    last_first = events.repartitionByRange(12, F.desc("ts"))
+    for how, write in (("shuffled", last_first.write), ("partitioned", last_first.write.partitionBy("event_type"))):
+        write.parquet(f"{tmp_path}/{how}/events.parquet")
+        for name in ("stream_index", "stream_counts", "stream_dedup"):
+            df = QUERIES[name](spark, f"{tmp_path}/{how}")
+            result = con.execute(SQL[name])
+            names = [c[0] for c in result.description]
+            assert rows_of(names, result.fetchall()) == rows_of(df.columns, df.collect()), (how, name)

@@ -7,6 +7,7 @@ dropped; the batch forms are authoritative.
 from __future__ import annotations
 
 import os
+from urllib.parse import quote, urlsplit
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,13 +19,21 @@ from ..sources import contracts
 LATENESS = "1 day"
 
 
-def landed(spark: SparkSession, path: str, files_per_batch: int = 8) -> DataFrame:
-    """A stream of the Parquet files at ``path``, be it a folder or one file."""
+def landed(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
+    """A stream of the Parquet files at ``path``: one file, or a folder with all files below it, partitioned or not.
+
+    All that is landed comes in one trigger unless ``files_per_batch`` bounds it. Files come by their time of landing, not by event
+    time: with a bound, rows behind the watermark of the batches before are dropped.
+    """
     batch = spark.read.parquet(path)
-    first = batch.inputFiles()[0]
-    folder, name = os.path.split(first)
-    reader = spark.readStream.schema(batch.schema).option("maxFilesPerTrigger", files_per_batch)
-    return reader.option("pathGlobFilter", name if folder.rstrip("/").split("/")[-1] != path.rstrip("/").split("/")[-1] else "*.parquet").parquet(folder)
+    alone = os.path.basename(path.rstrip("/"))
+    one_file = all(urlsplit(f).path.endswith("/" + quote(alone)) for f in batch.inputFiles())
+    reader = spark.readStream.schema(batch.schema)
+    if files_per_batch is not None:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    if one_file:
+        return reader.option("pathGlobFilter", alone).parquet(os.path.dirname(path.rstrip("/")))
+    return reader.parquet(path)
 
 
 def timed(rows: DataFrame, ts: str = "ts", lateness: str = LATENESS) -> DataFrame:
