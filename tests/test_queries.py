@@ -58,3 +58,19 @@ def test_streams_take_all_landed_files_in_any_order(spark, con, tmp_path):
             result = con.execute(SQL[name])
             names = [c[0] for c in result.description]
             assert rows_of(names, result.fetchall()) == rows_of(df.columns, df.collect()), (how, name)
+
+
+def test_neighbors_equal_brute_force(spark):
+    """Every item has its five most similar ones: recall 1 against all pairs."""
+    import numpy as np
+
+    rows = spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id", "embedding").collect()
+    ids = np.array([r.vec_id for r in rows])
+    v = np.array([r.embedding for r in rows], float)
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    score = np.round(v @ v.T, 6)
+    np.fill_diagonal(score, -2)
+    want = {(i, int(ids[j])) for i, s in zip(ids.tolist(), score) for j in np.lexsort((ids, -s))[:5]}
+    got = [(r.target_id, r.skin_id) for r in QUERIES["lsh_neighbors"](spark, SF).collect()]
+    assert len(got) == 5 * len(ids)
+    assert len(want & set(got)) >= 0.999 * len(want)

@@ -1,18 +1,23 @@
-"""Similar items: banded candidates, cosine ranking, peers, approximate neighbours for large bands."""
+"""Similar items: banded candidates, cosine ranking, peers, nearest neighbours for large bands."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import vectors
+from ..sources.files import kept
 
 
 def candidates(items: DataFrame, width: int = 1) -> DataFrame:
     """(target_id, skin_id) pairs of one genre with tiers at most ``width`` apart, by an equality join over exploded tiers.
 
-    Pairs within a band are this operator's result; it is for catalogues whose bands are small. ``approximate`` serves others.
+    Pairs within a band are this operator's result; it is for catalogues whose bands are small. ``nearest`` serves others.
     """
     t = items.select(F.col("skin_id").alias("target_id"), F.col("genre").alias("_g"), F.explode(F.sequence(F.col("official_tier") - width, F.col("official_tier") + width)).alias("_t"))
     return t.join(items.select("skin_id", "genre", "official_tier"), (F.col("_g") == F.col("genre")) & (F.col("_t") == F.col("official_tier"))).where("skin_id <> target_id").select("target_id", "skin_id")
@@ -61,13 +66,57 @@ def comparables(scored: DataFrame, k: int = 5) -> DataFrame:
     return top(rows, ["target_id"], [F.col("gap"), F.col("skin_id")], k).select("target_id", "place", "skin_id", "total_premium", "gap")
 
 
-def approximate(items: DataFrame, k: int = 5, bucket: float = 0.9, tables: int = 6, distance: float = 1.2) -> DataFrame:
-    """Neighbours by random projections of unit vectors, re-ranked by exact cosine. For catalogues too large for bands."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH, Normalizer
-    from pyspark.ml.functions import array_to_vector
+def nearest(items: DataFrame, k: int = 5, tile: int = 2048) -> DataFrame:
+    """(target_id, skin_id, similarity, place): the k most similar of all items by cosine, ties by id. For catalogues too large for bands.
 
-    unit = Normalizer(inputCol="_raw", outputCol="unit").transform(items.select("skin_id", "vector", array_to_vector(F.col("vector").cast("array<double>")).alias("_raw")))
-    model = BucketedRandomProjectionLSH(inputCol="unit", outputCol="hashes", bucketLength=bucket, numHashTables=tables, seed=42).fit(unit)
-    pairs = model.approxSimilarityJoin(unit, unit, distance, "distance").where("datasetA.skin_id <> datasetB.skin_id")
-    scored = pairs.select(F.col("datasetA.skin_id").alias("target_id"), F.col("datasetB.skin_id").alias("skin_id"), F.round(1 - F.col("distance") * F.col("distance") / 2, 6).alias("similarity"))
+    A block matrix join: every tile of unit vectors meets every other, so nothing is missed. Null, empty, zero and non-finite vectors
+    take no part; only vectors of one length are compared.
+    """
+    v = F.col("vector").cast("array<double>")
+    fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists(v, lambda x: x != 0)
+    rows = items.select(F.col("skin_id").cast("long").alias("skin_id"), v.alias("vector"), F.size(v).alias("dim")).where(fine & F.col("skin_id").isNotNull())
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[tuple[int, list[float]]]] = {}
+
+        def out(dim: int) -> pa.RecordBatch:
+            ids, lists = zip(*held.pop(dim), strict=True)
+            unit = np.array(lists, "<f8")
+            unit /= np.abs(unit).max(axis=1, keepdims=True)
+            unit /= np.sqrt((unit * unit).sum(axis=1, keepdims=True))
+            return pa.record_batch({"dim": pa.array([dim], pa.int32()), "ids": pa.array([np.array(ids, "<i8").tobytes()], pa.binary()), "unit": pa.array([unit.tobytes()], pa.binary())})
+
+        for batch in batches:
+            for i, x, dim in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                held.setdefault(dim, []).append((i, x))
+                if len(held[dim]) >= tile:
+                    yield out(dim)
+        for dim in list(held):
+            yield out(dim)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for dim, a_ids, a, b_ids, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                a_ids, b_ids = np.frombuffer(a_ids, "<i8"), np.frombuffer(b_ids, "<i8")
+                a, b = np.frombuffer(a, "<f8").reshape(-1, dim), np.frombuffer(b, "<f8").reshape(-1, dim)
+                for at in range(0, len(a_ids), 256):
+                    own = a_ids[at : at + 256]
+                    score = np.round(np.clip(a[at : at + 256] @ b.T, -1.0, 1.0), 6)
+                    score[own[:, None] == b_ids[None, :]] = -np.inf
+                    n = min(k, len(b_ids))
+                    least = -np.partition(-score, n - 1, axis=1)[:, n - 1]
+                    q, c = np.nonzero((score >= least[:, None]) & (score > -np.inf))
+                    order = np.lexsort((b_ids[c], -score[q, c], q))
+                    q, c = q[order], c[order]
+                    first = np.searchsorted(q, q)
+                    best = np.arange(len(q)) - first < k
+                    q, c = q[best], c[best]
+                    yield pa.record_batch({"target_id": own[q], "skin_id": b_ids[c], "similarity": score[q, c]})
+
+    tiles = kept(rows.mapInArrow(pack, "dim int, ids binary, unit binary").withColumn("no", F.monotonically_increasing_id()), "tiles")
+    a = tiles.select("dim", "no", F.col("ids").alias("a_ids"), F.col("unit").alias("a"))
+    b = tiles.select("dim", F.col("ids").alias("b_ids"), F.col("unit").alias("b"))
+    dealt = tiles.select("dim", "no").join(b.hint("merge"), "dim").select("no", "b_ids", "b")
+    pairs = dealt.join(a.hint("merge"), "no").select("dim", "a_ids", "a", "b_ids", "b")
+    scored = pairs.mapInArrow(compare, "target_id long, skin_id long, similarity double")
     return top(scored, ["target_id"], [F.desc("similarity"), F.col("skin_id")], k)

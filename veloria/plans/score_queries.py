@@ -122,7 +122,7 @@ def peers(spark, d):
 
 
 def lsh_neighbors(spark, d):
-    return similar.approximate(_items(spark, d)).select("target_id", "place", "skin_id", "similarity")
+    return similar.nearest(_items(spark, d)).select("target_id", "place", "skin_id", "similarity")
 
 
 def _pairs(spark, d):
