@@ -447,3 +447,20 @@ def test_pipeline_drops_near_copies_of_similarity_080(spark, awkward, empty):
     stay = jaccard.drop_similar(awkward)
     assert stay.columns == awkward.columns and sorted({r.doc_id for r in stay.collect()}, key=str) == sorted({-7, 2, 4, 9, 10}, key=str)
     assert jaccard.drop_similar(empty).count() == 0
+
+
+def test_pages_with_tags_left_open():
+    """An omitted </head>, a self-closed svg and an unclosed button take no article text with them; what is closed stays dropped."""
+    tree = html.train_tree()
+    text = "This is the first long paragraph of the article, it has enough words to be seen as main text by any reader."
+    article = f"<article><p>{text}</p></article>"
+    pages = [
+        f"<html><head><title>T</title><meta charset=utf-8><script>var a;</script><body>{article}</body></html>",
+        f"<html><head><title>T</title>{article}</html>",
+        f"<body><svg viewBox='0 0 1 1' />{article}</body>",
+        f"<body><div><button>Go</div>{article}</body>",
+        f"<body><button>Go {article}</body>",
+        f"<body><select><option>a<option>b{article}</body>",
+        f"<body><noscript><p>{text} no</p></noscript><svg><text>{text} no</text></svg><button><div>Go</div></button>{article}</body>",
+    ]
+    assert html.main_texts(pages, tree) == [text] * len(pages)

@@ -57,6 +57,10 @@ LABELLED += [
 
 #: Elements whose content is no page text at all.
 DROPPED = "script style noscript template svg iframe object canvas textarea select title head button audio video math map datalist".split()
+#: Those of them whose content is raw text up to their end tag.
+RAW = frozenset("script style textarea title".split())
+#: What a head may hold; anything else ends it.
+HEAD_CONTENT = frozenset("base basefont bgsound link meta noscript template".split()) | RAW
 #: Elements that are boilerplate by their tag or role.
 REGIONS = frozenset("nav header footer aside form menu dialog fieldset".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
@@ -77,7 +81,7 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(?P<raw>" + "|".join(DROPPED) + r")\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<raw>" + "|".join(sorted(RAW)) + r")\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<close>/?)(?P<name>[a-z][a-z0-9:-]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|<(?P<close2>/?)(?P<name2>[a-z][a-z0-9:-]*)(?P<attrs2>[^>]*+)(?:>|\Z)"
     r"|(?P<text>[^<]++|<)",
@@ -175,21 +179,75 @@ class _Page:
                     break
 
 
+def _tag(m: re.Match) -> tuple[str, bool, str]:
+    """(name, is an end tag, attributes) of a token; an empty name if it is no tag."""
+    name = m["name"] or m["name2"]
+    return (name.lower(), bool(m["close"] or m["close2"]), m["attrs"] or m["attrs2"] or "") if name else ("", False, "")
+
+
+def _after_dropped(tokens: list[re.Match], at: int) -> int:
+    """The place behind the dropped element that opens at ``at``.
+
+    It ends with its end tag. One without, by the end of what it stands in or the start of the page's text, holds nothing beyond the
+    next block-level tag. A head also ends where something stands that no head holds.
+    """
+    name, _, attrs = _tag(tokens[at])
+    if attrs.rstrip().endswith("/"):
+        return at + 1
+    if name == "head":
+        i = at + 1
+        while i < len(tokens):
+            inner, closes, _ = _tag(tokens[i])
+            if closes and inner == "head":
+                return i + 1
+            if inner and (closes and inner in ("body", "html") or not closes and inner not in HEAD_CONTENT) or tokens[i].lastgroup == "text" and tokens[i]["text"].strip():
+                return i
+            i = _after_dropped(tokens, i) if inner in DROPPED and not closes else i + 1
+        return i
+    same, first_block = 1, len(tokens)
+    opened: dict[str, int] = {}
+    for i in range(at + 1, len(tokens)):
+        inner, closes, attrs = _tag(tokens[i])
+        if not inner:
+            continue
+        if inner == name:
+            if not closes and name in ("button", "select"):
+                return min(first_block, i)
+            same += -1 if closes else int(not attrs.rstrip().endswith("/"))
+            if not same:
+                return i + 1
+        elif inner in BLOCKS and inner not in ("option", "optgroup") and first_block == len(tokens):
+            first_block = i
+        if not closes and inner in ("article", "main", "body"):
+            break
+        if inner in PLACES:
+            opened[inner] = opened.get(inner, 0) + (-1 if closes else 1)
+            if opened[inner] < 0:
+                break
+    return first_block
+
+
 def text_blocks(page: str) -> list[_Block]:
     """The page's text blocks in order."""
     walk = _Page()
-    for m in _TOKEN.finditer(page):
-        kind = m.lastgroup
-        if kind == "text":
+    tokens = list(_TOKEN.finditer(page))
+    at = 0
+    while at < len(tokens):
+        m = tokens[at]
+        at += 1
+        if m.lastgroup == "text":
             walk.parts.append(m["text"])
             if walk.in_link:
                 walk.linked.append(m["text"])
-        elif name := m["name"] or m["name2"]:
-            name = name.lower()
-            if m["close"] or m["close2"]:
-                walk.close(name)
-            elif name not in DROPPED:
-                walk.open(name, m["attrs"] or m["attrs2"] or "")
+            continue
+        name, closes, attrs = _tag(m)
+        if name and closes:
+            walk.close(name)
+        elif name in DROPPED:
+            if name not in RAW:
+                at = _after_dropped(tokens, at - 1)
+        elif name:
+            walk.open(name, attrs)
     walk.flush()
     return walk.blocks
 
