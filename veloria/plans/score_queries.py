@@ -149,22 +149,18 @@ def _learning_rows(spark, d):
     return learning.assembled(kept(feature_view(spark, d).join(_targets(spark, d).select("skin_id", "target"), "skin_id"), "learning"))
 
 
-#: Rounds in the registered queries.
-ROUNDS = {"maxIter": 20, "stepSize": 0.2}
-
-
 def regression_eval(spark, d):
-    return learning.cross_validated(_learning_rows(spark, d), folds=3, **ROUNDS)
+    return learning.cross_validated(_learning_rows(spark, d))
 
 
 def importance_weights(spark, d):
-    return learning.dimension_weights(learning.importance(learning.fit(_learning_rows(spark, d), **ROUNDS), spark))
+    return learning.dimension_weights(learning.importance(learning.fit(_learning_rows(spark, d)), spark))
 
 
 def blend(spark, d):
     rows = _learning_rows(spark, d)
     scored = scoring.scorecard(rows, scoring.fit(rows))
-    return learning.blended(scored, learning.fit(rows, **ROUNDS), rows.count()).select("skin_id", "rule_based", "ml_based", "alpha", "total_premium")
+    return learning.blended(scored, learning.fit(rows), rows.count()).select("skin_id", "rule_based", "ml_based", "alpha", "total_premium")
 
 
 def blend_cold(spark, d):
