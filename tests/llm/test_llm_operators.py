@@ -464,3 +464,15 @@ def test_pages_with_tags_left_open():
         f"<body><noscript><p>{text} no</p></noscript><svg><text>{text} no</text></svg><button><div>Go</div></button>{article}</body>",
     ]
     assert html.main_texts(pages, tree) == [text] * len(pages)
+
+
+def test_lettered_texts_of_no_language_are_rejected(spark):
+    """The calibrated threshold stands as it is: an unlearned language and most random letters go, held-out rows stay."""
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = langid.fit_language_model(table)
+    rng = np.random.default_rng(0)
+    junk = [" ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), rng.integers(3, 10))) for _ in range(30)) for _ in range(200)]
+    assert model.predict(junk)[2].mean() > 0.5
+    assert model.predict(["все люди рождаются свободными и равными в своем достоинстве и правах они наделены разумом и совестью"])[2].all()
+    held = table.where("crc32(cast(cast(doc_id AS string) AS binary)) % 4 = 2 AND lang IS NOT NULL").collect()
+    assert held and model.predict([r.text or "" for r in held])[2].mean() < 0.02

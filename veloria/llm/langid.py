@@ -141,7 +141,7 @@ def train(languages: list[str], names: list[str], texts: list[str], held: np.nda
     right = p.argmax(axis=1) == y[check]
     scores = np.sort(p.max(axis=1)[right])
     bar = float(scores[int(len(scores) * LOST)]) if len(scores) else 0.0
-    return LanguageModel(model.languages, model.table, model.bias, heat, min(bar, 1.5 / max(k, 2)))
+    return LanguageModel(model.languages, model.table, model.bias, heat, bar)
 
 
 def _stretches(text: str) -> list[str]:
