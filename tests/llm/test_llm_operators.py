@@ -476,3 +476,10 @@ def test_lettered_texts_of_no_language_are_rejected(spark):
     assert model.predict(["все люди рождаются свободными и равными в своем достоинстве и правах они наделены разумом и совестью"])[2].all()
     held = table.where("crc32(cast(cast(doc_id AS string) AS binary)) % 4 = 2 AND lang IS NOT NULL").collect()
     assert held and model.predict([r.text or "" for r in held])[2].mean() < 0.02
+
+
+def test_warc_joins_plain_shuffles(spark):
+    """No side of the join on payloads is an aggregate, which could not be split."""
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    plan = warc.with_revisits(pages)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Aggregate" not in plan

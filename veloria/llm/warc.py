@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch_path
+from .common import materialise, scratch_path
 from .tokens import small_batches
 
 LEAST_PAYLOAD = 0
@@ -67,6 +67,7 @@ def with_revisits(pages: DataFrame, least: int = LEAST_PAYLOAD) -> DataFrame:
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumn("_key", F.unhex(F.sha2("payload", 256)))
     shared = rows.where(F.length("payload") >= least).groupBy("_key").agg(F.min("page_id").alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
+    shared = materialise(shared, "shared-payloads")  # both sides of the join then are plain shuffles, which can be split
     rows = rows.join(shared.hint("merge"), "_key", "left")
     revisit = F.col("_first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_first"))
     return rows.select("page_id", "url", "payload", F.when(revisit, F.col("_first")).alias("refers_to"), revisit.alias("revisit"))
