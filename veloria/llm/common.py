@@ -17,12 +17,16 @@ GAP_CLASS = r"[\x20\x09-\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests, local mode) a temporary folder of this machine is set.
+    Only where the session names none and all runs on one machine (tests) a temporary folder of this machine is set; on a
+    cluster a missing setting is an error.
     """
-    where = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not where:
         where = spark.conf.get("veloria.local.scratch", None)
     if not where:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         where = tempfile.mkdtemp(prefix="spark-veloria-")
         spark.conf.set("veloria.local.scratch", where)
     return where.rstrip("/")
@@ -38,7 +42,17 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``materialise`` wrote and nothing that is still to run reads."""
+    for table in tables:
+        jvm, conf = table.sparkSession._jvm, table.sparkSession._jsc.hadoopConfiguration()
+        where = jvm.org.apache.hadoop.fs.Path(table.scratch)
+        where.getFileSystem(conf).delete(where, True)
 
 
 def running_base(df: DataFrame, keys: list[str], order: str, size: str, block: str) -> DataFrame:

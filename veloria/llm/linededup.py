@@ -1,54 +1,62 @@
 """Line deduplication by an exact set-similarity join, in DataFrame operations only.
 
-A line's set are the distinct words in it, as 64-bit hashes. A line is removed if an earlier line, by (doc_id, line
-number), has a set whose Jaccard similarity to its own is ``threshold`` or more.
-
-1. Rarity: words are counted in 2^18 hash buckets over all texts; a bucket's rounded logarithm is its words' rarity.
-2. Equal sets fall together by their digests; the earliest line stands for them. Its set is ordered by (rarity, hash), and
-   only the first n - ceil(threshold n) + 1 words, the prefix, are looked up: similar sets share a word of their prefixes.
+A line's set are the distinct words in it. A line is removed if an earlier line, by (doc_id, line number), has a set whose
+Jaccard similarity to its own is ``threshold`` or more.
+
+1. Rarity: words are counted in 2^18 hash buckets over all texts; a bucket's rounded logarithm is its words' rarity. The
+   levels are one row, which the next step reads as a scalar subquery.
+2. One pass cuts all lines into words. Equal sets fall together by two 64-bit digests of their words' 64-bit hashes; the earliest
+   line stands for them. Its words are ordered by (rarity, hash), and the first n - ceil(threshold n) + 1 of them, the prefix, are
+   kept: similar sets share a word of their prefixes. Sets of up to three words are similar to equal ones alone.
 3. A semi join on prefix words leaves sets that have a possible partner by length, by the words' places in the sets and by
    a 64-bit parity sketch (each differing bit needs a word in which the sets differ). No pairs are listed.
-4. Only for those sets the words are fetched. A set's similarity is verified with the earliest set that shares one of its
-   prefix words, and for sets whose partner that is not, with every earlier one in a second semi join.
+4. Only for those sets the lines are fetched. A set is verified, on the words themselves, with the earliest set that shares one
+   of its prefix words, and where that one is not similar, with every earlier one in a second semi join.
 """
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import GAP_CLASS, WORD_CLASS, materialise
+from .common import WORD_CLASS, materialise
 
 THRESHOLD = 0.8
 BUCKETS = 1 << 18
 SENT_LINES = 1_000_000
+#: Sizes and places beyond these count as these in the first look-up, which only makes its filters weaker.
+_MOST_WORDS, _MOST_PLACE = (1 << 18) - 1, (1 << 14) - 1
+
+
+def _text() -> Column:
+    """The text with a space for each other character that parts words, except the newline that parts lines."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    odd = text.contains("\t") | text.contains("\x0b") | text.contains("\x0c") | text.contains("\r")
+    return F.when(odd, F.translate(text, "\t\x0b\x0c\r", "    ")).otherwise(text)
+
+
+def _cut(line: Column) -> Column:
+    """The line's words in order; runs of spaces leave empty ones. One plain character parts faster than a pattern."""
+    return F.split(line, " ", -1)
 
 
 def _lines(docs: DataFrame) -> DataFrame:
     """(doc_id, line_no, line) of every line."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n", -1)).alias("line_no", "line"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split(_text(), "\n", -1)).alias("line_no", "line"))
 
 
 def _bucket(word: Column) -> Column:
     return word.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
 
 
-def rarity_levels(docs: DataFrame) -> bytes:
-    """One byte for each bucket: four times the binary logarithm of the number of words that fell in it. Of fixed size."""
-    words = docs.select(F.explode(F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), GAP_CLASS)).alias("word"))
-    counts = words.groupBy(_bucket(F.xxhash64("word")).alias("bucket")).count().toPandas()
-    levels = np.zeros(BUCKETS, np.uint8)
-    levels[counts["bucket"].to_numpy(np.int64)] = np.minimum(127, np.rint(4 * np.log2(counts["count"].to_numpy(np.float64))) + 1)
-    return levels.tobytes()
-
-
-def _ordered(line: Column, levels: bytes) -> Column:
-    """The line's set by rising rarity: distinct word hashes with the rarity in place of their upper byte."""
-    known = F.lit(bytearray(levels))
-    hashes = F.transform(F.array_remove(F.split(line, GAP_CLASS), ""), lambda w: F.xxhash64(w))
-    level = lambda h: F.ascii(F.substring(known, _bucket(h) + 1, F.lit(1)).cast("string")).cast("long")
-    return F.sort_array(F.array_distinct(F.transform(hashes, lambda h: F.shiftleft(level(h), 56).bitwiseOR(F.shiftrightunsigned(h, 8)))))
+def rarity_levels(docs: DataFrame) -> DataFrame:
+    """One row (levels): a byte for each bucket, four times the binary logarithm of the number of words that fell in it."""
+    words = docs.select(F.explode(F.split(_text(), "\n", -1)).alias("line")).select(F.explode(_cut(F.col("line"))).alias("word"))
+    counts = words.groupBy(_bucket(F.xxhash64("word")).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    counts = materialise(counts.select(F.col("bucket").cast("long").alias("bucket"), F.least(F.lit(127), F.round(F.log2("n") * 4) + 1).cast("tinyint").alias("level")), "rarity-counts")
+    every = docs.sparkSession.range(BUCKETS).join(counts.hint("merge"), F.col("id") == F.col("bucket"), "left").select("id", F.coalesce("level", F.lit(0).cast("tinyint")).alias("level"))
+    row = every.agg(F.sort_array(F.collect_list(F.struct("id", "level"))).alias("all"))
+    return materialise(row.select(F.transform("all", lambda x: x["level"]).alias("levels")), "rarity-levels")
 
 
 def _needed(a: Column, b: Column, t: float) -> Column:
@@ -66,16 +74,14 @@ def _sketch(words: Column) -> Column:
     return F.aggregate(words, F.lit(0).cast("long"), lambda acc, w: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), bit(w))))
 
 
-def _wide_sketch(words: Column) -> Column:
-    """Four such words of 64 bits: room for long lines."""
-    bit = lambda w: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(w, 20).bitwiseAND(F.lit(63)).cast("int"))
-    part = lambda k: F.aggregate(words, F.lit(0).cast("long"), lambda acc, w: acc.bitwiseXOR(F.when(F.shiftright(w, 26).bitwiseAND(F.lit(3)) == k, bit(w)).otherwise(F.lit(0).cast("long"))))
-    return F.struct(*[part(k).alias(f"s{k}") for k in range(4)])
-
-
-def line_sets(docs: DataFrame, levels: bytes, t: float) -> DataFrame:
-    """One row per distinct set: its digests a and b, its earliest line, size n, sketch and prefix (32 bits of each word)."""
-    rows = _lines(docs).where(F.col("line").rlike(WORD_CLASS)).select("doc_id", "line_no", _ordered(F.col("line"), levels).alias("words"))
+def line_sets(docs: DataFrame, levels: DataFrame, t: float) -> DataFrame:
+    """One row per distinct set: its earliest line, size n, sketch and prefix (32 bits of each word's hash)."""
+    hashes = F.array_remove(F.array_distinct(F.transform(_cut(F.col("line")), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
+    rows = _lines(docs).where(F.trim("line") != "")  # a condition on the words would cut each line twice
+    rows = rows.select("doc_id", "line_no", hashes.alias("hashes"), levels.scalar().alias("levels"))
+    # the rarity takes the place of the upper byte
+    ranked = F.transform("hashes", lambda h: F.shiftleft(F.get(F.col("levels"), _bucket(h)).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8)))
+    rows = rows.select("doc_id", "line_no", F.sort_array(ranked).alias("words"))
     rows = rows.select("doc_id", "line_no", "words", F.xxhash64("words").alias("a"), F.xxhash64(F.lit(7), "words").alias("b"), F.size("words").alias("n"))
     prefix = F.transform(F.slice("words", 1, _prefix(F.col("n"), t)), lambda w: w.bitwiseAND(F.lit(0xFFFFFFFF)).cast("long").bitwiseXOR(F.lit(1 << 31)).cast("long") - F.lit(1 << 31))
     rows = rows.select("a", "b", F.struct("doc_id", "line_no", "n", _sketch(F.col("words")).alias("sketch"), prefix.cast("array<int>").alias("prefix")).alias("line"))
@@ -83,10 +89,6 @@ def line_sets(docs: DataFrame, levels: bytes, t: float) -> DataFrame:
     return materialise(sets.withColumn("sid", F.monotonically_increasing_id()), "line-sets")
 
 
-#: Sizes and places beyond these count as these in the first look-up, which only makes its filters weaker.
-_MOST_WORDS, _MOST_PLACE = (1 << 18) - 1, (1 << 14) - 1
-
-
 def _fits(n: Column, m: Column, place: Column, other: Column, t: float) -> Column:
     """Length and positional filter."""
     return (F.least(n, m) >= F.greatest(n, m) * F.lit(t) - F.lit(1e-9)) & (F.least(n - place, m - other) >= _needed(n, m, t))
@@ -94,7 +96,8 @@ def _fits(n: Column, m: Column, place: Column, other: Column, t: float) -> Colum
 
 def possible_sets(sets: DataFrame, t: float) -> DataFrame:
     """sid of every set that may have a similar one. An entry is a word with the set's size and its place, in one number."""
-    entries = sets.select("sid", "sketch", F.least(F.col("n"), F.lit(_MOST_WORDS)).cast("long").alias("n"), F.posexplode("prefix").alias("place", "word"))
+    entries = sets.where(_needed(F.col("n"), F.col("n") + 1, t) <= F.col("n"))
+    entries = entries.select("sid", "sketch", F.least(F.col("n"), F.lit(_MOST_WORDS)).cast("long").alias("n"), F.posexplode("prefix").alias("place", "word"))
     entry = F.shiftleft(F.col("word").cast("long"), 32).bitwiseOR(F.shiftleft(F.col("n"), 14)).bitwiseOR(F.least(F.col("place"), F.lit(_MOST_PLACE)).cast("long"))
     entries = entries.select(entry.alias("entry"), "sid", "sketch")
     word = lambda side: F.shiftright(F.col(f"{side}.entry"), 32)
@@ -106,37 +109,51 @@ def possible_sets(sets: DataFrame, t: float) -> DataFrame:
     return entries.alias("x").join(entries.alias("y").hint("merge"), near, "left_semi").select("sid").distinct()
 
 
-def removed_sets(docs: DataFrame, sets: DataFrame, levels: bytes, t: float) -> DataFrame:
+def _wide_sketch(hashes: Column) -> Column:
+    """Four such words of 64 bits, each for a quarter of the words: room for long lines."""
+    bit = lambda w: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(w, 20).bitwiseAND(F.lit(63)).cast("int"))
+    part = lambda k: F.aggregate(F.filter(hashes, lambda w: F.shiftright(w, 26).bitwiseAND(F.lit(3)) == k), F.lit(0).cast("long"), lambda acc, w: acc.bitwiseXOR(bit(w)))
+    return F.struct(*[part(k).alias(f"s{k}") for k in range(4)])
+
+
+def _words_of(docs: DataFrame, held: DataFrame) -> DataFrame:
+    """(sid, words, wide) of the sets in ``held``: each text is cut into lines once more, but only the lines asked for into words."""
+    by_doc = materialise(held.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_list(F.struct("line_no", "sid")).alias("_found")), "possible-documents")
+    size = by_doc.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("_found")), F.lit(0))).first()
+    how = "broadcast" if max(size) <= SENT_LINES else "merge"
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _text().alias("text")).join(by_doc.hint(how), F.col("doc_id").eqNullSafe(F.col("_doc")))
+    rows = rows.select(F.map_from_entries("_found").alias("_sid"), F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+    rows = rows.select(F.element_at("_sid", F.col("line_no")).alias("sid"), "line").where("sid IS NOT NULL")
+    words = rows.select("sid", F.array_remove(F.array_distinct(_cut(F.col("line"))), "").alias("words"))
+    # rows that share a doc_id have a line each at the set's place; one of them is the set's own, the earliest
+    words = words.select("sid", "words", F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"))
+    return words.select("sid", "words", _wide_sketch(F.col("hashes")).alias("wide"))
+
+
+def removed_sets(docs: DataFrame, sets: DataFrame, t: float) -> DataFrame:
     """sid of every set that has an earlier similar one."""
     possible = materialise(possible_sets(sets, t), "possible-lines")
-    found = sets.join(possible.hint("merge"), "sid", "left_semi").select("sid", "doc_id", "line_no")
-    by_doc = materialise(found.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_list(F.struct("sid", "line_no")).alias("_found")), "possible-documents")
-    held = by_doc.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("_found")), F.lit(0))).first()
-    how = "broadcast" if max(held) <= SENT_LINES else "merge"
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(by_doc.hint(how), F.col("doc_id").eqNullSafe(F.col("_doc")))
-    picked = F.transform("_found", lambda f: F.struct(f["sid"].alias("sid"), f["line_no"].alias("line_no"), F.get(F.col("lines"), f["line_no"]).alias("line")))
-    rows = texts.select("doc_id", "_found", F.split("text", "\n", -1).alias("lines")).select("doc_id", F.explode(picked).alias("f")).select("doc_id", "f.*")
-    rows = rows.select("sid", F.struct("doc_id", "line_no").alias("at"), _ordered(F.coalesce("line", F.lit("")), levels).alias("words"))
-    full = materialise(rows.select("sid", "at", F.size("words").alias("n"), _wide_sketch(F.col("words")).alias("sketch"), "words").where("n > 0"), "possible-sets")
-    entries = full.select("sid", "at", "n", "sketch", F.posexplode(F.slice("words", 1, _prefix(F.col("n"), t))).alias("place", "word"))
+    held = materialise(sets.join(possible.hint("merge"), "sid", "left_semi").drop("sketch"), "possible-sets")
+    words = materialise(_words_of(docs, held), "possible-words")
+    entries = materialise(held.join(words.select("sid", "wide").hint("merge"), "sid"), "possible-sketches")
+    entries = entries.select("sid", F.struct("doc_id", "line_no").alias("at"), "n", "wide", F.posexplode("prefix").alias("place", "word"))
     x, y = (lambda c: F.col(f"x.{c}")), (lambda c: F.col(f"y.{c}"))
-
-    def near(near_x, near_y) -> Column:
-        differ = near_x("n") + near_y("n") - F.lit(2) * _needed(near_x("n"), near_y("n"), t)
-        return _fits(near_x("n"), near_y("n"), near_x("place"), near_y("place"), t) & (sum(F.bit_count(near_x(f"sketch.s{k}").bitwiseXOR(near_y(f"sketch.s{k}"))) for k in range(4)) <= differ)
-
-    later = materialise(entries.alias("x").join(entries.alias("y").hint("merge"), (x("word") == y("word")) & (y("at") < x("at")) & near(x, y), "left_semi"), "later-lines")
+    differ = x("n") + y("n") - F.lit(2) * _needed(x("n"), y("n"), t)
+    near = (y("at") < x("at")) & _fits(x("n"), y("n"), x("place"), y("place"), t) & (sum(F.bit_count(x(f"wide.s{k}").bitwiseXOR(y(f"wide.s{k}"))) for k in range(4)) <= differ)
+    later = materialise(entries.alias("x").join(entries.alias("y").hint("merge"), (x("word") == y("word")) & near, "left_semi"), "later-lines")
+    alike = lambda a, b: F.size(F.array_intersect(a, b)) >= _needed(F.size(a), F.size(b), t)
     # most have the earliest set of one of their words for a partner: verify that one alone
-    heads = entries.groupBy("word").agg(F.min(F.struct("at", "sid", "n", "sketch", "place")).alias("head")).select(F.col("word").alias("_word"), "head.*")
-    tried = later.alias("x").join(heads.alias("y").hint("merge"), (x("word") == F.col("_word")) & (y("at") < x("at")) & near(x, y)).groupBy(x("sid").alias("sid")).agg(F.min(F.struct(y("at").alias("at"), y("sid").alias("sid"))).alias("y")).select("sid", F.col("y.sid").alias("partner"))
-    sets_of = lambda n, m, w: full.select(F.col("sid").alias(n), F.col("n").alias(m), F.col("words").alias(w))
-    held = tried.join(sets_of("sid", "_n", "_words").hint("merge"), "sid").join(sets_of("partner", "_m", "_others").hint("merge"), "partner")
-    found = materialise(held.where(F.size(F.array_intersect("_words", "_others")) >= _needed(F.col("_n"), F.col("_m"), t)).select("sid"), "verified-lines")
+    heads = entries.groupBy("word").agg(F.min(F.struct("at", "sid", "n", "wide", "place")).alias("head")).select(F.col("word").alias("_word"), "head.*")
+    tried = later.alias("x").join(materialise(heads, "first-lines").alias("y").hint("merge"), (x("word") == F.col("_word")) & near)
+    tried = tried.groupBy(x("sid").alias("sid")).agg(F.min(F.struct(y("at").alias("at"), y("sid").alias("sid"))).alias("y")).select("sid", F.col("y.sid").alias("partner"))
+    words_of = lambda sid, name: words.select(F.col("sid").alias(sid), F.col("words").alias(name))
+    both = materialise(tried, "tried-lines").join(words_of("sid", "_a").hint("merge"), "sid").join(words_of("partner", "_b").hint("merge"), "partner")
+    found = materialise(both.where(alike(F.col("_a"), F.col("_b"))).select("sid").distinct(), "verified-lines")
     # the others are compared with every earlier set that shares a prefix word
-    rest = later.join(found.hint("merge"), "sid", "left_anti")
-    partners = entries.join(rest.select("word").distinct().hint("merge"), "word", "left_semi")
-    with_words = lambda e: e.join(full.select("sid", "words").hint("merge"), "sid")
-    same = (x("word") == y("word")) & (y("at") < x("at")) & near(x, y) & (F.size(F.array_intersect(x("words"), y("words"))) >= _needed(x("n"), y("n"), t))
+    rest = materialise(later.join(found.hint("merge"), "sid", "left_anti"), "unverified-lines")
+    partners = entries.join(materialise(rest.select("word").distinct(), "unverified-words").hint("merge"), "word", "left_semi")
+    with_words = lambda e: e.join(words.select("sid", "words").hint("merge"), "sid")
+    same = (x("word") == y("word")) & near & alike(x("words"), y("words"))
     more = with_words(rest).alias("x").join(with_words(partners).alias("y").hint("merge"), same, "left_semi").select("sid")
     return found.unionAll(more).distinct()
 
@@ -148,15 +165,14 @@ def repeated_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     number) keeps its line if it is the earliest of a set without an earlier similar one, so rows that share a doc_id (null
     as well) do not remove each other's lines at one place. Other columns are ignored; an empty table gives no rows.
     """
-    levels = rarity_levels(docs)
-    sets = line_sets(docs, levels, threshold)
-    removed = removed_sets(docs, sets, levels, threshold)
+    sets = line_sets(docs, rarity_levels(docs), threshold)
+    removed = materialise(removed_sets(docs, sets, threshold), "removed-lines")
     kept = sets.select("sid", "doc_id", "line_no").join(removed.hint("merge"), "sid", "left_anti")
     kept = kept.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_list("line_no").alias("_kept"))
     lines = F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n", -1)
     worded = F.array_compact(F.transform(lines, lambda x, i: F.when(x.rlike(WORD_CLASS), i)))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.size(lines).cast("long").alias("n_lines"), worded.alias("_worded"))
-    joined = rows.join(kept.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_doc")), "left")
+    joined = rows.join(materialise(kept, "kept-lines").hint("merge"), F.col("doc_id").eqNullSafe(F.col("_doc")), "left")
     gone = F.sort_array(F.array_except("_worded", F.coalesce("_kept", F.array().cast("array<int>"))))
     return joined.select("doc_id", "n_lines", gone.alias("removed_lines"))
 
