@@ -45,6 +45,11 @@ def _lines(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split(_text(), "\n", -1)).alias("line_no", "line"))
 
 
+def _how(rows: int) -> str:
+    """The strategy of a join with a written table of so many rows of a few numbers each."""
+    return "broadcast" if rows <= SENT_LINES else "merge"
+
+
 def _bucket(word: Column) -> Column:
     return word.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
 
@@ -80,7 +85,7 @@ def line_sets(docs: DataFrame, levels: DataFrame, t: float) -> DataFrame:
     rows = _lines(docs).where(F.trim("line") != "")  # a condition on the words would cut each line twice
     rows = rows.select("doc_id", "line_no", hashes.alias("hashes"), levels.scalar().alias("levels"))
     # the rarity takes the place of the upper byte
-    ranked = F.transform("hashes", lambda h: F.shiftleft(F.get(F.col("levels"), _bucket(h)).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8)))
+    ranked = F.transform("hashes", lambda h: F.shiftleft(F.coalesce(F.get(F.col("levels"), _bucket(h)).cast("long"), F.lit(0).cast("long")), 56).bitwiseOR(F.shiftrightunsigned(h, 8)))
     rows = rows.select("doc_id", "line_no", F.sort_array(ranked).alias("words"))
     rows = rows.select("doc_id", "line_no", "words", F.xxhash64("words").alias("a"), F.xxhash64(F.lit(7), "words").alias("b"), F.size("words").alias("n"))
     prefix = F.transform(F.slice("words", 1, _prefix(F.col("n"), t)), lambda w: w.bitwiseAND(F.lit(0xFFFFFFFF)).cast("long").bitwiseXOR(F.lit(1 << 31)).cast("long") - F.lit(1 << 31))
@@ -117,44 +122,54 @@ def _wide_sketch(hashes: Column) -> Column:
 
 
 def _words_of(docs: DataFrame, held: DataFrame) -> DataFrame:
-    """(sid, words, wide) of the sets in ``held``: each text is cut into lines once more, but only the lines asked for into words."""
+    """(sid, m, words, wide) of the sets in ``held``: its distinct words, parted by spaces, and their number.
+
+    Each text is cut into lines once more, but only the lines asked for into words.
+    """
     by_doc = materialise(held.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_list(F.struct("line_no", "sid")).alias("_found")), "possible-documents")
     size = by_doc.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("_found")), F.lit(0))).first()
-    how = "broadcast" if max(size) <= SENT_LINES else "merge"
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _text().alias("text")).join(by_doc.hint(how), F.col("doc_id").eqNullSafe(F.col("_doc")))
-    rows = rows.select(F.map_from_entries("_found").alias("_sid"), F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-    rows = rows.select(F.element_at("_sid", F.col("line_no")).alias("sid"), "line").where("sid IS NOT NULL")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _text().alias("text")).join(by_doc.hint(_how(max(size))), F.col("doc_id").eqNullSafe(F.col("_doc")))
+    # as a generator's output the lines are cut once a text and not again for each of those found
+    rows = rows.select("_found", F.explode(F.array(F.split("text", "\n", -1))).alias("lines"))
+    rows = rows.select(F.inline(F.transform("_found", lambda f: F.struct(f["sid"].alias("sid"), F.coalesce(F.get(F.col("lines"), f["line_no"]), F.lit("")).alias("line")))))
     words = rows.select("sid", F.array_remove(F.array_distinct(_cut(F.col("line"))), "").alias("words"))
     # rows that share a doc_id have a line each at the set's place; one of them is the set's own, the earliest
     words = words.select("sid", "words", F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"))
-    return words.select("sid", "words", _wide_sketch(F.col("hashes")).alias("wide"))
+    return words.select("sid", F.size("words").alias("m"), F.array_join("words", " ").alias("words"), _wide_sketch(F.col("hashes")).alias("wide"))
 
 
 def removed_sets(docs: DataFrame, sets: DataFrame, t: float) -> DataFrame:
     """sid of every set that has an earlier similar one."""
     possible = materialise(possible_sets(sets, t), "possible-lines")
-    held = materialise(sets.join(possible.hint("merge"), "sid", "left_semi").drop("sketch"), "possible-sets")
+    held = materialise(sets.drop("sketch").join(possible.hint(_how(possible.count())), "sid", "left_semi"), "possible-sets")
     words = materialise(_words_of(docs, held), "possible-words")
     entries = materialise(held.join(words.select("sid", "wide").hint("merge"), "sid"), "possible-sketches")
     entries = entries.select("sid", F.struct("doc_id", "line_no").alias("at"), "n", "wide", F.posexplode("prefix").alias("place", "word"))
     x, y = (lambda c: F.col(f"x.{c}")), (lambda c: F.col(f"y.{c}"))
     differ = x("n") + y("n") - F.lit(2) * _needed(x("n"), y("n"), t)
     near = (y("at") < x("at")) & _fits(x("n"), y("n"), x("place"), y("place"), t) & (sum(F.bit_count(x(f"wide.s{k}").bitwiseXOR(y(f"wide.s{k}"))) for k in range(4)) <= differ)
-    later = materialise(entries.alias("x").join(entries.alias("y").hint("merge"), (x("word") == y("word")) & near, "left_semi"), "later-lines")
-    alike = lambda a, b: F.size(F.array_intersect(a, b)) >= _needed(F.size(a), F.size(b), t)
-    # most have the earliest set of one of their words for a partner: verify that one alone
-    heads = entries.groupBy("word").agg(F.min(F.struct("at", "sid", "n", "wide", "place")).alias("head")).select(F.col("word").alias("_word"), "head.*")
-    tried = later.alias("x").join(materialise(heads, "first-lines").alias("y").hint("merge"), (x("word") == F.col("_word")) & near)
+    near = (x("word") == y("word")) & (x("sid") != y("sid")) & near  # with sid on both sides one exchange serves both
+    later = materialise(entries.alias("x").join(entries.alias("y").hint("merge"), near, "left_semi"), "later-lines")
+    # an earlier set of one of its words, the first, is the partner of most: verify that one alone
+    asked = materialise(later.select("word").distinct(), "later-words")
+    heads = entries.join(asked.hint(_how(asked.count())), "word", "left_semi").groupBy("word").agg(F.min(F.struct("at", "sid", "n", "wide", "place")).alias("head")).select("word", "head.*")
+    tried = later.alias("x").join(materialise(heads, "first-lines").alias("y").hint("merge"), near)
     tried = tried.groupBy(x("sid").alias("sid")).agg(F.min(F.struct(y("at").alias("at"), y("sid").alias("sid"))).alias("y")).select("sid", F.col("y.sid").alias("partner"))
-    words_of = lambda sid, name: words.select(F.col("sid").alias(sid), F.col("words").alias(name))
-    both = materialise(tried, "tried-lines").join(words_of("sid", "_a").hint("merge"), "sid").join(words_of("partner", "_b").hint("merge"), "partner")
-    found = materialise(both.where(alike(F.col("_a"), F.col("_b"))).select("sid").distinct(), "verified-lines")
+    tried = materialise(tried, "tried-lines")
+    words = words.drop("wide")
+    alike = lambda a, b: F.size(F.array_intersect(_cut(a("words")), _cut(b("words")))) >= _needed(a("m"), b("m"), t)
+    how = _how(tried.count())
+    own = words.join(tried.hint(how), "sid")
+    other = words.select(F.col("sid").alias("partner"), F.struct("m", "words").alias("y")).join(tried.select("partner").distinct().hint(how), "partner", "left_semi")
+    both = own.select("sid", "partner", F.struct("m", "words").alias("x")).join(other.hint("merge"), "partner")
+    found = materialise(both.where(alike(x, y)).select("sid").distinct(), "verified-lines")
     # the others are compared with every earlier set that shares a prefix word
-    rest = materialise(later.join(found.hint("merge"), "sid", "left_anti"), "unverified-lines")
-    partners = entries.join(materialise(rest.select("word").distinct(), "unverified-words").hint("merge"), "word", "left_semi")
-    with_words = lambda e: e.join(words.select("sid", "words").hint("merge"), "sid")
-    same = (x("word") == y("word")) & near & alike(x("words"), y("words"))
-    more = with_words(rest).alias("x").join(with_words(partners).alias("y").hint("merge"), same, "left_semi").select("sid")
+    rest = materialise(later.join(found.hint(_how(found.count())), "sid", "left_anti"), "unverified-lines")
+    asked = materialise(rest.select("word").distinct(), "unverified-words")
+    partners = entries.join(asked.hint(_how(asked.count())), "word", "left_semi").alias("y")
+    partners = materialise(partners.join(rest.alias("x").hint("merge"), near, "left_semi"), "unverified-partners")
+    with_words = lambda e: e.join(words.hint("merge"), "sid")
+    more = with_words(rest).alias("x").join(with_words(partners).alias("y").hint("merge"), near & alike(x, y), "left_semi").select("sid")
     return found.unionAll(more).distinct()
 
 
@@ -167,7 +182,7 @@ def repeated_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """
     sets = line_sets(docs, rarity_levels(docs), threshold)
     removed = materialise(removed_sets(docs, sets, threshold), "removed-lines")
-    kept = sets.select("sid", "doc_id", "line_no").join(removed.hint("merge"), "sid", "left_anti")
+    kept = sets.select("sid", "doc_id", "line_no").join(removed.hint(_how(removed.count())), "sid", "left_anti")
     kept = kept.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_list("line_no").alias("_kept"))
     lines = F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n", -1)
     worded = F.array_compact(F.transform(lines, lambda x, i: F.when(x.rlike(WORD_CLASS), i)))
