@@ -5,9 +5,9 @@ Jaccard similarity to its own is ``threshold`` or more.
 
 1. Rarity: words are counted in 2^18 hash buckets over all texts; a bucket's rounded logarithm is its words' rarity. The
    levels are one row, which the next step reads as a scalar subquery.
-2. One pass cuts all lines into words. Equal sets fall together by two 64-bit digests of their words' 64-bit hashes; the earliest
-   line stands for them. Its words are ordered by (rarity, hash), and the first n - ceil(threshold n) + 1 of them, the prefix, are
-   kept: similar sets share a word of their prefixes. Sets of up to three words are similar to equal ones alone.
+2. One pass cuts all lines into words, orders them by (rarity, hash), and writes the first n - ceil(threshold n) + 1 of them, the
+   prefix: similar sets share a word of their prefixes. Equal sets fall together by two 64-bit digests of their words' 64-bit
+   hashes; the earliest line stands for them. Sets of up to three words are similar to equal ones alone.
 3. A semi join on prefix words leaves sets that have a possible partner by length, by the words' places in the sets and by
    a 64-bit parity sketch (each differing bit needs a word in which the sets differ). No pairs are listed.
 4. Only for those sets the lines are fetched. A set is verified, on the words themselves, with the earliest set that shares one
@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD_CLASS, materialise
+from .common import materialise
 
 THRESHOLD = 0.8
 BUCKETS = 1 << 18
@@ -40,11 +40,6 @@ def _cut(line: Column) -> Column:
     return F.split(line, " ", -1)
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, line_no, line) of every line."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split(_text(), "\n", -1)).alias("line_no", "line"))
-
-
 def _how(rows: int) -> str:
     """The strategy of a join with a written table of so many rows of a few numbers each."""
     return "broadcast" if rows <= SENT_LINES else "merge"
@@ -55,13 +50,13 @@ def _bucket(word: Column) -> Column:
 
 
 def rarity_levels(docs: DataFrame) -> DataFrame:
-    """One row (levels): a byte for each bucket, four times the binary logarithm of the number of words that fell in it."""
+    """One row (levels): for each bucket four times the binary logarithm of the number of words that fell in it, in the upper byte."""
     words = docs.select(F.explode(F.split(_text(), "\n", -1)).alias("line")).select(F.explode(_cut(F.col("line"))).alias("word"))
     counts = words.groupBy(_bucket(F.xxhash64("word")).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
     counts = materialise(counts.select(F.col("bucket").cast("long").alias("bucket"), F.least(F.lit(127), F.round(F.log2("n") * 4) + 1).cast("tinyint").alias("level")), "rarity-counts")
     every = docs.sparkSession.range(BUCKETS).join(counts.hint("merge"), F.col("id") == F.col("bucket"), "left").select("id", F.coalesce("level", F.lit(0).cast("tinyint")).alias("level"))
     row = every.agg(F.sort_array(F.collect_list(F.struct("id", "level"))).alias("all"))
-    return materialise(row.select(F.transform("all", lambda x: x["level"]).alias("levels")), "rarity-levels")
+    return materialise(row.select(F.transform("all", lambda x: F.shiftleft(x["level"].cast("long"), 56)).alias("levels")), "rarity-levels")
 
 
 def _needed(a: Column, b: Column, t: float) -> Column:
@@ -79,18 +74,23 @@ def _sketch(words: Column) -> Column:
     return F.aggregate(words, F.lit(0).cast("long"), lambda acc, w: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), bit(w))))
 
 
-def line_sets(docs: DataFrame, levels: DataFrame, t: float) -> DataFrame:
-    """One row per distinct set: its earliest line, size n, sketch and prefix (32 bits of each word's hash)."""
+def line_rows(docs: DataFrame, levels: DataFrame, t: float) -> DataFrame:
+    """One row per line: the text's __v_row, doc_id, line_no, the set's digests a and b, size n, sketch and prefix (32 bits of each hash)."""
     hashes = F.array_remove(F.array_distinct(F.transform(_cut(F.col("line")), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
-    rows = _lines(docs).where(F.trim("line") != "")  # a condition on the words would cut each line twice
-    rows = rows.select("doc_id", "line_no", hashes.alias("hashes"), levels.scalar().alias("levels"))
-    # the rarity takes the place of the upper byte
-    ranked = F.transform("hashes", lambda h: F.shiftleft(F.coalesce(F.get(F.col("levels"), _bucket(h)).cast("long"), F.lit(0).cast("long")), 56).bitwiseOR(F.shiftrightunsigned(h, 8)))
-    rows = rows.select("doc_id", "line_no", F.sort_array(ranked).alias("words"))
-    rows = rows.select("doc_id", "line_no", "words", F.xxhash64("words").alias("a"), F.xxhash64(F.lit(7), "words").alias("b"), F.size("words").alias("n"))
+    rows = docs.select("__v_row", F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split(_text(), "\n", -1)).alias("line_no", "line"))
+    rows = rows.select("__v_row", "doc_id", "line_no", hashes.alias("hashes"), levels.scalar().alias("levels"))
+    # the rarity takes the place of the upper byte; without nulls the sort is one of plain numbers
+    ranked = F.transform("hashes", lambda h: F.coalesce(F.get(F.col("levels"), _bucket(h)), F.lit(0).cast("long")).bitwiseOR(F.shiftrightunsigned(h, 8)))
+    rows = rows.select("__v_row", "doc_id", "line_no", F.sort_array(ranked).alias("words"))
+    rows = rows.select("__v_row", "doc_id", "line_no", "words", F.size("words").alias("n"))
     prefix = F.transform(F.slice("words", 1, _prefix(F.col("n"), t)), lambda w: w.bitwiseAND(F.lit(0xFFFFFFFF)).cast("long").bitwiseXOR(F.lit(1 << 31)).cast("long") - F.lit(1 << 31))
-    rows = rows.select("a", "b", F.struct("doc_id", "line_no", "n", _sketch(F.col("words")).alias("sketch"), prefix.cast("array<int>").alias("prefix")).alias("line"))
-    sets = rows.groupBy("a", "b").agg(F.min("line").alias("line")).select("line.*")
+    rows = rows.select("__v_row", "doc_id", "line_no", F.xxhash64("words").alias("a"), F.xxhash64(F.lit(7), "words").alias("b"), "n", _sketch(F.col("words")).alias("sketch"), prefix.cast("array<int>").alias("prefix"))
+    return materialise(rows, "line-rows")
+
+
+def line_sets(rows: DataFrame) -> DataFrame:
+    """One row per distinct set with words: its earliest line, size n, sketch and prefix."""
+    sets = rows.where("n > 0").groupBy("a", "b").agg(F.min(F.struct("doc_id", "line_no", "n", "sketch", "prefix")).alias("line")).select("line.*")
     return materialise(sets.withColumn("sid", F.monotonically_increasing_id()), "line-sets")
 
 
@@ -115,10 +115,10 @@ def possible_sets(sets: DataFrame, t: float) -> DataFrame:
 
 
 def _wide_sketch(hashes: Column) -> Column:
-    """Four such words of 64 bits, each for a quarter of the words: room for long lines."""
+    """Two such words of 64 bits, each for half of the words: room for long lines."""
     bit = lambda w: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(w, 20).bitwiseAND(F.lit(63)).cast("int"))
-    part = lambda k: F.aggregate(F.filter(hashes, lambda w: F.shiftright(w, 26).bitwiseAND(F.lit(3)) == k), F.lit(0).cast("long"), lambda acc, w: acc.bitwiseXOR(bit(w)))
-    return F.struct(*[part(k).alias(f"s{k}") for k in range(4)])
+    part = lambda k: F.aggregate(F.filter(hashes, lambda w: F.shiftright(w, 26).bitwiseAND(F.lit(1)) == k), F.lit(0).cast("long"), lambda acc, w: acc.bitwiseXOR(bit(w)))
+    return F.struct(*[part(k).alias(f"s{k}") for k in range(2)])
 
 
 def _words_of(docs: DataFrame, held: DataFrame) -> DataFrame:
@@ -147,7 +147,7 @@ def removed_sets(docs: DataFrame, sets: DataFrame, t: float) -> DataFrame:
     entries = entries.select("sid", F.struct("doc_id", "line_no").alias("at"), "n", "wide", F.posexplode("prefix").alias("place", "word"))
     x, y = (lambda c: F.col(f"x.{c}")), (lambda c: F.col(f"y.{c}"))
     differ = x("n") + y("n") - F.lit(2) * _needed(x("n"), y("n"), t)
-    near = (y("at") < x("at")) & _fits(x("n"), y("n"), x("place"), y("place"), t) & (sum(F.bit_count(x(f"wide.s{k}").bitwiseXOR(y(f"wide.s{k}"))) for k in range(4)) <= differ)
+    near = (y("at") < x("at")) & _fits(x("n"), y("n"), x("place"), y("place"), t) & (sum(F.bit_count(x(f"wide.s{k}").bitwiseXOR(y(f"wide.s{k}"))) for k in range(2)) <= differ)
     near = (x("word") == y("word")) & (x("sid") != y("sid")) & near  # with sid on both sides one exchange serves both
     later = materialise(entries.alias("x").join(entries.alias("y").hint("merge"), near, "left_semi"), "later-lines")
     # an earlier set of one of its words, the first, is the partner of most: verify that one alone
@@ -173,6 +173,19 @@ def removed_sets(docs: DataFrame, sets: DataFrame, t: float) -> DataFrame:
     return found.unionAll(more).distinct()
 
 
+def _by_row(docs: DataFrame, threshold: float) -> DataFrame:
+    """(__v_row, doc_id, n_lines, removed_lines) for every row of ``docs``, which has the row's number in __v_row."""
+    rows = line_rows(docs, rarity_levels(docs), threshold)
+    sets = line_sets(rows)
+    removed = materialise(removed_sets(docs, sets, threshold), "removed-lines")
+    kept = sets.select("sid", "doc_id", "line_no").join(removed.hint(_how(removed.count())), "sid", "left_anti")
+    kept = materialise(kept.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_list("line_no").alias("_kept")), "kept-lines")
+    texts = rows.groupBy("__v_row").agg(F.max("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n_lines"), F.collect_list(F.when(F.col("n") > 0, F.col("line_no"))).alias("_worded"))
+    joined = materialise(texts, "worded-lines").join(kept.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_doc")), "left")
+    gone = F.sort_array(F.array_except("_worded", F.coalesce("_kept", F.array().cast("array<int>"))))
+    return joined.select("__v_row", "doc_id", "n_lines", gone.alias("removed_lines"))
+
+
 def repeated_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, n_lines, removed_lines) for every row of ``docs``; removed_lines are line numbers from 0, ascending.
 
@@ -180,23 +193,14 @@ def repeated_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     number) keeps its line if it is the earliest of a set without an earlier similar one, so rows that share a doc_id (null
     as well) do not remove each other's lines at one place. Other columns are ignored; an empty table gives no rows.
     """
-    sets = line_sets(docs, rarity_levels(docs), threshold)
-    removed = materialise(removed_sets(docs, sets, threshold), "removed-lines")
-    kept = sets.select("sid", "doc_id", "line_no").join(removed.hint(_how(removed.count())), "sid", "left_anti")
-    kept = kept.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_list("line_no").alias("_kept"))
-    lines = F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n", -1)
-    worded = F.array_compact(F.transform(lines, lambda x, i: F.when(x.rlike(WORD_CLASS), i)))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.size(lines).cast("long").alias("n_lines"), worded.alias("_worded"))
-    joined = rows.join(materialise(kept, "kept-lines").hint("merge"), F.col("doc_id").eqNullSafe(F.col("_doc")), "left")
-    gone = F.sort_array(F.array_except("_worded", F.coalesce("_kept", F.array().cast("array<int>"))))
-    return joined.select("doc_id", "n_lines", gone.alias("removed_lines"))
+    return _by_row(docs.select("doc_id", "text", F.monotonically_increasing_id().alias("__v_row")), threshold).drop("__v_row")
 
 
 def drop_repeated_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` with their repeated lines taken out of text."""
-    gone = repeated_lines(docs, threshold).where(F.size("removed_lines") > 0).select(F.col("doc_id").alias("__v_doc"), F.col("removed_lines").alias("__v_gone"))
-    gone = gone.groupBy("__v_doc").agg(F.max("__v_gone").alias("__v_gone"))
-    joined = docs.join(gone.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__v_doc")), "left")
+    """The rows of ``docs`` with their repeated lines taken out of text; null texts, ties and repeated rows as in ``repeated_lines``."""
+    rows = materialise(docs.withColumn("__v_row", F.monotonically_increasing_id()), "numbered-documents")
+    gone = _by_row(rows, threshold).where(F.size("removed_lines") > 0).select(F.col("__v_row").alias("__v_own"), F.col("removed_lines").alias("__v_gone"))
+    joined = rows.join(materialise(gone, "gone-lines").hint("merge"), F.col("__v_row") == F.col("__v_own"), "left")
     kept = F.filter(F.split("text", "\n", -1), lambda line, i: ~F.array_contains("__v_gone", i))
     return joined.withColumn("text", F.when(F.col("__v_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))).select(*docs.columns)
 
