@@ -25,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_exact_dedup": exact.SQL, "op7_nearest": ann.SQL, "op10_mix_sources": mixing.SQL}
+    return {"op6_exact_dedup": exact.SQL, "op7_nearest": ann.SQL, "op9_warc": warc.SQL, "op10_mix_sources": mixing.SQL}

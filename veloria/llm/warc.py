@@ -26,6 +26,9 @@ from .tokens import small_batches
 LEAST_PAYLOAD = 0
 RANGE_BYTES = 8 << 20
 CHUNK = 1 << 20
+HOT_KEYS = 20_000
+#: Ranges are dealt to at most so many tasks at once.
+MOST_TASKS = 20_000
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MAGIC = b"\x1f\x8b\x08"
@@ -57,20 +60,28 @@ def warc_record(page_id: int | None, url: str | None, payload: bytes, refers_to:
     return z.compress(data) + z.flush()
 
 
-def with_revisits(pages: DataFrame, least: int = LEAST_PAYLOAD) -> DataFrame:
+def with_revisits(pages: DataFrame, least: int = LEAST_PAYLOAD, hot_keys: int = HOT_KEYS) -> DataFrame:
     """page_id, url, payload, refers_to, revisit: of equal payloads of at least ``least`` bytes, all but the smallest page_id revisit it.
 
     Null html is the empty payload. A null page_id never is the one referred to unless no other has the payload; rows that
-    repeat the smallest page_id are responses all. Only digests and ids are grouped (a hot payload combines on the map
-    side); the join back may be split where one payload holds many rows.
+    repeat the smallest page_id are responses all. Only digests and ids are grouped, combined on the map side. Payloads of
+    more than one in ``hot_keys`` rows number fewer than ``hot_keys``, so they go to every executor and their pages are not
+    brought together; the others are met in a merge join, where no payload has many rows.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumn("_key", F.unhex(F.sha2("payload", 256)))
-    shared = rows.where(F.length("payload") >= least).groupBy("_key").agg(F.min("page_id").alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
-    shared = materialise(shared, "shared-payloads")  # both sides of the join then are plain shuffles, which can be split
-    rows = rows.join(shared.hint("merge"), "_key", "left")
-    revisit = F.col("_first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_first"))
-    return rows.select("page_id", "url", "payload", F.when(revisit, F.col("_first")).alias("refers_to"), revisit.alias("revisit"))
+    shared = rows.where(F.length("payload") >= least).groupBy("_key").agg(F.min("page_id").alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    shared = materialise(shared, "shared-payloads")
+    is_hot = F.col("_n") * F.lit(hot_keys) > F.lit(pages.count())
+    hot = shared.where(is_hot).select("_key", F.col("_first").alias("_hot_first"), F.lit(True).alias("_hot"))
+    rows = rows.join(hot.hint("broadcast"), "_key", "left")
+    # a hot payload's pages are dealt out by themselves and meet nothing
+    own = F.unhex(F.sha2(F.concat_ws(" ", F.col("page_id").cast("string"), "url", F.spark_partition_id().cast("string")).cast("binary"), 256))
+    rows = rows.withColumn("_to", F.when(F.col("_hot"), own).otherwise(F.col("_key")))
+    rows = rows.join(shared.where(~is_hot).select(F.col("_key").alias("_to"), F.col("_first").alias("_cool_first")).hint("merge"), "_to", "left")
+    first = F.coalesce("_hot_first", "_cool_first")
+    revisit = first.isNotNull() & ~F.col("page_id").eqNullSafe(first)
+    return rows.select("page_id", "url", "payload", F.when(revisit, first).alias("refers_to"), revisit.alias("revisit"))
 
 
 def write_warc(pages: DataFrame, path: str, least: int = LEAST_PAYLOAD) -> None:
@@ -158,12 +169,14 @@ def _member(read, size: int, at: int) -> tuple[bytes, int] | None:
 def read_warc(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """The records of all archives under ``path``, by byte ranges of ``range_bytes``.
 
-    Files are listed by Spark without their content; the ranges are dealt out and each task opens its file with pyarrow's
-    file systems (local and mounted folders, HDFS, S3 and others by URI).
+    Files are listed by Spark without their content; the ranges are dealt out to as many tasks (their number is given, as
+    adaptive execution would put such small rows into one), and each task opens its file with pyarrow's file systems (local
+    and mounted folders, HDFS, S3 and others by URI).
     """
     files = spark.read.format("binaryFile").load(path).where(F.col("length") > 1).select("path", "length")
     starts = F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(range_bytes).cast("long")))
-    ranges = files.select("path", "length", starts.alias("start")).repartition("path", "start")
+    ranges = materialise(files.select("path", "length", starts.alias("start")), "warc-ranges")
+    ranges = ranges.repartition(max(1, min(MOST_TASKS, 2 * ranges.count())), "path", "start")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
@@ -191,6 +204,16 @@ def _table(rows: list[tuple]) -> pa.RecordBatch:
     return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "payload"])
 
 
+SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS payload, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages),
+h AS (SELECT *, sha1(payload) AS x, page_id IS DISTINCT FROM first AND first IS NOT NULL AS revisit FROM p)
+SELECT page_id, CAST(strlen(payload) AS BIGINT) AS payload_bytes,
+       array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + ((CAST('0x' || substr(x, CAST(5 * (i // 4) + 1 AS BIGINT), 5) AS BIGINT) >> (15 - 5 * (i % 4))) & 31) AS BIGINT), 1) FOR i IN range(32)], '') AS payload_digest,
+       CASE WHEN revisit THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN revisit THEN first END AS refers_to
+FROM h
+"""
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "warc")
     write_warc(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
