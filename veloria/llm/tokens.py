@@ -12,6 +12,7 @@ longer than that has a block of its own.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import scratch_path
+from .common import materialise, scratch_path
 
 BLOCK_TOKENS = 2_000_000
 HEADER = struct.Struct("<4sIIQqBII")
@@ -40,6 +41,17 @@ _PLAIN = re.compile("([a-zß-öø-ÿ]+)([.,;:!?]*)")
 _SHOWN = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
 _BYTE_LEVEL = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in set(_SHOWN))}
 
+#: The settings under which white space parts words for good and plain words of letters stay whole, as they
+#: stand in the tokenizer's file. With any other settings whole texts go through the tokenizer.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
 _encoders: dict[str, WordEncoder] = {}
 
 
@@ -51,7 +63,7 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 
 class WordEncoder(dict):
-    """Encodes whole texts with a tokenizer that never joins what ASCII white space separates.
+    """Encodes whole texts; word by word if the tokenizer never joins what ASCII white space separates, which its settings show.
 
     Such a tokenizer gives a text's ids as its words' ids in turn, so each new word is encoded once and kept as bytes: this
     is a dictionary from words to ids that fills itself. It has two generations of CACHE_WORDS at most; what is used again
@@ -69,7 +81,11 @@ class WordEncoder(dict):
         self.old: dict[bytes, bytes] = {}
         self.marks: dict[str, bytes] = {"": b""}
         self.wide = self.tokenizer.get_vocab_size(with_added_tokens=True) > 1 << 16
-        self.plain = self._takes_plain_words()
+        with open(path, encoding="utf-8") as f:
+            settings = json.load(f)
+        bare = all(not t["lstrip"] and not t["rstrip"] and not t["single_word"] and len(t["content"].split()) == 1 for t in settings["added_tokens"])
+        self.by_words = bare and settings["normalizer"] == _NORMALIZER and settings["pre_tokenizer"] == _PRE_TOKENIZER and settings["model"]["type"] == "BPE"
+        self.plain = self.by_words and self._takes_plain_words()
 
     def _alone(self, word: str) -> bytes:
         return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
@@ -103,6 +119,8 @@ class WordEncoder(dict):
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
+        if not self.by_words:
+            return [self._alone(t.decode("utf-8", "replace")) for t in texts]
         if len(self) > CACHE_WORDS:
             self.old = dict(self)
             self.clear()
@@ -280,40 +298,33 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     """Per document of the token files under ``path``: doc_id, start, n_tokens, ids_crc32.
 
-    A block's place in the whole comes from the headers alone: a running sum over blocks (one small row per file of
-    some MB), in two levels.
+    Each file is read once. Files stand in the order of their writers' numbers: the part, and the file within the part. A
+    file's place in the whole is a running sum over the files' tokens, in two levels.
     """
     files = spark.read.format("binaryFile").load(path).where(F.col("length") > F.lit(1))
-
-    def little(at: int, n: int):
-        """An unsigned little-endian number of the header, read without Python."""
-        parts = [F.conv(F.hex(F.substring("content", at + i, 1)), 16, 10).cast("long") * F.lit(1 << 8 * i) for i in range(n)]
-        total = parts[0]
-        for p in parts[1:]:
-            total = total + p
-        return total
-
-    heads = files.select(F.col("path").alias("_path"), F.regexp_extract("path", r"part-(\d+)", 1).cast("long").alias("_part"), little(13, 6).alias("_n"))
-    heads = heads.withColumn("_chunk", F.floor(F.col("_part") / 1024))
-    within = W.partitionBy("_chunk").orderBy("_path").rowsBetween(W.unboundedPreceding, -1)
-    chunks = heads.groupBy("_chunk").agg(F.sum("_n").alias("_total"))
-    chunks = chunks.select("_chunk", F.coalesce(F.sum("_total").over(W.orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    heads = heads.withColumn("_own", F.coalesce(F.sum("_n").over(within), F.lit(0))).join(chunks.hint("merge"), "_chunk")
-    heads = heads.select("_path", (F.col("_before") + F.col("_own")).alias("_base"))
+    number = lambda k: F.regexp_extract("path", r"part-(\d+)-[^/]*?(?:-c(\d+))?[^-/]*$", k).cast("long")
+    files = files.select(number(1).alias("_part"), F.coalesce(number(2), F.lit(0)).cast("long").alias("_file"), "content")
 
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                block = TokenBlock(batch.column(1)[i].as_py())
+                block = TokenBlock(batch.column(2)[i].as_py())
                 ends = block.bounds.values().astype(np.int64)
                 starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
                 raw = block.ids.astype("<u4")
                 crc = [zlib.crc32(raw[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
                 n = block.n_docs
-                yield pa.record_batch({"_path": pa.array([batch.column(0)[i].as_py()] * n, pa.string()), "doc_id": pa.array(block.doc_ids(), pa.int64()), "_start": starts, "n_tokens": ends - starts, "ids_crc32": pa.array(crc, pa.int64())})
+                own = {c: pa.array([batch.column(k)[i].as_py()] * n, pa.int64()) for k, c in enumerate(("_part", "_file"))}
+                yield pa.record_batch(own | {"doc_id": pa.array(block.doc_ids(), pa.int64()), "_start": starts, "n_tokens": ends - starts, "ids_crc32": pa.array(crc, pa.int64())})
 
-    rows = files.select("path", "content").mapInArrow(documents, "_path string, doc_id long, _start long, n_tokens long, ids_crc32 long")
-    return rows.join(heads.hint("shuffle_hash"), "_path").select("doc_id", (F.col("_base") + F.col("_start")).alias("start"), "n_tokens", "ids_crc32")
+    rows = materialise(files.mapInArrow(documents, "_part long, _file long, doc_id long, _start long, n_tokens long, ids_crc32 long"), "token-documents")
+    heads = rows.groupBy("_part", "_file").agg(F.sum("n_tokens").alias("_n")).withColumn("_chunk", F.floor(F.col("_part") / 1024))
+    before = lambda w: w.rowsBetween(W.unboundedPreceding, -1)
+    chunks = heads.groupBy("_chunk").agg(F.sum("_n").alias("_total"))
+    chunks = chunks.select("_chunk", F.coalesce(F.sum("_total").over(before(W.partitionBy().orderBy("_chunk"))), F.lit(0)).alias("_before"))
+    own = F.coalesce(F.sum("_n").over(before(W.partitionBy("_chunk").orderBy("_part", "_file"))), F.lit(0))
+    heads = heads.withColumn("_own", own).join(chunks.hint("merge"), "_chunk").select("_part", "_file", (F.col("_before") + F.col("_own")).alias("_base"))
+    return rows.join(materialise(heads, "token-blocks").hint("merge"), ["_part", "_file"]).select("doc_id", (F.col("_base") + F.col("_start")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
