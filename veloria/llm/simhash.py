@@ -16,6 +16,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import materialise
 from .components import connected_components
@@ -25,7 +26,7 @@ SHINGLE = 3
 BITS = 3
 HASH_SEED = 42
 BLOCK_HOMES = 1024
-KNOWN_HOT = 50_000
+BLOCK_VISITORS = 16_384
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
@@ -186,27 +187,28 @@ def _compare(bits: int):
     return run
 
 
-def near_links(distinct: DataFrame, bits: int = BITS, block_homes: int = BLOCK_HOMES) -> DataFrame:
+def near_links(distinct: DataFrame, bits: int = BITS, block_homes: int = BLOCK_HOMES, block_visitors: int = BLOCK_VISITORS) -> DataFrame:
     """Links (u, v) that join all fingerprints (column fp, each once) within ``bits``, 3 at most, into components.
 
-    An anchor with more than ``block_homes`` homes is cut into a square of blocks: homes go to a row of it, all that came
+    Only anchors with a home and another fingerprint go on; those are few, whatever visits the others. An anchor with more
+    than ``block_homes`` homes or ``block_visitors`` visitors is cut into a grid: homes go to a row of it, all that came
     to the anchor to a column, so no task holds a whole large group and every pair still meets.
     """
     if not 0 <= bits <= 3:
         raise ValueError("the halves of this cover are made for up to 3 bits")
     replicas = distinct.select("fp").mapInArrow(_replicas, "anchor long, fp long, home boolean")
-    hot = materialise(replicas.where("home").groupBy("anchor").agg(F.ceil(F.count(F.lit(1)) / F.lit(block_homes)).cast("int").alias("side")).where("side > 1"), "hot-anchors")
-    n_hot = hot.count()
-    if n_hot:
-        replicas = replicas.join(hot.hint("broadcast" if n_hot <= KNOWN_HOT else "merge"), "anchor", "left")
-        side, place = F.coalesce("side", F.lit(1)), F.pmod(F.xxhash64("fp"), F.coalesce("side", F.lit(1))).cast("int")
-        across = F.transform(F.sequence(F.lit(0), side - 1), lambda j: F.struct(place.alias("row"), j.alias("column"), F.lit(True).alias("as_home")))
-        down = F.transform(F.sequence(F.lit(0), side - 1), lambda i: F.struct(i.alias("row"), place.alias("column"), F.lit(False).alias("as_home")))
-        cells = F.when(side == 1, F.array(F.struct(F.lit(0).alias("row"), F.lit(0).alias("column"), F.col("home").alias("as_home")))).otherwise(F.when(F.col("home"), F.concat(across, down)).otherwise(down))
-        replicas = replicas.select("anchor", "fp", F.explode(cells).alias("cell")).select("anchor", F.col("cell.row").cast("long").alias("row"), F.col("cell.column").cast("long").alias("column"), "fp", F.col("cell.as_home").alias("home"))
-    else:
-        replicas = replicas.select("anchor", F.lit(0).cast("long").alias("row"), F.lit(0).cast("long").alias("column"), "fp", "home")
-    dealt = replicas.repartition("anchor", "row", "column").sortWithinPartitions("anchor", "row", "column")
+    live = replicas.groupBy("anchor").agg(F.sum(F.col("home").cast("long")).alias("homes"), F.count(F.lit(1)).alias("all")).where("homes > 0 AND all > 1")
+    blocks = lambda n, most: F.ceil(F.col(n) / F.lit(most)).cast("int")
+    live = materialise(live.select("anchor", blocks("homes", block_homes).alias("rows"), blocks("all", block_visitors).alias("columns")), "live-anchors")
+    replicas = replicas.join(live.hint("merge"), "anchor")
+    own = lambda n: F.pmod(F.xxhash64("fp"), F.col(n)).cast("int")
+    cell = lambda row, column, home: F.struct(row.cast("long").alias("row"), column.cast("long").alias("column"), home.alias("home"))
+    across = F.transform(F.sequence(F.lit(0), F.col("columns") - 1), lambda j: cell(own("rows"), j, F.lit(True)))
+    down = F.transform(F.sequence(F.lit(0), F.col("rows") - 1), lambda i: cell(i, own("columns"), F.lit(False)))
+    whole = (F.col("rows") == 1) & (F.col("columns") == 1)
+    cells = F.when(whole, F.array(cell(F.lit(0), F.lit(0), F.col("home")))).when(F.col("home"), F.concat(across, down)).otherwise(down)
+    dealt = replicas.select("anchor", "fp", F.explode(cells).alias("cell")).select("anchor", "cell.row", "cell.column", "fp", "cell.home")
+    dealt = dealt.repartition("anchor", "row", "column").sortWithinPartitions("anchor", "row", "column")
     return dealt.mapInArrow(_compare(bits), "u long, v long")
 
 
@@ -218,20 +220,41 @@ def near_duplicates(docs: DataFrame, bits: int = BITS, shingle: int = SHINGLE) -
     are ignored; an empty table gives no rows.
     """
     fps = materialise(fingerprints(docs, shingle), "fingerprints")
+    by_fp = _components(fps, bits)
+    hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
+    return fps.join(by_fp.hint("merge"), "fp").select("doc_id", hexed.alias("fingerprint"), "component_id")
+
+
+def _components(fps: DataFrame, bits: int) -> DataFrame:
+    """(fp, component_id) of every fingerprint; what is joined is written first, so that all joins are of plain shuffles."""
     distinct = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct-fingerprints")
     roots = connected_components(near_links(distinct, bits))
     tied = distinct.join(roots.withColumnRenamed("node", "fp").hint("merge"), "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     tied = materialise(tied, "fingerprint-roots")
-    least = tied.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    by_fp = tied.join(least.hint("merge"), "root").select("fp", "component_id")
-    hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return fps.join(by_fp.hint("merge"), "fp").select("doc_id", hexed.alias("fingerprint"), "component_id")
+    least = materialise(tied.groupBy("root").agg(F.min("first_id").alias("component_id")), "least-ids")
+    return materialise(tied.join(least.hint("merge"), "root").select("fp", "component_id"), "fingerprint-components")
 
 
 def drop_near_copies(docs: DataFrame, bits: int = BITS, shingle: int = SHINGLE) -> DataFrame:
-    """The rows of ``docs`` that stay: of each group of near-duplicates the row with the least doc_id."""
-    keep = near_duplicates(docs, bits, shingle).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(keep.hint("merge"), docs["doc_id"].eqNullSafe(keep["_keep"]), "left_semi")
+    """The rows of ``docs`` that stay, with all their columns: of each group of near-duplicates the row with the least doc_id.
+
+    Where several texts of a group share that doc_id, the one with the least fingerprint stays; of rows that repeat both any
+    one. A group of null doc_ids alone keeps one row.
+    """
+    at = len(docs.columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches, at):
+            fps = np.array([fingerprint(t or b"", shingle) for t in batch.column(at).to_pylist()], np.uint64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(fps.view(np.int64))], names=[*batch.schema.names[:at], "__v_fp"])
+
+    rows = docs.select(*docs.columns, F.col("text").cast("binary").alias("__v_text")).mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("__v_fp", T.LongType())]))
+    rows = materialise(rows.withColumn("__v_row", F.monotonically_increasing_id()), "fingerprinted")
+    by_fp = _components(rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("__v_fp").alias("fp")), bits)
+    placed = rows.select("doc_id", "__v_fp", "__v_row").join(by_fp.withColumnRenamed("fp", "__v_fp").hint("merge"), "__v_fp").where(F.col("doc_id").cast("long").eqNullSafe(F.col("component_id")))
+    keep = placed.groupBy(F.col("component_id"), F.when(F.col("component_id").isNull(), F.col("__v_fp"))).agg(F.min(F.struct("__v_fp", "__v_row")).alias("least"))
+    keep = materialise(keep.select(F.col("least.__v_row").alias("__v_row")), "kept-rows")
+    return rows.join(keep.hint("merge"), "__v_row", "left_semi").select(*docs.columns)
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
