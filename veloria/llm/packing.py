@@ -1,7 +1,8 @@
 """Packing tokenised documents into training sequences.
 
-A document is cut into whole sequences and a rest. The rests are packed first-fit decreasing, with a tournament tree over
-the bins' free space, within randomised groups of pieces; groups have a bounded expected size, so tasks do too.
+A document is cut into whole sequences and a rest. The pieces are written once; then the rests are packed first-fit decreasing,
+with a tournament tree over the bins' free space, within randomised groups. The number of groups follows the number of
+pieces, and so does each piece's random number, so groups have a bounded size whatever the documents are.
 """
 
 from __future__ import annotations
@@ -10,16 +11,18 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import materialise
 from .tokens import encoder, small_batches, tokenizer_path
 
 SEQUENCE = 2048
 GROUP_PIECES = 8000
-PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
+NAMES = ("doc_id", "start", "length", "ids_crc32", "doc_tokens")
+PIECES = ", ".join(f"{n} long" for n in NAMES)
 
 
 class TournamentTree:
@@ -71,7 +74,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, sequence: int =
                 n = len(raw) // 4
                 rows += [(doc, a, min(sequence, n - a), zlib.crc32(raw[4 * a : 4 * (a + sequence)]), n) for a in range(0, n, sequence)]
             columns = list(zip(*rows, strict=True))
-            yield pa.record_batch([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+            yield pa.record_batch([pa.array(c, pa.int64()) for c in columns], names=list(NAMES))
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(pieces, PIECES)
 
@@ -79,27 +82,31 @@ def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, sequence: int =
 def pack_pieces(pieces: DataFrame, groups: int, sequence: int = SEQUENCE, seed: int = 17) -> DataFrame:
     """Add sequence_id and offset: first-fit decreasing in each of ``groups`` randomised groups.
 
-    A piece's group is a hash of its document, start and ids, so the long documents' pieces spread as well. Ties in size
-    go by doc_id, start and ids; reruns agree.
+    ``pieces`` has a column ``draw``, a number of each piece's own, whose hash names its group: pieces of one document and
+    equal rows spread like any others. Ties in size go by doc_id (null first), start, ids and draw.
     """
+    order = [("length", "descending"), ("doc_id", "ascending"), ("start", "ascending"), ("ids_crc32", "ascending"), ("draw", "ascending")]
 
-    def pack(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["length", "doc_id", "start", "ids_crc32"], ascending=[False, True, True, True], kind="stable")
+    def pack(key: tuple, rows: pa.Table) -> pa.Table:
+        rows = rows.take(pc.sort_indices(rows, sort_keys=order, null_placement="at_start"))
         tree = TournamentTree(sequence)
-        placed = [tree.place(int(n)) for n in rows["length"]]
-        rows["sequence_id"] = np.array([b for b, _ in placed], np.int64) + (int(key[0]) << 32)
-        rows["offset"] = np.array([o for _, o in placed], np.int64)
-        return rows.drop(columns="pack_group")
+        placed = [tree.place(n) for n in rows["length"].to_pylist()]
+        base = key[0].as_py() << 32
+        rows = rows.select(list(NAMES)).append_column("sequence_id", pa.array([base + b for b, _ in placed], pa.int64()))
+        return rows.append_column("offset", pa.array([o for _, o in placed], pa.int64()))
 
-    dealt = pieces.withColumn("pack_group", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", F.lit(seed)), F.lit(groups)).cast("long"))
-    packed = dealt.groupBy("pack_group").applyInPandas(pack, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
-    return packed
+    dealt = pieces.withColumn("pack_group", F.pmod(F.xxhash64("draw", F.lit(seed)), F.lit(groups)).cast("long"))
+    return dealt.groupBy("pack_group").applyInArrow(pack, f"{PIECES}, sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, sequence: int = SEQUENCE, group_pieces: int = GROUP_PIECES) -> DataFrame:
-    """Pack all documents; an empty table gives no piece. The number of groups follows the number of documents."""
-    groups = max(1, -(-docs.count() // group_pieces))
-    return pack_pieces(cut_pieces(docs, tokenizer, end_id, sequence), groups, sequence)
+    """Pack all documents into sequences of at most ``sequence`` tokens; one row per piece.
+
+    Null and empty texts are the end id alone, repeated rows are packed each, null doc_ids stay null, other columns are
+    ignored; an empty table gives no piece.
+    """
+    pieces = materialise(cut_pieces(docs, tokenizer, end_id, sequence).withColumn("draw", F.monotonically_increasing_id()), "pieces")
+    return pack_pieces(pieces, max(1, -(-pieces.count() // group_pieces)), sequence)
 
 
 def op8_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
