@@ -14,11 +14,12 @@ def _winners(docs: DataFrame, salts: int) -> DataFrame:
     """One row per distinct text: keep_id and group_size, by three rounds of which each compares the full text.
 
     Equal texts first meet within a task (the map side of the grouping), then within their salted digest group, then
-    across salts; no round gathers a group's rows, each keeps a running largest doc_id and a count.
+    across salts; no round gathers a group's rows, each keeps a running largest doc_id and a count. The salt is the task's
+    number, so a task sends each of its texts once, however often it holds it.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.col("doc_id"), text.alias("_text"))
-    rows = rows.withColumn("_digest", F.unhex(F.sha2("_text", 256))).withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)))
+    rows = docs.select(F.col("doc_id"), text.alias("_text"), F.pmod(F.spark_partition_id(), F.lit(salts)).alias("_salt"))
+    rows = rows.withColumn("_digest", F.unhex(F.sha2("_text", 256)))
     salted = rows.groupBy("_digest", "_salt", "_text").agg(F.max("doc_id").alias("_keep"), F.count(F.lit(1)).alias("_n"))
     return salted.groupBy("_digest", "_text").agg(F.max("_keep").alias("keep_id"), F.sum("_n").alias("group_size"))
 
