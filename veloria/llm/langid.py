@@ -1,7 +1,8 @@
 """Language identification: averaged hashed subword embeddings under a linear softmax, with calibrated rejection.
 
 The model is trained on the driver by stochastic gradient descent in numpy, on a bounded sample: ``PER_LANGUAGE``
-documents of each language and ``SEGMENTS`` stretches of each. Everything else covers all rows and whole texts. The
+documents of each of the ``MOST_LANGUAGES`` most frequent languages, ``MOST_DOCUMENTS`` in all, and ``SEGMENTS`` stretches of
+each. Other labels are not learned. Everything else covers all rows and whole texts. The
 average of embeddings under a linear layer is linear in the subword counts, so prediction adds up one row of
 ``embeddings @ weights`` per subword.
 """
@@ -23,9 +24,13 @@ from .tokens import small_batches
 BUCKETS = 1 << 14
 WIDTH = 16
 GRAMS = (2, 3, 4)
+#: The bounds of the training sample: documents a language, languages (the most frequent ones), documents in all, and the
+#: stretches of a document with their characters.
 PER_LANGUAGE = 500
-SEGMENTS = 6
 MOST_LANGUAGES = 200
+MOST_DOCUMENTS = 20_000
+STRETCHES = (400, 80, 400, 25, 400, 160)
+SEGMENTS = len(STRETCHES)
 #: The share of rightly recognised calibration documents that the rejection may cost at most.
 LOST = 0.001
 UNKNOWN = "und"
@@ -145,13 +150,11 @@ def train(languages: list[str], names: list[str], texts: list[str], held: np.nda
 
 
 def _stretches(text: str) -> list[str]:
-    """Up to SEGMENTS stretches of 4 to 60 words spread over the whole text."""
-    words = text.split()
-    if len(words) <= 8:
+    """SEGMENTS stretches of the lengths in STRETCHES (characters), spread over the whole text; a short text is one."""
+    if len(text) <= min(STRETCHES):
         return [text]
-    sizes = [60, 12, 60, 4, 60, 25][:SEGMENTS]
-    room = [max(0, len(words) - s) for s in sizes]
-    return [" ".join(words[(a := r * i // max(1, len(sizes) - 1)) : a + s]) for i, (s, r) in enumerate(zip(sizes, room, strict=True))]
+    room = [max(0, len(text) - s) for s in STRETCHES]
+    return [text[(a := r * i // (SEGMENTS - 1)) : a + s] for i, (s, r) in enumerate(zip(STRETCHES, room, strict=True))]
 
 
 def _remainder():
@@ -167,15 +170,16 @@ def training_sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFr
     order = F.xxhash64("doc_id", F.lit(11))
     rank = F.row_number().over(W.partitionBy("lang").orderBy("_order", "doc_id"))
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (_remainder() != 2)).select(F.col("doc_id"), F.col("lang"), order.alias("_order"))
-    counts = materialise(labelled.groupBy(F.col("lang").alias("_lang")).agg(F.count(F.lit(1)).alias("_n")), "language-counts")
+    counts = labelled.groupBy(F.col("lang").alias("_lang")).agg(F.count(F.lit(1)).alias("_n"))
+    counts = materialise(counts.orderBy(F.desc("_n"), "_lang").limit(MOST_LANGUAGES), "language-counts")
+    per_language = max(1, min(per_language, MOST_DOCUMENTS // max(1, counts.count())))
     # a slice of the hashes holds about three times the sample, so that the ranking sees few rows of a frequent language
     share = F.least(F.lit(1.0), F.lit(3.0 * per_language) / F.col("_n"))
-    near = labelled.join(counts.hint("broadcast" if counts.count() <= MOST_LANGUAGES else "merge"), F.col("lang") == F.col("_lang"))
+    near = labelled.join(counts.hint("broadcast"), F.col("lang") == F.col("_lang"))  # MOST_LANGUAGES rows at most
     near = near.where(F.col("_order") < (share * 2 - 1) * F.lit(float(1 << 63)))
-    chosen = materialise(near.withColumn("_rank", rank).where(F.col("_rank") <= per_language).select("doc_id").distinct(), "language-sample")
-    small = chosen.count() <= per_language * MOST_LANGUAGES
+    chosen = materialise(near.withColumn("_rank", rank).where(F.col("_rank") <= per_language).select("doc_id", "lang").distinct(), "language-sample")
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
-    rows = rows.join(chosen.hint("broadcast" if small else "merge"), "doc_id", "left_semi")
+    rows = rows.join(chosen.hint("broadcast"), ["doc_id", "lang"], "left_semi")  # MOST_DOCUMENTS rows at most
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -185,7 +189,7 @@ def training_sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFr
 
     parts = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text").mapInArrow(cut, "doc_id long, lang string, part string")
     bound = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id", "part"))
-    return parts.withColumn("_rank", bound).where(F.col("_rank") <= per_language * SEGMENTS).select("doc_id", "lang", F.substring("part", 1, 2000).alias("part"))
+    return parts.withColumn("_rank", bound).where(F.col("_rank") <= per_language * SEGMENTS).select("doc_id", "lang", "part")
 
 
 def fit_language_model(docs: DataFrame, per_language: int = PER_LANGUAGE) -> LanguageModel:
@@ -217,7 +221,10 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
 
 def drop_unknown_languages(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose language is recognised, with all their columns."""
+    """The rows of ``docs`` whose language is recognised, with all their columns.
+
+    Null texts, texts without a letter and those that score below the calibrated threshold go; repeated rows stay or go together.
+    """
     model = fit_language_model(docs)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     types = docs.schema
