@@ -173,3 +173,39 @@ def test_regression_learns(spark):
     assert sum(w.weight for w in weights) == pytest.approx(1)
     cold = learning.blended(made.withColumn("total_premium", F.lit(40)), None, 10).first()
     assert cold.total_premium == 40 and cold.alpha == 1
+
+
+def test_catalogue_documents_need_their_keys_and_heroes(spark):
+    whole = {k: [] for k in contracts.REQUIRED_TOP} | {"hero-list": [{"cname": "a"}]}
+    cases = [(1, json.dumps(whole)), (2, json.dumps(whole | {"hero-list": []})), (3, json.dumps({"hero-list": [{}]})), (4, "not json")]
+    errors = [tuple(r) for r in catalog.validate_catalogue(spark.createDataFrame(cases, "record_id int, json string"), "json").collect()]
+    assert [e for e in errors if e[0] in (1, 2)] == [(2, "no heroes")]
+    assert sum(e[0] == 3 for e in errors) == len(contracts.REQUIRED_TOP) - 1 and sum(e[0] == 4 for e in errors) == len(contracts.REQUIRED_TOP) + 1
+
+
+def test_deduplication_tells_texts_of_one_id_apart(spark):
+    from veloria.operators import clean
+
+    rows = spark.createDataFrame([(1, "a"), (1, "b"), (2, "A"), (3, "c")], "doc_id int, text string")
+    assert sorted(tuple(r) for r in clean.deduplicated(rows).collect()) == [(1, "a"), (1, "b"), (3, "c")]
+    rows = spark.createDataFrame([(0, "x"), (1, "X"), (1, "y")], "doc_id int, text string")
+    assert sorted(tuple(r) for r in clean.deduplicated(rows).collect()) == [(0, "x"), (1, "y")]
+
+
+def test_stream_upserts_go_on_after_a_restart(spark, tmp_path):
+    import shutil
+
+    from veloria.streaming import streams
+
+    def land(rows, name):
+        spark.createDataFrame(rows, "k int, n int").coalesce(1).write.parquet(f"{tmp_path}/in/{name}")
+
+    go = lambda: sorted(tuple(r) for r in streams.upsert_into(streams.landed(spark, f"{tmp_path}/in/*"), f"{tmp_path}/t", ["k"], "n").collect())
+    land([(1, 1), (2, 1)], "a")
+    assert go() == [(1, 1), (2, 1)] and go() == [(1, 1), (2, 1)]
+    land([(2, 5)], "b")
+    assert go() == [(1, 1), (2, 5)]
+    shutil.rmtree(tmp_path / "t" / "version-1")
+    land([(3, 1)], "c")
+    with pytest.raises(Exception):
+        go()

@@ -25,7 +25,7 @@ def search_skin(hero_skins: DataFrame, needle: str) -> DataFrame:
     """Case-sensitive substring search; an empty needle matches all. ``first_pos`` orders by the skin name's first hero."""
     first = hero_skins.groupBy("skin").agg(F.min(F.struct("hero_pos", "skin_index")).alias("f")).select(F.col("skin").alias("_skin"), F.col("f.hero_pos").alias("first_pos"))
     hits = hero_skins.where(F.col("skin").contains(needle))
-    return hits.join(first, F.col("skin") == F.col("_skin")).drop("_skin")
+    return hits.join(first.hint("merge"), F.col("skin") == F.col("_skin")).drop("_skin")
 
 
 def inverted_index(hero_skins: DataFrame) -> DataFrame:
@@ -64,13 +64,22 @@ def validate_heroes(records: DataFrame, json: str) -> DataFrame:
     return records.select("record_id", F.explode(errors).alias("error"))
 
 
+def validate_catalogue(records: DataFrame, json: str) -> DataFrame:
+    """(record_id, error) for each required top-level key that a catalogue document lacks, and for one without heroes."""
+    lacking = F.transform(contracts.missing_keys(F.col(json), contracts.REQUIRED_TOP), lambda k: F.concat(F.lit("missing "), k))
+    heroes = F.from_json(F.get_json_object(json, "$['hero-list']"), T.ArrayType(T.StringType()))
+    none = F.coalesce(F.size(heroes), F.lit(0)) <= 0
+    errors = F.concat(lacking, F.when(none, F.array(F.lit("no heroes"))).otherwise(F.array().cast("array<string>")))
+    return records.select("record_id", F.explode(errors).alias("error"))
+
+
 def summary_of(errors: DataFrame) -> DataFrame:
     return errors.agg(F.count(F.lit(1)).alias("errors"), F.count_distinct("record_id").alias("records"), (F.count(F.lit(1)) == 0).alias("passed"))
 
 
 def missing_assets(expected: DataFrame, present: DataFrame) -> DataFrame:
     """Expected file names that are not there, each once."""
-    return expected.select("file_name").distinct().join(present.select("file_name").distinct(), "file_name", "left_anti")
+    return expected.select("file_name").distinct().join(present.select("file_name").distinct().hint("merge"), "file_name", "left_anti")
 
 
 def extra_assets(expected: DataFrame, present: DataFrame) -> DataFrame:
@@ -80,7 +89,7 @@ def extra_assets(expected: DataFrame, present: DataFrame) -> DataFrame:
 def coverage(expected: DataFrame, present: DataFrame) -> DataFrame:
     """Per hero with skins: expected and found assets and the bucket full, partial or none."""
     have = present.select("file_name").distinct().withColumn("_found", F.lit(1))
-    per = expected.select("cname", "file_name").join(have, "file_name", "left").groupBy("cname").agg(F.count(F.lit(1)).alias("expected"), F.count("_found").alias("found"))
+    per = expected.select("cname", "file_name").join(have.hint("merge"), "file_name", "left").groupBy("cname").agg(F.count(F.lit(1)).alias("expected"), F.count("_found").alias("found"))
     bucket = F.when(F.col("found") == F.col("expected"), "full").when(F.col("found") > 0, "partial").otherwise("none")
     return per.where("expected > 0").withColumn("bucket", bucket)
 

@@ -13,9 +13,10 @@ def cleaned(rows: DataFrame, least: int = 20) -> DataFrame:
 
 
 def deduplicated(rows: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Of rows with equal text but for case the one with the least key."""
-    keep = rows.groupBy(F.sha2(F.lower("text"), 256).alias("_h")).agg(F.min(key).alias("_k"))
-    return rows.join(keep, F.col(key) == F.col("_k"), "left_semi")
+    """Of rows with equal text but for case those with the least key."""
+    digest = F.sha2(F.lower("text"), 256)
+    keep = rows.groupBy(digest.alias("_h")).agg(F.min(key).alias("_k"))
+    return rows.join(keep, (F.col(key) == F.col("_k")) & (digest == F.col("_h")), "left_semi")
 
 
 def tagged_union(sources: dict[str, DataFrame]) -> DataFrame:

@@ -20,14 +20,14 @@ def candidates(items: DataFrame, width: int = 1) -> DataFrame:
     Pairs within a band are this operator's result; it is for catalogues whose bands are small. ``nearest`` serves others.
     """
     t = items.select(F.col("skin_id").alias("target_id"), F.col("genre").alias("_g"), F.explode(F.sequence(F.col("official_tier") - width, F.col("official_tier") + width)).alias("_t"))
-    return t.join(items.select("skin_id", "genre", "official_tier"), (F.col("_g") == F.col("genre")) & (F.col("_t") == F.col("official_tier"))).where("skin_id <> target_id").select("target_id", "skin_id")
+    return t.join(items.select("skin_id", "genre", "official_tier").hint("merge"), (F.col("_g") == F.col("genre")) & (F.col("_t") == F.col("official_tier"))).where("skin_id <> target_id").select("target_id", "skin_id")
 
 
 def competitors(items: DataFrame, k: int = 5, width: int = 1) -> DataFrame:
     """(target_id, place, skin_id, similarity): the k most similar candidates by cosine of ``vector``, ties by id."""
     v = items.withColumn("norm", vectors.norm(F.col("vector")))
     t = v.select(F.col("skin_id").alias("target_id"), F.col("genre").alias("_g"), F.col("vector").alias("_v"), F.col("norm").alias("_n"), F.explode(F.sequence(F.col("official_tier") - width, F.col("official_tier") + width)).alias("_t"))
-    pairs = t.join(v, (F.col("_g") == F.col("genre")) & (F.col("_t") == F.col("official_tier"))).where("skin_id <> target_id")
+    pairs = t.join(v.hint("merge"), (F.col("_g") == F.col("genre")) & (F.col("_t") == F.col("official_tier"))).where("skin_id <> target_id")
     scored = pairs.select("target_id", "skin_id", F.round(vectors.cosine(F.col("_v"), F.col("vector"), F.col("_n"), F.col("norm")), 6).alias("similarity"))
     return top(scored, ["target_id"], [F.desc("similarity"), F.col("skin_id")], k)
 
@@ -57,12 +57,12 @@ def comparables(scored: DataFrame, k: int = 5) -> DataFrame:
     key = ["genre", "official_tier", "total_premium"]
     few = top(scored.select("skin_id", *key), key, [F.col("skin_id")], k + 1).drop("place")
     asked = scored.select(*key).distinct().select(*[F.col(c).alias(f"_{c}") for c in key], F.explode(F.sequence(F.col("official_tier") - 1, F.col("official_tier") + 1)).alias("_near"))
-    pairs = asked.join(few, (F.col("_genre") == F.col("genre")) & (F.col("_near") == F.col("official_tier")))
+    pairs = asked.join(few.hint("merge"), (F.col("_genre") == F.col("genre")) & (F.col("_near") == F.col("official_tier")))
     pairs = pairs.withColumn("gap", F.abs(F.col("_total_premium") - F.col("total_premium")))
     mine = [f"_{c}" for c in key]
     best = top(pairs, mine, [F.col("gap"), F.col("skin_id")], k + 1).select(*mine, "skin_id", "total_premium", "gap")
     own = scored.select(F.col("skin_id").alias("target_id"), *[F.col(c).alias(f"_{c}") for c in key])
-    rows = own.join(best, mine).where("target_id <> skin_id")
+    rows = own.join(best.hint("merge"), mine).where("target_id <> skin_id")
     return top(rows, ["target_id"], [F.col("gap"), F.col("skin_id")], k).select("target_id", "place", "skin_id", "total_premium", "gap")
 
 

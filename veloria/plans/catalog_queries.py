@@ -108,7 +108,7 @@ def coverage_buckets(spark, d):
 def asset_counts(spark, d):
     labels = spark.createDataFrame([(x,) for x in files.LABELS], "label string")
     flat = _flat(spark, d).select(F.get(F.array(*map(F.lit, files.LABELS[:4])), F.col("skin_index") % 5).alias("label"))
-    return labels.join(flat.groupBy("label").agg(F.count(F.lit(1)).alias("n")), "label", "left").select("label", F.coalesce("n", F.lit(0)).alias("images"))
+    return labels.join(flat.groupBy("label").agg(F.count(F.lit(1)).alias("n")).hint("merge"), "label", "left").select("label", F.coalesce("n", F.lit(0)).alias("images"))
 
 
 def asset_difference(spark, d):

@@ -111,7 +111,7 @@ def comparison_lines(spark, d):
     found = similar.competitors(_items(spark, d))
     total = (F.col("vec_id") * 37 % 101).cast("int")
     totals = A.table(spark, d, "embeddings").select(F.col("vec_id").alias("_id"), total.alias("total"))
-    rows = found.join(totals.withColumnRenamed("total", "own"), F.col("target_id") == F.col("_id")).drop("_id").join(totals, F.col("skin_id") == F.col("_id"))
+    rows = found.join(totals.withColumnRenamed("total", "own").hint("merge"), F.col("target_id") == F.col("_id")).drop("_id").join(totals.hint("merge"), F.col("skin_id") == F.col("_id"))
     line = text.comparison_line(F.concat(F.lit("G "), F.col("skin_id").cast("string")), F.col("total"), F.col("own"))
     lines = rows.groupBy("target_id").agg(F.array_sort(F.collect_list(F.struct("place", line.alias("line")))).alias("lines"))
     return lines.select("target_id", F.array_join(F.transform("lines", lambda x: x["line"]), "\n").alias("text"))
@@ -184,7 +184,7 @@ def evaluate_all(spark, d):
     priced = scoring.with_prices(_scored(spark, d))
     alerts = scoring.risks(priced).groupBy("skin_id").agg(F.count(F.lit(1)).alias("alerts"), F.array_join(F.array_sort(F.collect_set("type")), ",").alias("alert_types"))
     near = similar.comparables(priced, 1).select(F.col("target_id").alias("skin_id"), F.col("skin_id").alias("comparable"))
-    out = priced.join(alerts, "skin_id", "left").join(near, "skin_id", "left")
+    out = priced.join(alerts.hint("merge"), "skin_id", "left").join(near.hint("merge"), "skin_id", "left")
     return out.select("skin_id", "hero_name", "skin_name", "genre", "official_price", *DIMENSIONS, "total_premium", "price_min", "price_max", "confidence", "per_point", F.coalesce("alerts", F.lit(0)).alias("alerts"), F.coalesce("alert_types", F.lit("")).alias("alert_types"), scoring.band(F.col("total_premium")).alias("band"), "comparable")
 
 

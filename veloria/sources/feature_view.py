@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import codes
 from ..operators import facts, features
 from . import adapters as A
+from .files import kept
 
 AS_OF = "2001-12-01"
 
@@ -29,7 +30,8 @@ def base(rows: DataFrame) -> DataFrame:
 
 def feature_view(spark: SparkSession, d: str) -> DataFrame:
     """One row per item: the 33 features, the item's own columns and the scored acquisition label."""
-    skins, listings, sales, events, posts = A.skins(spark, d), A.listings(spark, d), A.sales(spark, d), A.hero_events(spark, d), A.posts(spark, d)
+    skins, listings, events, posts = A.skins(spark, d), A.listings(spark, d), A.hero_events(spark, d), A.posts(spark, d)
+    sales = kept(A.sales(spark, d).select("skin_id", "user_id", "spend"), "sales")  # joined once for the three facts that read it
     as_of = F.lit(AS_OF).cast("date")
     reruns = facts.rerun_stats(facts.episodes(listings), as_of)
     index = facts.search_index(events)

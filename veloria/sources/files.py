@@ -68,8 +68,13 @@ def new_version(df: DataFrame, root: str) -> str:
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share; a temporary one only where the session names none."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-veloria-")
+    """A new path in the folder that driver and executors share; a temporary one only where all runs on one machine."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = tempfile.mkdtemp(prefix="spark-veloria-")
     return f"{root.rstrip('/')}/veloria/{name}-{uuid.uuid4().hex}"
 
 

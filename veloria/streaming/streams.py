@@ -67,7 +67,8 @@ def daily_counts(events: DataFrame) -> DataFrame:
 def upsert_into(rows: DataFrame, root: str, keys: list[str], order: str) -> DataFrame:
     """Keep the newest row of each key in a table under ``root``: each micro-batch writes a new version, named by its number.
 
-    A batch that is run again after a failure writes its version anew from the one before, so the table ends the same.
+    A list of the versions stands beside them. A batch that is run again after a failure writes its version anew from the one
+    before, so the table ends the same; a version that is gone is an error. Without new data the last version is returned.
     """
     spark = rows.sparkSession
     schema = rows.schema
@@ -75,20 +76,25 @@ def upsert_into(rows: DataFrame, root: str, keys: list[str], order: str) -> Data
     def version(n: int) -> str:
         return f"{root}/version-{n}"
 
+    def written() -> list[int]:
+        try:
+            return [r.n for r in spark.read.schema("n long").parquet(f"{root}/versions").distinct().collect()]
+        except AnalysisException as e:
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+            return []
+
     def step(batch: DataFrame, n: int) -> None:
-        new = batch
-        if n:
-            try:
-                new = tables.upsert(spark.read.schema(schema).parquet(version(n - 1)), batch, keys, order)
-            except AnalysisException as e:
-                if "PATH_NOT_FOUND" not in str(e):
-                    raise
+        before = [k for k in written() if k < n]
+        if n and not before:
+            raise FileNotFoundError(f"{root} has no version before batch {n}")
+        new = tables.upsert(spark.read.schema(schema).parquet(version(max(before))), batch, keys, order) if before else batch
         tables.latest(new, keys, [F.desc(order)]).write.mode("overwrite").parquet(version(n))
-        last.append(n)
+        spark.range(n, n + 1).select(F.col("id").alias("n")).write.mode("append").parquet(f"{root}/versions")
 
-    last: list[int] = []
     rows.writeStream.foreachBatch(step).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(schema).parquet(version(max(last)))
+    done = written()
+    return spark.read.schema(schema).parquet(version(max(done))) if done else spark.createDataFrame([], schema)
 
 
 def quarantined(rows: DataFrame, checks: dict) -> DataFrame:
