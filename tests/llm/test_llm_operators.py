@@ -552,3 +552,23 @@ def test_warc_joins_plain_shuffles(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     plan = warc.with_revisits(pages)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Aggregate" not in plan
+
+
+def test_near_pairs_in_blocks_and_groups(spark):
+    """A crowded band cut into many blocks loses no pair of similarity 0.8, and groups of few texts verify the same pairs as brute force."""
+    rng = np.random.default_rng(3)
+    base = " ".join(f"w{i}" for i in range(200))
+    texts = [base, *(edited(base, s, rng) for s in (0.005, 0.02, 0.05) for _ in range(8))]
+    table = spark.createDataFrame([(i, t, "en", "x", len(t)) for i, t in enumerate(texts)], DOCS)
+    nodes = jaccard._nodes(table, 5).select("node", "n", "keys", "sketch", F.struct("doc_id", "own").alias("at")).cache()
+    sets = {jaccard.node_of(s): s for s in map(lambda t: jaccard.shingles(t.encode()), texts)}
+    every = [(u, v) for u in sets for v in sets if u < v]
+    share = lambda u, v: len(set(sets[u]) & set(sets[v])) / len(set(sets[u]) | set(sets[v]))
+    want = {(u, v) for u, v in every if share(u, v) >= 0.8}
+    assert 20 < len(want) < len(every)
+    assert set(jaccard.near_pairs(sets, every, 0.8)) == want
+    placed = nodes.select(F.lit(1).cast("long").alias("key"), "node", "n", F.col("node").alias("root"))
+    likely = [tuple(r) for r in jaccard.likely_pairs(placed, nodes, 0.8, block=4).collect()]
+    assert len(likely) == len(set(likely)) and want <= set(likely) <= set(every)
+    pairs = spark.createDataFrame(every, "u long, v long")
+    assert {tuple(r) for r in jaccard.verified(table, nodes, pairs, 0.8, 5, together=3).collect()} == want
