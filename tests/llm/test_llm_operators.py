@@ -567,8 +567,11 @@ def test_near_pairs_in_blocks_and_groups(spark):
     want = {(u, v) for u, v in every if share(u, v) >= 0.8}
     assert 20 < len(want) < len(every)
     assert set(jaccard.near_pairs(sets, every, 0.8)) == want
-    placed = nodes.select(F.lit(1).cast("long").alias("key"), "node", "n", F.col("node").alias("root"))
-    likely = [tuple(r) for r in jaccard.likely_pairs(placed, nodes, 0.8, block=4).collect()]
-    assert len(likely) == len(set(likely)) and want <= set(likely) <= set(every)
+    placed = nodes.select(F.explode("keys").alias("key"), "node", "n", F.col("node").alias("root"), F.lit(False).alias("end"))
+    own = lambda links: sorted(tuple(r) for r in components.connected_components(spark.createDataFrame(links, "u long, v long")).collect())
+    for block in (4, 1024):
+        links = [tuple(r) for r in jaccard.cell_links(table, nodes, placed, 0.8, 5, block=block).collect()]
+        assert {(min(p), max(p)) for p in links} <= want and own(links) == own(sorted(want))
+    assert len(links) < len(want)
     pairs = spark.createDataFrame(every, "u long, v long")
     assert {tuple(r) for r in jaccard.verified(table, nodes, pairs, 0.8, 5, together=3).collect()} == want
