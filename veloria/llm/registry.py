@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, exact, html, langid, linededup, mixing, packing, simhash, tokens, warc
+from . import ann, centroids, exact, html, langid, linededup, merkle, mixing, packing, phrases, simhash, tokens, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,8 +21,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_pack_sequences": packing.op8_pack_sequences,
         "op9_warc": warc.op9_warc,
         "op10_mix_sources": mixing.op10_mix_sources,
+        "op11_phrase_fingerprint": phrases.op11_phrase_fingerprint,
+        "op12_centroid_clusters": centroids.op12_centroid_clusters,
+        "op13_merkle_manifest": merkle.op13_merkle_manifest,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_exact_dedup": exact.SQL, "op7_nearest": ann.SQL, "op9_warc": warc.SQL, "op10_mix_sources": mixing.SQL}
+    return {"op6_exact_dedup": exact.SQL, "op7_nearest": ann.SQL, "op9_warc": warc.SQL, "op10_mix_sources": mixing.SQL, "op12_centroid_clusters": centroids.SQL, "op13_merkle_manifest": merkle.SQL}
