@@ -24,10 +24,9 @@ from .tokens import small_batches
 BUCKETS = 1 << 14
 WIDTH = 16
 GRAMS = (2, 3, 4)
-#: The bounds of the training sample: documents a language, languages (the most frequent ones), documents in all, and the
-#: stretches of a document with their characters.
+#: The bounds of the training sample: labelled documents a language, labelled documents in all (at least one a language, as long
+#: as there are not more languages than that), and the stretches of a document with their characters.
 PER_LANGUAGE = 500
-MOST_LANGUAGES = 200
 MOST_DOCUMENTS = 20_000
 STRETCHES = (400, 80, 400, 25, 400, 160)
 SEGMENTS = len(STRETCHES)
@@ -164,20 +163,22 @@ def _remainder():
 def training_sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
     """(doc_id, lang, part): stretches of at most ``per_language`` labelled documents of each language.
 
-    Documents whose crc32(doc_id) mod 4 is 2 are left out. The choice is by hash of doc_id: reruns agree. Only
-    hashes and ids are looked at over the whole table; the texts follow for the chosen ones.
+    Documents whose crc32(doc_id) mod 4 is 2 are left out. Rows that share language and doc_id are one document, so a
+    language with any labelled document is in the sample. The choice is by hash of doc_id: reruns agree. Only hashes and ids
+    are looked at over the whole table; the texts follow for the chosen ones.
     """
     order = F.xxhash64("doc_id", F.lit(11))
     rank = F.row_number().over(W.partitionBy("lang").orderBy("_order", "doc_id"))
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (_remainder() != 2)).select(F.col("doc_id"), F.col("lang"), order.alias("_order"))
+    labelled = labelled.distinct()  # combined on the map side
     counts = labelled.groupBy(F.col("lang").alias("_lang")).agg(F.count(F.lit(1)).alias("_n"))
-    counts = materialise(counts.orderBy(F.desc("_n"), "_lang").limit(MOST_LANGUAGES), "language-counts")
+    counts = materialise(counts.orderBy(F.desc("_n"), "_lang").limit(MOST_DOCUMENTS), "language-counts")
     per_language = max(1, min(per_language, MOST_DOCUMENTS // max(1, counts.count())))
-    # a slice of the hashes holds about three times the sample, so that the ranking sees few rows of a frequent language
-    share = F.least(F.lit(1.0), F.lit(3.0 * per_language) / F.col("_n"))
-    near = labelled.join(counts.hint("broadcast"), F.col("lang") == F.col("_lang"))  # MOST_LANGUAGES rows at most
-    near = near.where(F.col("_order") < (share * 2 - 1) * F.lit(float(1 << 63)))
-    chosen = materialise(near.withColumn("_rank", rank).where(F.col("_rank") <= per_language).select("doc_id", "lang").distinct(), "language-sample")
+    # a slice of the hashes holds the sample and a safe surplus, so that the ranking sees few rows of a frequent language
+    share = F.least(F.lit(1.0), F.lit(3.0 * per_language + 40) / F.col("_n"))
+    near = labelled.join(counts.hint("broadcast"), F.col("lang") == F.col("_lang"))  # MOST_DOCUMENTS rows at most
+    near = near.where((share >= 1) | (F.col("_order") < (share * 2 - 1) * F.lit(float(1 << 63))))
+    chosen = materialise(near.withColumn("_rank", rank).where(F.col("_rank") <= per_language).select("doc_id", "lang"), "language-sample")
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
     rows = rows.join(chosen.hint("broadcast"), ["doc_id", "lang"], "left_semi")  # MOST_DOCUMENTS rows at most
 
