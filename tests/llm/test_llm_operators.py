@@ -239,6 +239,33 @@ def test_lines_equal_brute_force(spark, docs, awkward, empty):
     assert kept[0] == "\n".join(x for i, x in enumerate(near[0][1].split("\n")) if i not in brute_lines(near)[0])
 
 
+def test_lines_of_rows_that_share_a_doc_id(spark):
+    """A line goes only if an earlier similar one stands in the tables, whatever else shares its doc_id."""
+    words = lambda *w: " ".join(f"w{i}" for i in w)
+    c, b = words(*range(10)), words(*range(9))
+    a, a2 = words(*range(50, 60)), words(*range(50, 59))
+    rows = [(1, c), (5, a), (5, b), (9, a2)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    got = sorted((r.doc_id, list(r.removed_lines)) for r in linededup.repeated_lines(table).collect())
+    assert got == [(1, []), (5, []), (5, [0]), (9, [0])]
+    assert {r.text for r in linededup.drop_repeated_lines(table).where("doc_id = 5").collect()} == {a, ""}
+    rows = [(None, f"{a}\nx{i}") for i in range(40)] + [(7, f"{c}\n{c}")] * 30
+    got = linededup.repeated_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    kept = [r for r in got if r.doc_id is None and not r.removed_lines]
+    assert len(got) == 70 and len(kept) == 1 and all(list(r.removed_lines) == [0] for r in got if r.doc_id is None and r.removed_lines)
+    assert all(list(r.removed_lines) == [1] for r in got if r.doc_id == 7)
+
+
+def test_language_sample_holds_every_language(spark):
+    """Few documents in many rows beside a large language, and more labels than a fixed list would hold."""
+    rows = [(i % 3 + 4, "ab cd", "few") for i in range(3000)] + [(i, "xy zw", "many") for i in range(100, 3100)] + [(10_000 + i, f"t {i}", f"l{i}") for i in range(900)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    asked = {r.lang for r in table.where("crc32(cast(doc_id as string)) % 4 <> 2").select("lang").distinct().collect()}
+    for per in (5, 50):
+        sample = langid.training_sample(table, per).select("lang", "doc_id").distinct().groupBy("lang").count().collect()
+        assert {r["lang"] for r in sample} == asked and all(r["count"] <= per for r in sample)
+
+
 def test_exact_groups(spark, docs, awkward, empty):
     rows = [(r.doc_id, r.text or "") for r in awkward.collect()]
     got = exact.exact_groups(awkward).collect()

@@ -75,22 +75,22 @@ def _sketch(words: Column) -> Column:
 
 
 def line_rows(docs: DataFrame, levels: DataFrame, t: float) -> DataFrame:
-    """One row per line: the text's __v_row, doc_id, line_no, the set's digests a and b, size n, sketch and prefix (32 bits of each hash)."""
+    """One row per line: the text's __v_row, doc_id, hash own, line_no, the set's digests a and b, size n, sketch and prefix (32 bits of each hash)."""
     hashes = F.array_remove(F.array_distinct(F.transform(_cut(F.col("line")), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
-    rows = docs.select("__v_row", F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split(_text(), "\n", -1)).alias("line_no", "line"))
-    rows = rows.select("__v_row", "doc_id", "line_no", hashes.alias("hashes"), levels.scalar().alias("levels"))
+    rows = docs.select("__v_row", F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(_text()).alias("own"), F.posexplode(F.split(_text(), "\n", -1)).alias("line_no", "line"))
+    rows = rows.select("__v_row", "doc_id", "own", "line_no", hashes.alias("hashes"), levels.scalar().alias("levels"))
     # the rarity takes the place of the upper byte; without nulls the sort is one of plain numbers
     ranked = F.transform("hashes", lambda h: F.coalesce(F.get(F.col("levels"), _bucket(h)), F.lit(0).cast("long")).bitwiseOR(F.shiftrightunsigned(h, 8)))
-    rows = rows.select("__v_row", "doc_id", "line_no", F.sort_array(ranked).alias("words"))
-    rows = rows.select("__v_row", "doc_id", "line_no", "words", F.size("words").alias("n"))
+    rows = rows.select("__v_row", "doc_id", "own", "line_no", F.sort_array(ranked).alias("words"))
+    rows = rows.select("__v_row", "doc_id", "own", "line_no", "words", F.size("words").alias("n"))
     prefix = F.transform(F.slice("words", 1, _prefix(F.col("n"), t)), lambda w: w.bitwiseAND(F.lit(0xFFFFFFFF)).cast("long").bitwiseXOR(F.lit(1 << 31)).cast("long") - F.lit(1 << 31))
-    rows = rows.select("__v_row", "doc_id", "line_no", F.xxhash64("words").alias("a"), F.xxhash64(F.lit(7), "words").alias("b"), "n", _sketch(F.col("words")).alias("sketch"), prefix.cast("array<int>").alias("prefix"))
+    rows = rows.select("__v_row", "doc_id", "own", "line_no", F.xxhash64("words").alias("a"), F.xxhash64(F.lit(7), "words").alias("b"), "n", _sketch(F.col("words")).alias("sketch"), prefix.cast("array<int>").alias("prefix"))
     return materialise(rows, "line-rows")
 
 
 def line_sets(rows: DataFrame) -> DataFrame:
-    """One row per distinct set with words: its earliest line, size n, sketch and prefix."""
-    sets = rows.where("n > 0").groupBy("a", "b").agg(F.min(F.struct("doc_id", "line_no", "n", "sketch", "prefix")).alias("line")).select("line.*")
+    """One row per distinct set with words: its earliest line (by doc_id, line number, hash of its text), size n, sketch and prefix."""
+    sets = rows.where("n > 0").groupBy("a", "b").agg(F.min(F.struct("doc_id", "line_no", "own", "n", "sketch", "prefix")).alias("line")).select("line.*")
     return materialise(sets.withColumn("sid", F.monotonically_increasing_id()), "line-sets")
 
 
@@ -126,14 +126,15 @@ def _words_of(docs: DataFrame, held: DataFrame) -> DataFrame:
 
     Each text is cut into lines once more, but only the lines asked for into words.
     """
-    by_doc = materialise(held.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_list(F.struct("line_no", "sid")).alias("_found")), "possible-documents")
+    by_doc = materialise(held.groupBy(F.col("doc_id").alias("_doc"), F.col("own").alias("_own")).agg(F.collect_list(F.struct("line_no", "sid")).alias("_found")), "possible-documents")
     size = by_doc.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("_found")), F.lit(0))).first()
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _text().alias("text")).join(by_doc.hint(_how(max(size))), F.col("doc_id").eqNullSafe(F.col("_doc")))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(_text()).alias("own"), _text().alias("text"))
+    rows = rows.join(by_doc.hint(_how(max(size))), F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("own") == F.col("_own")))
     # as a generator's output the lines are cut once a text and not again for each of those found
     rows = rows.select("_found", F.explode(F.array(F.split("text", "\n", -1))).alias("lines"))
     rows = rows.select(F.inline(F.transform("_found", lambda f: F.struct(f["sid"].alias("sid"), F.coalesce(F.get(F.col("lines"), f["line_no"]), F.lit("")).alias("line")))))
     words = rows.select("sid", F.array_remove(F.array_distinct(_cut(F.col("line"))), "").alias("words"))
-    # rows that share a doc_id have a line each at the set's place; one of them is the set's own, the earliest
+    # rows that repeat doc_id and text give the set's words once each
     words = words.select("sid", "words", F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"))
     return words.select("sid", F.size("words").alias("m"), F.array_join("words", " ").alias("words"), _wide_sketch(F.col("hashes")).alias("wide"))
 
@@ -143,8 +144,10 @@ def removed_sets(docs: DataFrame, sets: DataFrame, t: float) -> DataFrame:
     possible = materialise(possible_sets(sets, t), "possible-lines")
     held = materialise(sets.drop("sketch").join(possible.hint(_how(possible.count())), "sid", "left_semi"), "possible-sets")
     words = materialise(_words_of(docs, held), "possible-words")
+    if words.count() > held.count():  # some rows repeat doc_id and text
+        words = materialise(words.groupBy("sid").agg(*[F.min(c).alias(c) for c in words.columns if c != "sid"]), "distinct-words")
     entries = materialise(held.join(words.select("sid", "wide").hint("merge"), "sid"), "possible-sketches")
-    entries = entries.select("sid", F.struct("doc_id", "line_no").alias("at"), "n", "wide", F.posexplode("prefix").alias("place", "word"))
+    entries = entries.select("sid", F.struct("doc_id", "line_no", "own").alias("at"), "n", "wide", F.posexplode("prefix").alias("place", "word"))
     x, y = (lambda c: F.col(f"x.{c}")), (lambda c: F.col(f"y.{c}"))
     differ = x("n") + y("n") - F.lit(2) * _needed(x("n"), y("n"), t)
     near = (y("at") < x("at")) & _fits(x("n"), y("n"), x("place"), y("place"), t) & (sum(F.bit_count(x(f"wide.s{k}").bitwiseXOR(y(f"wide.s{k}"))) for k in range(2)) <= differ)
@@ -178,10 +181,10 @@ def _by_row(docs: DataFrame, threshold: float) -> DataFrame:
     rows = line_rows(docs, rarity_levels(docs), threshold)
     sets = line_sets(rows)
     removed = materialise(removed_sets(docs, sets, threshold), "removed-lines")
-    kept = sets.select("sid", "doc_id", "line_no").join(removed.hint(_how(removed.count())), "sid", "left_anti")
-    kept = materialise(kept.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_list("line_no").alias("_kept")), "kept-lines")
-    texts = rows.groupBy("__v_row").agg(F.max("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n_lines"), F.collect_list(F.when(F.col("n") > 0, F.col("line_no"))).alias("_worded"))
-    joined = materialise(texts, "worded-lines").join(kept.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_doc")), "left")
+    kept = sets.select("sid", "doc_id", "own", "line_no").join(removed.hint(_how(removed.count())), "sid", "left_anti")
+    kept = materialise(kept.groupBy(F.col("doc_id").alias("_doc"), F.col("own").alias("_own")).agg(F.collect_list("line_no").alias("_kept")), "kept-lines")
+    texts = rows.groupBy("__v_row").agg(F.max("doc_id").alias("doc_id"), F.max("own").alias("own"), F.count(F.lit(1)).alias("n_lines"), F.collect_list(F.when(F.col("n") > 0, F.col("line_no"))).alias("_worded"))
+    joined = materialise(texts, "worded-lines").join(kept.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("own") == F.col("_own")), "left")
     gone = F.sort_array(F.array_except("_worded", F.coalesce("_kept", F.array().cast("array<int>"))))
     return joined.select("__v_row", "doc_id", "n_lines", gone.alias("removed_lines"))
 
@@ -190,8 +193,9 @@ def repeated_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, n_lines, removed_lines) for every row of ``docs``; removed_lines are line numbers from 0, ascending.
 
     Lines end at newlines. Lines without words are never removed; null texts are one empty line. A place (doc_id, line
-    number) keeps its line if it is the earliest of a set without an earlier similar one, so rows that share a doc_id (null
-    as well) do not remove each other's lines at one place. Other columns are ignored; an empty table gives no rows.
+    number, text) keeps its line if it is the earliest of a set without an earlier similar one; places go by doc_id (null
+    first), line number and the text's XXH64. Rows that share a doc_id with different texts are documents of their own, rows
+    that repeat doc_id and text share their lines' fate. Other columns are ignored; an empty table gives no rows.
     """
     return _by_row(docs.select("doc_id", "text", F.monotonically_increasing_id().alias("__v_row")), threshold).drop("__v_row")
 
