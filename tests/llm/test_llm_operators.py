@@ -179,13 +179,42 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><script>var t="</p>";</scri
 
 def test_main_text():
     tree = html.train_tree()
-    x = np.array(html.LABELLED, float)
+    x = np.array(html.labelled_blocks(), float)
     assert (tree.predict(x[:, :-1]) == x[:, -1]).all()
     got = html.main_texts([PAGE, "", "<p>a", PAGE[:900], "<" * 300 + "plain", "<div hidden>" + "no " * 30 + "</div>"], tree)
     assert got[0] == "Big & bold First paragraph with some words and more of them, quite a few in fact. Short one. Last a < b été and its end is near."
     assert got[1] == "" and got[5] == ""
 
 
+def test_names_and_short_texts_of_articles():
+    """What only shares a word with boilerplate is text; what is named as boilerplate goes, whatever its tag."""
+    tree = html.train_tree()
+    long = "A paragraph of the article that goes on for quite a while, so that it has many words in it."
+    for name in ("social-history", "share-price-news", "tags-explained", "hasSidebar"):
+        assert html.main_texts([f'<article><p>{long}</p><div class="{name}">Part of the text.</div></article>'], tree) == [f"{long} Part of the text."], name
+    for gone in ('<p class="advert">Buy it now.</p>', '<ul><li class="comment">Nice.</li></ul>', '<ul><li class="comment"><p>Nice one.</p></ul>', '<div class="ad-box-2">Buy.</div>', '<p role="alert">Look.</p>'):
+        assert html.main_texts([f"<article><p>{long}</p>{gone}<p>The end.</p></article>"], tree) == [f"{long} The end."], gone
+    assert html.main_texts([f"<article><p>{long}</p><math><mi>x</mi></math><ul><li><a href=a>One source</a><li><a href=b>Two</a></ul></article>"], tree) == [f"{long} x One source Two"]
+    assert html.main_texts(["<p>Hello there.</p><p>Bye now.</p>"], tree) == ["Hello there. Bye now."]
+    page = f"<div>We keep small files on your machine, say yes to them or leave this page for good, it is your choice alone.</div><article><p>{long}</p><p>{long}</p></article>"
+    assert html.main_texts([page], tree) == [f"{long} {long}"]
+    menu = "<ul><li><a href=a>One</a></li><li><a href=b>Two</a></li></ul>"
+    assert html.main_texts([f"{menu}<p>Menu of things</p>{menu}<p>{long}</p><p>Short one.</p>"], tree) == [f"{long} Short one."]
+
+
+def test_pages_of_unclosed_elements_take_linear_time():
+    import time
+
+    def seconds(n, page):
+        began = time.process_time()
+        html.text_blocks(page * n + "</iframe>")
+        return time.process_time() - began
+
+    for page in ("<p><iframe>hello</p>", "<div><svg><button>x</div>", "<object><p>y"):
+        html.text_blocks(page)
+        assert seconds(16_000, page) < 16 * max(0.05, seconds(2_000, page)), page
+
+
 def test_pages(spark, empty):
     rows = [(1, "u", PAGE), (1, "u", PAGE), (2, None, None), (None, "v", ""), (3, "w", "<p>" + "lorem ipsum dolor " * 40_000)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit(1)).withColumn("n_chars", F.lit(2))

@@ -10,6 +10,7 @@ import html
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -18,10 +19,10 @@ from pyspark.sql import functions as F
 
 from .tokens import small_batches
 
-FEATURES = ("words", "link_density", "words_before", "links_before", "words_after", "links_after", "in_article", "in_region", "named_aside", "heading")
+FEATURES = ("words", "link_density", "words_before", "links_before", "words_after", "links_after", "in_article", "in_region", "named_aside", "heading", "paragraph", "article_share")
 
-#: Labelled blocks: the features above in order, then 1 for main text. Hand-made.
-LABELLED = [
+#: Labelled blocks: the first ten features in order, then 1 for main text. Hand-made.
+_BLOCKS_BY_HAND = [
     # paragraphs of articles, long and short, beside other paragraphs and at the article's ends
     (80, 0.0, 60, 0.0, 75, 0.0, 1, 0, 0, 0, 1), (45, 0.05, 9, 0.0, 30, 0.1, 1, 0, 0, 0, 1), (12, 0.0, 80, 0.0, 66, 0.0, 1, 0, 0, 0, 1),
     (2, 0.0, 50, 0.0, 70, 0.0, 1, 0, 0, 0, 1), (1, 0.0, 12, 0.0, 8, 1.0, 1, 0, 0, 0, 1), (33, 0.3, 8, 1.0, 4, 0.0, 1, 0, 0, 0, 1),
@@ -32,8 +33,8 @@ LABELLED = [
     (1, 0.0, 9, 0.0, 1, 0.0, 1, 0, 0, 1, 1), (2, 0.0, 3, 1.0, 2, 0.0, 1, 0, 0, 1, 1), (5, 0.0, 25, 0.0, 5, 0.0, 1, 0, 0, 1, 1), (3, 0.0, 1, 1.0, 4, 0.0, 1, 0, 0, 1, 1),
     (10, 0.0, 7, 0.0, 50, 0.0, 1, 0, 0, 1, 1), (4, 0.0, 60, 0.0, 40, 0.0, 1, 0, 0, 1, 1), (11, 0.0, 0, 0.0, 90, 0.0, 1, 0, 0, 1, 1), (9, 1.0, 6, 1.0, 44, 0.0, 1, 0, 0, 1, 1),
     (8, 0.0, 5, 1.0, 60, 0.0, 1, 1, 0, 1, 0), (7, 0.0, 5, 0.0, 9, 0.0, 1, 0, 1, 1, 0), (3, 0.0, 40, 0.0, 20, 1.0, 1, 0, 1, 1, 0),
-    # link lists inside articles
-    (3, 1.0, 4, 1.0, 3, 1.0, 1, 0, 0, 0, 0), (6, 1.0, 60, 0.0, 5, 1.0, 1, 0, 0, 0, 0), (5, 1.0, 5, 1.0, 30, 0.0, 1, 0, 0, 0, 0), (2, 1.0, 3, 1.0, 0, 0.0, 1, 0, 0, 0, 0),
+    # link lists inside articles, as sources and further reading
+    (3, 1.0, 4, 1.0, 3, 1.0, 1, 0, 0, 0, 1), (6, 1.0, 60, 0.0, 5, 1.0, 1, 0, 0, 0, 1), (5, 1.0, 5, 1.0, 30, 0.0, 1, 0, 0, 0, 1), (2, 1.0, 3, 1.0, 0, 0.0, 1, 0, 0, 0, 1),
     # what articles hold beside their text: adverts, notices, comments, bylines in headers
     (12, 0.0, 40, 0.0, 55, 0.0, 1, 0, 1, 0, 0), (60, 0.0, 50, 0.0, 30, 0.0, 1, 0, 1, 0, 0), (4, 0.0, 10, 0.0, 30, 0.0, 1, 1, 0, 0, 0), (35, 0.1, 70, 0.0, 0, 0.0, 1, 1, 0, 0, 0), (90, 0.0, 70, 0.0, 80, 0.0, 1, 0, 1, 0, 0),
     # menus, headers, footers, sidebars, forms outside articles
@@ -47,16 +48,34 @@ LABELLED = [
     (3, 1.0, 3, 1.0, 40, 0.0, 0, 0, 0, 0, 0), (2, 0.0, 2, 1.0, 3, 1.0, 0, 0, 0, 0, 0), (4, 0.0, 3, 1.0, 2, 1.0, 0, 0, 0, 0, 0), (30, 0.9, 6, 1.0, 28, 1.0, 0, 0, 0, 0, 0), (5, 0.0, 4, 0.0, 4, 0.0, 0, 0, 0, 0, 0),
     (9, 0.8, 30, 0.0, 10, 0.9, 0, 0, 0, 0, 0), (4, 1.0, 60, 0.0, 2, 1.0, 0, 0, 0, 0, 0), (3, 0.0, 2, 1.0, 4, 1.0, 0, 0, 0, 1, 0), (6, 0.0, 50, 0.0, 5, 1.0, 0, 0, 0, 1, 0),
 ]
-#: Blocks of every length, beside blocks of every length: main text in articles, boilerplate in what is set apart by its tag
-#: or name, and elsewhere main text if they are long or stand by long ones.
-LABELLED += [
-    (words, 0.0, before, 0.0, after, 0.0, article, region, named, heading, int(not region and not named and (article or words >= 15 or (words >= 4 and max(before, after) >= 60))))
-    for words in (1, 4, 30, 95) for before in (0, 12, 70) for after in (0, 4, 60) for heading in (0, 1)
-    for article, region, named in ((1, 0, 0), (0, 0, 0), (0, 1, 0), (0, 0, 1), (1, 1, 0), (1, 0, 1))
-]
+
+
+def _is_text(words: int, links: float, before: int, links_before: float, after: int, links_after: float, article: int, region: int, named: int, paragraph: int, share: float) -> bool:
+    """How the blocks below are labelled: main text in articles but for what is set apart by its tag or name; on pages whose words
+    are mostly in articles nothing else; on others what is long, or a paragraph that does not stand between link lists, or stands by a long
+    block without links."""
+    if region or named:
+        return False
+    if article or share > 0.3:
+        return bool(article)
+    by_text = before >= 60 and links_before < 0.5 or after >= 60 and links_after < 0.5
+    return links < 0.5 and (words >= 15 or paragraph and not (links_before >= 0.5 and links_after >= 0.5) or words >= 4 and by_text)
+
+
+def labelled_blocks() -> list[tuple]:
+    """The training table: the blocks labelled by hand, as paragraphs and not, and a grid of blocks beside blocks of other lengths and links."""
+    out = [(*b[:10], paragraph, 0.9 if b[6] else 0.0, b[10]) for b in _BLOCKS_BY_HAND for paragraph in (0, 1) if b[6] or b[7] or b[8] or not paragraph]
+    places = [(1, r, n, 0.9) for r, n in ((0, 0), (1, 0), (0, 1))] + [(0, r, n, share) for r, n in ((0, 0), (1, 0), (0, 1)) for share in (0.0, 0.9)]
+    for words, links, before, after, links_before, links_after, heading, paragraph in product((1, 4, 30, 95), (0.0, 1.0), (0, 12, 70), (0, 12, 70), (0.0, 1.0), (0.0, 1.0), (0, 1), (0, 1)):
+        if not (heading and paragraph or links_before > before or links_after > after):
+            for article, region, named, share in places:
+                label = _is_text(words, links, before, links_before, after, links_after, article, region, named, paragraph, share)
+                out.append((words, links, before, links_before, after, links_after, article, region, named, heading, paragraph, share, int(label)))
+    return out
+
 
 #: Elements whose content is no page text at all.
-DROPPED = "script style noscript template svg iframe object canvas textarea select title head button audio video math map datalist".split()
+DROPPED = "script style noscript template svg iframe object canvas textarea select title head button audio video map datalist".split()
 #: Those of them whose content is raw text up to their end tag.
 RAW = frozenset("script style textarea title".split())
 #: What a head may hold; anything else ends it.
@@ -74,9 +93,15 @@ BLOCKS = frozenset(
     """address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol optgroup
     option p pre section summary table tbody td tfoot th thead tr ul""".split()
 )
+#: Words beside those in class and id values that name boilerplate; any other word makes it the name of something else.
+FILLERS = frozenset(
+    """a area bar block body bottom box btn button buttons center col column container content first footer form global group header holder icon icons id inline inner item items js last left link links list main module
+    new outer page panel post primary right row secondary section single site slot small sticky tab tabs text thread title top unit wrap wrapper wrapping""".split()
+)
+PARAGRAPHS = frozenset("p pre blockquote".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that open a place of their own; others have no bearing on where a block stands.
-PLACES = frozenset("div section article main nav header footer aside form menu dialog fieldset ul ol dl table td th span figure blockquote body html details center".split())
+PLACES = frozenset("div section article main nav header footer aside form menu dialog fieldset ul ol li dl table td th span figure blockquote body html details center".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 _TOKEN = re.compile(
@@ -89,7 +114,6 @@ _TOKEN = re.compile(
 )
 _ATTR = re.compile(r"\b(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.IGNORECASE)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
-_NOT = frozenset("has with no without not".split())
 
 
 def _describe(attrs: str) -> tuple[bool, bool]:
@@ -108,7 +132,8 @@ def _describe(attrs: str) -> tuple[bool, bool]:
         else:
             for name in value.split():
                 parts = [p.lower() for p in _PART.findall(name)]
-                named |= bool(NAMES.intersection(parts)) and not _NOT.intersection(parts)
+                words = {p for p in parts if not p.isdigit()}
+                named |= bool(NAMES & words) and words <= NAMES | FILLERS
     return region, named
 
 
@@ -121,6 +146,7 @@ class _Block:
     in_region: bool
     named_aside: bool
     heading: bool
+    paragraph: bool
 
 
 @dataclass
@@ -133,19 +159,24 @@ class _Page:
     stack: list[tuple[str, bool, bool, bool]] = field(default_factory=list)
     in_link: bool = False
     heading: bool = False
+    paragraph: bool = False
+    #: Region and name of the open block itself, where it is no place.
+    own: tuple[bool, bool] = (False, False)
 
     def flush(self) -> None:
         words = html.unescape("".join(self.parts)).split()
         if words:
             links = len(html.unescape(" ".join(self.linked)).split())
             _, article, region, named = self.stack[-1] if self.stack else ("", False, False, False)
-            self.blocks.append(_Block(" ".join(words), len(words), min(1.0, links / len(words)), article, region, named, self.heading))
+            self.blocks.append(_Block(" ".join(words), len(words), min(1.0, links / len(words)), article, region or self.own[0], named or self.own[1], self.heading, self.paragraph))
         self.parts, self.linked = [], []
 
     def open(self, name: str, attrs: str) -> None:
         if name in BLOCKS:
             self.flush()
             self.in_link = False
+            self.paragraph = name in PARAGRAPHS
+            self.own = _describe(attrs) if attrs and name not in PLACES else (False, False)
         if name == "br":
             self.parts.append(" ")
         elif name == "a":
@@ -158,6 +189,8 @@ class _Page:
                 named = False
             if name == "span" and not region:
                 return
+            if name == "li" and self.stack and self.stack[-1][0] == "li":  # its end tag was left out
+                self.stack.pop()
             _, article, in_region, in_named = self.stack[-1] if self.stack else ("", False, False, False)
             if name in ("article", "main"):
                 self.stack.append((name, True, in_region, in_named))
@@ -167,7 +200,8 @@ class _Page:
     def close(self, name: str) -> None:
         if name in BLOCKS:
             self.flush()
-            self.in_link = False
+            self.in_link = self.paragraph = False
+            self.own = (False, False)
         if name == "a":
             self.in_link = False
         elif name in HEADINGS:
@@ -185,52 +219,72 @@ def _tag(m: re.Match) -> tuple[str, bool, str]:
     return (name.lower(), bool(m["close"] or m["close2"]), m["attrs"] or m["attrs2"] or "") if name else ("", False, "")
 
 
-def _after_dropped(tokens: list[re.Match], at: int) -> int:
-    """The place behind the dropped element that opens at ``at``.
+class _Ends:
+    """Where dropped elements end, found in one pass forwards and one backwards over a page's tags.
 
-    It ends with its end tag. One without, by the end of what it stands in or the start of the page's text, holds nothing beyond the
-    next block-level tag. A head also ends where something stands that no head holds.
+    An element ends with its end tag. One without, by the end of what it stands in or the start of the page's text, holds nothing
+    beyond the next block-level tag; a button or a selection ends where the next one opens. A head also ends where something stands
+    that no head holds.
     """
-    name, _, attrs = _tag(tokens[at])
-    if attrs.rstrip().endswith("/"):
-        return at + 1
-    if name == "head":
+
+    def __init__(self, tokens: list[re.Match]):
+        self.tokens, self.tags = tokens, [_tag(m) for m in tokens]
+        n = len(tokens)
+        opens: dict[str, list[int]] = {}
+        match = [-1] * n  # of an end tag its start tag, and the other way round
+        for i, (name, closes, attrs) in enumerate(self.tags):
+            if name and (name in DROPPED or name in PLACES):
+                if not closes:
+                    if not attrs.rstrip().endswith("/") or name in PLACES:
+                        opens.setdefault(name, []).append(i)
+                elif opens.get(name):
+                    match[i] = opens[name].pop()
+                    match[match[i]] = i
+        self.end = [n] * n
+        block, main, again = n, n, {}
+        outer: list[int] = []  # end tags ahead of places that opened further and further back
+        for i in range(n - 1, -1, -1):
+            name, closes, _ = self.tags[i]
+            if not name:
+                continue
+            if name in DROPPED and not closes:
+                while outer and match[outer[-1]] >= i:
+                    outer.pop()
+                stop = min(main, outer[-1] if outer else n, again.get(name, n) if name in ("button", "select") else n)
+                self.end[i] = match[i] + 1 if i < match[i] < stop else min(block, stop)
+                again[name] = i
+            if name in BLOCKS and name not in ("option", "optgroup"):
+                block = i
+            if name in ("article", "main", "body") and not closes:
+                main = i
+            if name in PLACES and closes:
+                while outer and match[outer[-1]] >= match[i]:
+                    outer.pop()
+                outer.append(i)
+
+    def after(self, at: int) -> int:
+        """The place behind the dropped element that opens at ``at``."""
+        name, _, attrs = self.tags[at]
+        if attrs.rstrip().endswith("/"):
+            return at + 1
+        if name != "head":
+            return self.end[at]
         i = at + 1
-        while i < len(tokens):
-            inner, closes, _ = _tag(tokens[i])
+        while i < len(self.tokens):
+            inner, closes, _ = self.tags[i]
             if closes and inner == "head":
                 return i + 1
-            if inner and (closes and inner in ("body", "html") or not closes and inner not in HEAD_CONTENT) or tokens[i].lastgroup == "text" and tokens[i]["text"].strip():
+            if inner and (closes and inner in ("body", "html") or not closes and inner not in HEAD_CONTENT) or self.tokens[i].lastgroup == "text" and self.tokens[i]["text"].strip():
                 return i
-            i = _after_dropped(tokens, i) if inner in DROPPED and not closes else i + 1
+            i = self.after(i) if inner in DROPPED and inner not in RAW and not closes else i + 1
         return i
-    same, first_block = 1, len(tokens)
-    opened: dict[str, int] = {}
-    for i in range(at + 1, len(tokens)):
-        inner, closes, attrs = _tag(tokens[i])
-        if not inner:
-            continue
-        if inner == name:
-            if not closes and name in ("button", "select"):
-                return min(first_block, i)
-            same += -1 if closes else int(not attrs.rstrip().endswith("/"))
-            if not same:
-                return i + 1
-        elif inner in BLOCKS and inner not in ("option", "optgroup") and first_block == len(tokens):
-            first_block = i
-        if not closes and inner in ("article", "main", "body"):
-            break
-        if inner in PLACES:
-            opened[inner] = opened.get(inner, 0) + (-1 if closes else 1)
-            if opened[inner] < 0:
-                break
-    return first_block
 
 
 def text_blocks(page: str) -> list[_Block]:
     """The page's text blocks in order."""
     walk = _Page()
     tokens = list(_TOKEN.finditer(page))
+    ends = _Ends(tokens)
     at = 0
     while at < len(tokens):
         m = tokens[at]
@@ -240,12 +294,12 @@ def text_blocks(page: str) -> list[_Block]:
             if walk.in_link:
                 walk.linked.append(m["text"])
             continue
-        name, closes, attrs = _tag(m)
+        name, closes, attrs = ends.tags[at - 1]
         if name and closes:
             walk.close(name)
         elif name in DROPPED:
             if name not in RAW:
-                at = _after_dropped(tokens, at - 1)
+                at = ends.after(at - 1)
         elif name:
             walk.open(name, attrs)
     walk.flush()
@@ -254,10 +308,12 @@ def text_blocks(page: str) -> list[_Block]:
 
 def block_features(blocks: list[_Block]) -> np.ndarray:
     """One row per block in the order of FEATURES; beyond the page's ends there are no words and no links."""
-    own = np.array([(b.words, b.link_density, b.in_article, b.in_region, b.named_aside, b.heading) for b in blocks], np.float64).reshape(-1, 6)
+    own = np.array([(b.words, b.link_density, b.in_article, b.in_region, b.named_aside, b.heading, b.paragraph) for b in blocks], np.float64).reshape(-1, 7)
     edge = np.zeros((1, 2))
     before, after = np.vstack([edge, own[:-1, :2]])[: len(own)], np.vstack([own[1:, :2], edge])[: len(own)]
-    return np.hstack([own[:, :2], before, after, own[:, 2:]])
+    free = own[:, 0] * (1 - np.maximum(own[:, 3], own[:, 4]))
+    share = np.full((len(own), 1), (free * own[:, 2]).sum() / max(1.0, free.sum()))
+    return np.hstack([own[:, :2], before, after, own[:, 2:], share])
 
 
 class DecisionTree:
@@ -277,11 +333,13 @@ class DecisionTree:
         for f in range(x.shape[1]):
             order = np.argsort(x[:, f], kind="stable")
             v, left = x[order, f], np.cumsum(y[order])
-            for i in range(self.least, n - self.least + 1):
-                if i < n and v[i] != v[i - 1]:
-                    gain = gini(ones, n) - gini(left[i - 1], i) - gini(ones - left[i - 1], n - i)
-                    if gain > best[0] + 1e-9:
-                        best = (gain, f, (v[i] + v[i - 1]) / 2)
+            i = np.flatnonzero(v[1:] != v[:-1]) + 1
+            i = i[(i >= self.least) & (i <= n - self.least)]
+            if len(i):
+                gain = gini(ones, n) - gini(left[i - 1], i) - gini(ones - left[i - 1], n - i)
+                k = int(gain.argmax())
+                if gain[k] > best[0] + 1e-9:
+                    best = (float(gain[k]), f, (v[i[k]] + v[i[k] - 1]) / 2)
         if best[1] >= 0:
             _, f, cut = best
             low = x[:, f] <= cut
@@ -301,7 +359,7 @@ class DecisionTree:
 
 
 def train_tree(labelled: list[tuple] | None = None) -> DecisionTree:
-    table = np.array(labelled or LABELLED, np.float64)
+    table = np.array(labelled or labelled_blocks(), np.float64)
     return DecisionTree(table[:, :-1], table[:, -1])
 
 
@@ -320,8 +378,9 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
     pages are read as far as they go. Other columns are ignored; an empty table gives no rows.
     """
 
+    tree = train_tree()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree = train_tree()
         for batch in small_batches(batches, 2):
             texts = main_texts([h or "" for h in batch.column(2).to_pylist()], tree)
             yield pa.record_batch({"page_id": batch.column(0), "url": batch.column(1), "text": pa.array(texts, pa.string()), "n_chars": pa.array([len(t) for t in texts], pa.int64())})
