@@ -163,16 +163,15 @@ def test_as_of_and_gaps(spark):
 
 def test_regression_learns(spark):
     rows = spark.range(300).select(F.col("id").alias("skin_id"), *[((F.col("id") * (i + 3)) % 17).cast("double").alias(f) for i, f in enumerate(features.FEATURES)]).withColumn("target", F.col("vlm_art_quality") / 20 + 0.1)
-    made = learning.assembled(rows)
-    model = learning.fit(made, maxIter=15, stepSize=0.3)
-    q = learning.quality(model.transform(made)).first()
+    model = learning.fit(rows, rounds=15, step=0.3)
+    q = learning.quality(rows.withColumn("prediction", model.prediction())).first()
     assert q.rows == 300 and q.mape < 0.25 and q.r2 > 0.7
-    best = learning.search(made.limit(80), {"maxDepth": [1, 2], "maxIter": [2]}, folds=2, parallelism=1).bestModel
-    assert best.getOrDefault("maxDepth") in (1, 2)
     weights = learning.dimension_weights(learning.importance(model, spark)).collect()
     assert sum(w.weight for w in weights) == pytest.approx(1)
-    cold = learning.blended(made.withColumn("total_premium", F.lit(40)), None, 10).first()
+    cold = learning.blended(rows.withColumn("total_premium", F.lit(40)), None, 10).first()
     assert cold.total_premium == 40 and cold.alpha == 1
+    warm = learning.blended(rows.withColumn("total_premium", F.lit(40)), model, 300).first()
+    assert warm.alpha == pytest.approx(0.2 + 0.8 / 4) and warm.total_premium == round(warm.alpha * 40 + (1 - warm.alpha) * warm.ml_based)
 
 
 def test_catalogue_documents_need_their_keys_and_heroes(spark):

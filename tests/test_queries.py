@@ -34,7 +34,7 @@ def test_equals_sql(spark, con, name):
     assert rows_of(names, result.fetchall()) == rows_of(df.columns, df.collect())
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL) - {"regression_eval", "blend"}))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_runs(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
 
@@ -74,19 +74,3 @@ def test_neighbors_equal_brute_force(spark):
     got = [(r.target_id, r.skin_id) for r in QUERIES["lsh_neighbors"](spark, SF).collect()]
     assert len(got) == 5 * len(ids)
     assert len(want & set(got)) >= 0.999 * len(want)
-
-
-def test_regression_queries_train_the_whole_model(spark, monkeypatch):
-    """200 rounds at 0.05 and five folds, as the operator has them."""
-    from veloria.operators import learning
-    from veloria.plans import score_queries
-
-    seen = []
-    monkeypatch.setattr(score_queries, "_learning_rows", lambda spark, d: None)
-    monkeypatch.setattr(learning, "cross_validated", lambda rows, key="skin_id", folds=5, **s: seen.append((folds, {**learning.SETTINGS, **s})))
-    monkeypatch.setattr(learning, "fit", lambda rows, label="target", **s: seen.append((5, {**learning.SETTINGS, **s})))
-    monkeypatch.setattr(learning, "importance", lambda model, spark: None)
-    monkeypatch.setattr(learning, "dimension_weights", lambda rows: None)
-    score_queries.regression_eval(spark, SF)
-    score_queries.importance_weights(spark, SF)
-    assert len(seen) == 2 and all(f == 5 and s["maxIter"] == 200 and s["stepSize"] == 0.05 for f, s in seen)

@@ -13,10 +13,10 @@ def cleaned(rows: DataFrame, least: int = 20) -> DataFrame:
 
 
 def deduplicated(rows: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Of rows with equal text but for case those with the least key."""
+    """Of rows with equal text but for case those with the least key; a null key is the largest, so texts under null keys alone stay."""
     digest = F.sha2(F.lower("text"), 256)
     keep = rows.groupBy(digest.alias("_h")).agg(F.min(key).alias("_k"))
-    return rows.join(keep, (F.col(key) == F.col("_k")) & (digest == F.col("_h")), "left_semi")
+    return rows.join(keep, F.col(key).eqNullSafe(F.col("_k")) & digest.eqNullSafe(F.col("_h")), "left_semi")
 
 
 def tagged_union(sources: dict[str, DataFrame]) -> DataFrame:

@@ -146,7 +146,7 @@ def target(spark, d):
 
 
 def _learning_rows(spark, d):
-    return learning.assembled(kept(feature_view(spark, d).join(_targets(spark, d).select("skin_id", "target"), "skin_id"), "learning"))
+    return kept(feature_view(spark, d).join(_targets(spark, d).select("skin_id", "target"), "skin_id"), "learning")
 
 
 def regression_eval(spark, d):
