@@ -49,18 +49,30 @@ def usage(events: DataFrame, won: str = "purchase") -> DataFrame:
     return per.join(F.broadcast(everything)).select("hero_name", "matches", F.round(F.col("matches") / F.col("every"), 6).alias("usage_rate"), F.round(F.col("wins") / F.col("matches"), 6).alias("win_rate"))
 
 
+def ranked(rows: DataFrame, group: str, value: str, out: str = "before", total: str = "of") -> DataFrame:
+    """``rows`` with the number of rows of their group that have a smaller ``value`` (null smallest), of equal ones, and of all.
+
+    Counts by value come first, so what is put in order within a group is a row a distinct value and not a row an item.
+    """
+    counts = rows.groupBy(F.col(group).alias("_g"), F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("ties"))
+    w = W.partitionBy("_g").orderBy("_v")
+    counts = counts.withColumns({out: F.coalesce(F.sum("ties").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)), total: F.sum("ties").over(W.partitionBy("_g"))})
+    return rows.join(counts, F.col(group).eqNullSafe(F.col("_g")) & F.col(value).eqNullSafe(F.col("_v"))).drop("_g", "_v")
+
+
 def gift_rank(gifts: DataFrame, skins: DataFrame) -> DataFrame:
     """Rank within the genre, 1 the most gifted; never gifted skins rank by 0."""
     per = gifts.groupBy("skin_id").agg(F.count(F.lit(1)).alias("gifts"))
     rows = skins.select("skin_id", "genre").join(per, "skin_id", "left").na.fill(0, ["gifts"])
-    return rows.withColumn("gift_rank", F.rank().over(W.partitionBy("genre").orderBy(F.desc("gifts"))))
+    return ranked(rows, "genre", "gifts").select("skin_id", "genre", "gifts", (F.col("of") - F.col("before") - F.col("ties") + 1).cast("int").alias("gift_rank"))
 
 
 def drop_rate(sales: DataFrame, skins: DataFrame) -> DataFrame:
     """Percent rank within the genre of a skin's share of drops."""
     per = sales.groupBy("skin_id").agg(F.count(F.lit(1)).alias("drops"))
     rows = skins.select("skin_id", "genre").join(per, "skin_id", "left").na.fill(0, ["drops"])
-    return rows.withColumn("drop_rate", F.round(F.percent_rank().over(W.partitionBy("genre").orderBy("drops")), 6))
+    share = F.when(F.col("of") > 1, F.col("before") / (F.col("of") - 1)).otherwise(F.lit(0.0))
+    return ranked(rows, "genre", "drops").select("skin_id", "genre", "drops", F.round(share, 6).alias("drop_rate"))
 
 
 def episodes(listings: DataFrame) -> DataFrame:
@@ -155,5 +167,6 @@ def quality_rank(posts: DataFrame, least: int = 3) -> DataFrame:
 def release_order(listings: DataFrame, skins: DataFrame, as_of: Column) -> DataFrame:
     """First day on sale, age in days and the order of release within the genre."""
     first = listings.groupBy("skin_id").agg(F.to_date(F.min("listed_at")).alias("released"))
-    rows = skins.select("skin_id", "genre").join(first, "skin_id")
-    return rows.select("skin_id", "genre", "released", F.datediff(as_of, "released").alias("age_days"), F.row_number().over(W.partitionBy("genre").orderBy("released", "skin_id")).alias("release_no"))
+    rows = ranked(skins.select("skin_id", "genre").join(first, "skin_id"), "genre", "released")
+    day = F.row_number().over(W.partitionBy("genre", "released").orderBy("skin_id"))
+    return rows.select("skin_id", "genre", "released", F.datediff(as_of, "released").alias("age_days"), (F.col("before") + day).cast("int").alias("release_no"))

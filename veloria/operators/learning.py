@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.files import kept
-from . import boosting, scoring
+from . import boosting, facts, scoring
 from . import features as fv
 
 #: Fixed value.
@@ -90,12 +90,7 @@ def blended(scored: DataFrame, model: boosting.Model | None, labels: int) -> Dat
 
 def spearman(rows: DataFrame, pairs: list[tuple[str, str]], group: str) -> DataFrame:
     """Rank agreement of column pairs within each group: the correlation of average ranks."""
-    from pyspark.sql import Window as W
-
-    def rank(c: str):
-        w = W.partitionBy(group)
-        return F.rank().over(w.orderBy(c)) + (F.count(F.lit(1)).over(W.partitionBy(group, c)) - 1) / 2
-
-    names = sorted({c for p in pairs for c in p})
-    ranked = rows.select(group, *[rank(c).alias(c) for c in names])
-    return ranked.groupBy(group).agg(*[F.round(F.corr(a, b), 6).alias(f"{a}_{b}") for a, b in pairs])
+    ranks = rows.select(group, *sorted({c for p in pairs for c in p}))
+    for c in sorted({c for p in pairs for c in p}):
+        ranks = facts.ranked(ranks, group, c).withColumn(f"_rank_{c}", F.col("before") + (F.col("ties") + 1) / 2).drop("before", "ties", "of")
+    return ranks.groupBy(group).agg(*[F.round(F.corr(f"_rank_{a}", f"_rank_{b}"), 6).alias(f"{a}_{b}") for a, b in pairs])

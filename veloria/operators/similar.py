@@ -1,50 +1,71 @@
-"""Similar items: banded candidates, cosine ranking, peers, nearest neighbours for large bands."""
+"""Similar items: banded candidates, cosine ranking, peers, comparables, nearest neighbours."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from itertools import combinations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions import vectors
 from ..sources.files import kept
 
+from . import index
+
 
 def candidates(items: DataFrame, width: int = 1) -> DataFrame:
     """(target_id, skin_id) pairs of one genre with tiers at most ``width`` apart, by an equality join over exploded tiers.
 
-    Pairs within a band are this operator's result; it is for catalogues whose bands are small. ``nearest`` serves others.
+    Pairs within a band are this operator's result; ``competitors`` finds the nearest of them without listing them.
     """
     t = items.select(F.col("skin_id").alias("target_id"), F.col("genre").alias("_g"), F.explode(F.sequence(F.col("official_tier") - width, F.col("official_tier") + width)).alias("_t"))
     return t.join(items.select("skin_id", "genre", "official_tier").hint("merge"), (F.col("_g") == F.col("genre")) & (F.col("_t") == F.col("official_tier"))).where("skin_id <> target_id").select("target_id", "skin_id")
 
 
 def competitors(items: DataFrame, k: int = 5, width: int = 1) -> DataFrame:
-    """(target_id, place, skin_id, similarity): the k most similar candidates by cosine of ``vector``, ties by id."""
-    v = items.withColumn("norm", vectors.norm(F.col("vector")))
-    t = v.select(F.col("skin_id").alias("target_id"), F.col("genre").alias("_g"), F.col("vector").alias("_v"), F.col("norm").alias("_n"), F.explode(F.sequence(F.col("official_tier") - width, F.col("official_tier") + width)).alias("_t"))
-    pairs = t.join(v.hint("merge"), (F.col("_g") == F.col("genre")) & (F.col("_t") == F.col("official_tier"))).where("skin_id <> target_id")
-    scored = pairs.select("target_id", "skin_id", F.round(vectors.cosine(F.col("_v"), F.col("vector"), F.col("_n"), F.col("norm")), 6).alias("similarity"))
-    return top(scored, ["target_id"], [F.desc("similarity"), F.col("skin_id")], k)
+    """(target_id, place, skin_id, similarity): the k most similar items of the genre with tiers at most ``width`` apart, by cosine of ``vector``, ties by id."""
+    return top(index.search(items, k, genre="genre", tier="official_tier", width=width), ["target_id"], [F.desc("similarity"), F.col("skin_id")], k)
 
 
 def top(rows: DataFrame, keys: list[str], order: list, k: int) -> DataFrame:
     return rows.withColumn("place", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where(F.col("place") <= k)
 
 
+#: The ways in which peers can be alike, alone and together.
+SHARED = ("hero_name", "series", "official_tier")
+COMBINATIONS = tuple(c for n in range(1, len(SHARED) + 1) for c in combinations(SHARED, n))
+
+
 def peers(skins: DataFrame, k: int = 5) -> DataFrame:
-    """(target_id, place, skin_id, ways): skins of the same hero, series or tier within a genre, most ways shared first, then the
-    nearest price."""
-    t = skins.select(F.col("skin_id").alias("target_id"), F.col("official_price").alias("_p"), *[F.col(c).alias(f"_{c}") for c in ("genre", "hero_name", "series", "official_tier")])
-    ways = None
-    for c in ("hero_name", "series", "official_tier"):
-        part = t.join(skins, (F.col("_genre") == F.col("genre")) & (F.col(f"_{c}") == F.col(c)) & (F.col("target_id") != F.col("skin_id"))).select("target_id", "skin_id", F.round(F.abs(F.col("_p") - F.col("official_price")), 4).alias("gap"))
-        ways = part if ways is None else ways.unionByName(part)
-    per = ways.groupBy("target_id", "skin_id").agg(F.count(F.lit(1)).alias("ways"), F.min("gap").alias("gap"))
+    """(target_id, place, skin_id, ways, gap): skins of the same hero, series or tier within a genre, most ways shared first, then the
+    nearest price (to 4 decimals), then by id. Skins without a genre or price take no part, a null is not shared.
+
+    Whatever is among a skin's k first peers is among the k nearest in price of those that share the same ways or more. So for each
+    combination of ways only neighbours are looked at: skins fall into its groups, a group's distinct prices stand in order with the k + 1
+    least ids of each, and each price is compared with the k prices on either side. Output and work grow with the number of skins.
+    """
+    rows = skins.where(F.col("genre").isNotNull() & F.col("official_price").isNotNull()).withColumn("price", F.round(F.col("official_price").cast("double"), 4))
+    ways = F.array(*[F.struct(F.lit(i).alias("combination"), *[(F.col(s) if s in c else F.lit(None)).cast("string").alias(f"_{s}") for s in SHARED], F.lit(len(c)).cast("long").alias("ways")) for i, c in enumerate(COMBINATIONS)])
+    rows = rows.select("skin_id", "genre", "price", *SHARED, F.explode(ways).alias("w")).select("skin_id", "genre", "price", "w.*", *SHARED)
+    whole = F.lit(False)
+    for i, c in enumerate(COMBINATIONS):
+        known = F.lit(True)
+        for s in c:
+            known = known & F.col(s).isNotNull()
+        whole = whole | ((F.col("combination") == i) & known)
+    names = [f"_{s}" for s in SHARED]
+    group = ["combination", "genre", *names]
+    rows = kept(rows.where(whole).select("skin_id", "price", "ways", *group), "peer-groups")
+    few = top(rows.select("skin_id", "price", *group), [*group, "price"], [F.col("skin_id")], k + 1)
+    prices = few.groupBy(*group, "price").agg(F.array_sort(F.collect_list("skin_id")).alias("ids"))  # k + 1 ids at most
+    around = F.collect_list(F.struct("price", "ids")).over(W.partitionBy(*group).orderBy("price").rowsBetween(-k, k))  # a row a distinct price
+    found = F.flatten(F.transform("around", lambda x: F.transform(x["ids"], lambda i: F.struct(F.round(F.abs(x["price"] - F.col("price")), 4).alias("gap"), i.alias("skin_id")))))
+    near = prices.withColumn("around", around).select(*[F.col(c).alias(f"g{c}") for c in group], F.col("price").alias("_price"), F.slice(F.array_sort(found), 1, k + 1).alias("near"))
+    on = F.col("price") == F.col("_price")
+    for c in group:
+        on = on & F.col(c).eqNullSafe(F.col(f"g{c}"))
+    pairs = rows.join(near.hint("merge"), on).select(F.col("skin_id").alias("target_id"), "ways", F.explode("near").alias("n")).select("target_id", "ways", "n.*").where("target_id <> skin_id")
+    per = pairs.groupBy("target_id", "skin_id").agg(F.max("ways").alias("ways"), F.min("gap").alias("gap"))
     return top(per, ["target_id"], [F.desc("ways"), F.col("gap"), F.col("skin_id")], k)
 
 
@@ -66,57 +87,9 @@ def comparables(scored: DataFrame, k: int = 5) -> DataFrame:
     return top(rows, ["target_id"], [F.col("gap"), F.col("skin_id")], k).select("target_id", "place", "skin_id", "total_premium", "gap")
 
 
-def nearest(items: DataFrame, k: int = 5, tile: int = 2048) -> DataFrame:
-    """(target_id, skin_id, similarity, place): the k most similar of all items by cosine, ties by id. For catalogues too large for bands.
+def nearest(items: DataFrame, k: int = 5, probes: int | None = None) -> DataFrame:
+    """(target_id, skin_id, similarity, place): the k most similar of all items by cosine, ties by id.
 
-    A block matrix join: every tile of unit vectors meets every other, so nothing is missed. Null, empty, zero and non-finite vectors
-    take no part; only vectors of one length are compared.
+    Exact, unless ``probes`` bounds the cells of the index that an item is compared with.
     """
-    v = F.col("vector").cast("array<double>")
-    fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists(v, lambda x: x != 0)
-    rows = items.select(F.col("skin_id").cast("long").alias("skin_id"), v.alias("vector"), F.size(v).alias("dim")).where(fine & F.col("skin_id").isNotNull())
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[tuple[int, list[float]]]] = {}
-
-        def out(dim: int) -> pa.RecordBatch:
-            ids, lists = zip(*held.pop(dim), strict=True)
-            unit = np.array(lists, "<f8")
-            unit /= np.abs(unit).max(axis=1, keepdims=True)
-            unit /= np.sqrt((unit * unit).sum(axis=1, keepdims=True))
-            return pa.record_batch({"dim": pa.array([dim], pa.int32()), "ids": pa.array([np.array(ids, "<i8").tobytes()], pa.binary()), "unit": pa.array([unit.tobytes()], pa.binary())})
-
-        for batch in batches:
-            for i, x, dim in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                held.setdefault(dim, []).append((i, x))
-                if len(held[dim]) >= tile:
-                    yield out(dim)
-        for dim in list(held):
-            yield out(dim)
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for dim, a_ids, a, b_ids, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                a_ids, b_ids = np.frombuffer(a_ids, "<i8"), np.frombuffer(b_ids, "<i8")
-                a, b = np.frombuffer(a, "<f8").reshape(-1, dim), np.frombuffer(b, "<f8").reshape(-1, dim)
-                for at in range(0, len(a_ids), 256):
-                    own = a_ids[at : at + 256]
-                    score = np.round(np.clip(a[at : at + 256] @ b.T, -1.0, 1.0), 6)
-                    score[own[:, None] == b_ids[None, :]] = -np.inf
-                    n = min(k, len(b_ids))
-                    least = -np.partition(-score, n - 1, axis=1)[:, n - 1]
-                    q, c = np.nonzero((score >= least[:, None]) & (score > -np.inf))
-                    order = np.lexsort((b_ids[c], -score[q, c], q))
-                    q, c = q[order], c[order]
-                    first = np.searchsorted(q, q)
-                    best = np.arange(len(q)) - first < k
-                    q, c = q[best], c[best]
-                    yield pa.record_batch({"target_id": own[q], "skin_id": b_ids[c], "similarity": score[q, c]})
-
-    tiles = kept(rows.mapInArrow(pack, "dim int, ids binary, unit binary").withColumn("no", F.monotonically_increasing_id()), "tiles")
-    a = tiles.select("dim", "no", F.col("ids").alias("a_ids"), F.col("unit").alias("a"))
-    b = tiles.select("dim", F.col("ids").alias("b_ids"), F.col("unit").alias("b"))
-    dealt = tiles.select("dim", "no").join(b.hint("merge"), "dim").select("no", "b_ids", "b")
-    pairs = dealt.join(a.hint("merge"), "no").select("dim", "a_ids", "a", "b_ids", "b")
-    scored = pairs.mapInArrow(compare, "target_id long, skin_id long, similarity double")
-    return top(scored, ["target_id"], [F.desc("similarity"), F.col("skin_id")], k)
+    return top(index.search(items, k, probes=probes), ["target_id"], [F.desc("similarity"), F.col("skin_id")], k)

@@ -231,6 +231,8 @@ _COMPARE = """SELECT a.skin_id AS target_id, b.skin_id, b.total_premium, abs(a.t
   FROM t a JOIN t b ON a.genre = b.genre AND abs(a.official_tier - b.official_tier) <= 1 AND a.skin_id <> b.skin_id"""
 _COMP = """WITH e AS (SELECT vec_id AS skin_id, vec_id % 2 AS genre, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), c AS (SELECT a.skin_id AS target_id, b.skin_id, round(list_cosine_similarity(a.v, b.v), 6) AS similarity FROM e a JOIN e b ON a.genre = b.genre AND abs(a.label - b.label) <= 1 AND a.skin_id <> b.skin_id),
 k AS (SELECT target_id, CAST(row_number() OVER (PARTITION BY target_id ORDER BY similarity DESC, skin_id) AS INTEGER) AS place, skin_id, similarity FROM c QUALIFY place <= 5)"""
+_NEAR = """WITH e AS (SELECT vec_id AS skin_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), c AS (SELECT a.skin_id AS target_id, b.skin_id, round(list_cosine_similarity(a.v, b.v), 6) AS similarity FROM e a JOIN e b ON a.skin_id <> b.skin_id AND len(a.v) = len(b.v))
+SELECT target_id, CAST(row_number() OVER (PARTITION BY target_id ORDER BY similarity DESC, skin_id) AS INTEGER) AS place, skin_id, similarity FROM c QUALIFY place <= 5"""
 _LONG = " UNION ALL ".join(f"SELECT skin_id, '{dim}' AS dimension, round(sum(x), 4) AS points, {sum(r.dimension == dim for r in scoring.RULES)} AS features FROM (SELECT skin_id, unnest([" + ", ".join(f"n_{r.feature} * {r.weight}::DOUBLE * 100" for r in scoring.RULES if r.dimension == dim) + "]) AS x FROM n) GROUP BY 1" for dim in DIMENSIONS)
 _RANK = "rank() OVER (PARTITION BY genre ORDER BY {0}) + (count(*) OVER (PARTITION BY genre, {0}) - 1) / 2.0::DOUBLE"
 SQL = {
@@ -250,6 +252,7 @@ SQL = {
     "radar_long": f"{_T} " + " UNION ALL ".join(f"SELECT skin_id, '{dim}' AS dimension, {dim} AS score FROM t" for dim in DIMENSIONS),
     "comparables": f"{_T} SELECT * FROM ({_COMPARE}) WHERE place <= 5",
     "competitors": f"{_COMP} SELECT * FROM k",
+    "lsh_neighbors": _NEAR,
     "comparison_lines": f"{_COMP} SELECT target_id, string_agg('- G ' || skin_id || ': 情绪溢价 ' || (skin_id * 37 % 101) || ' (' || CASE WHEN target_id * 37 % 101 > skin_id * 37 % 101 THEN '↑' ELSE '↓' END || abs(target_id * 37 % 101 - skin_id * 37 % 101) || ' vs 当前皮肤)', chr(10) ORDER BY place) AS text FROM k GROUP BY 1",
     "peers": f"WITH {A.SKINS}, w AS (SELECT a.skin_id AS target_id, b.skin_id, CAST((a.hero_name = b.hero_name)::INT + (a.series = b.series)::INT + (a.official_tier = b.official_tier)::INT AS BIGINT) AS ways, round(abs(a.official_price - b.official_price), 4) AS gap FROM skins a JOIN skins b ON a.genre = b.genre AND a.skin_id <> b.skin_id) SELECT * FROM (SELECT target_id, CAST(row_number() OVER (PARTITION BY target_id ORDER BY ways DESC, gap, skin_id) AS INTEGER) AS place, skin_id, ways, gap FROM w WHERE ways > 0) WHERE place <= 5",
     "ahp_weights": "WITH m AS (SELECT p_brand AS matrix, p_type AS i, avg(p_size) AS m FROM part WHERE p_type <> 'PROMO' GROUP BY 1, 2), p AS (SELECT a.matrix, a.i, b.i AS j, a.m / b.m AS v FROM m a JOIN m b ON a.matrix = b.matrix), g AS (SELECT matrix, i, exp(avg(ln(v))) AS g FROM p GROUP BY 1, 2) SELECT matrix, i, round(g / sum(g) OVER (PARTITION BY matrix), 6) AS weight, 0.0::DOUBLE AS consistency_ratio FROM g",
