@@ -204,7 +204,54 @@ def test_stream_upserts_go_on_after_a_restart(spark, tmp_path):
     assert go() == [(1, 1), (2, 1)] and go() == [(1, 1), (2, 1)]
     land([(2, 5)], "b")
     assert go() == [(1, 1), (2, 5)]
-    shutil.rmtree(tmp_path / "t" / "version-1")
-    land([(3, 1)], "c")
+    for part in (tmp_path / "t" / "data").glob("batch-*"):
+        shutil.rmtree(part)
+    land([(1, 9)], "c")
     with pytest.raises(Exception):
         go()
+
+
+def test_stream_upserts_touch_only_their_buckets(spark, tmp_path):
+    from veloria.streaming import streams
+
+    def land(rows, name):
+        spark.createDataFrame(rows, "k int, n int").coalesce(1).write.parquet(f"{tmp_path}/in/{name}")
+
+    go = lambda at="t": dict(map(tuple, streams.upsert_into(streams.landed(spark, f"{tmp_path}/in/*", 1), f"{tmp_path}/{at}", ["k"], "n", buckets=8).collect()))
+    files = lambda: {str(f): f.stat().st_mtime_ns for f in (tmp_path / "t" / "data").rglob("*.parquet")}
+    land([(k, 1) for k in range(100)], "a")
+    assert go() == dict.fromkeys(range(100), 1)
+    first = files()
+    assert len(first) == 8
+    land([(5, 2), (5, 1)], "b")
+    assert go()[5] == 2
+    second = files()
+    assert all(second[f] == t for f, t in first.items()) and len(second) == 9  # one bucket is new, the one before it stays
+    land([(5, 3)], "c")
+    assert go() == dict.fromkeys(range(100), 1) | {5: 3}
+    third = files()
+    assert len(set(first) - set(third)) == 1 and len(third) == 9  # what no manifest names is gone
+    assert go() == dict.fromkeys(range(100), 1) | {5: 3} and files() == third  # nothing new, nothing written
+    log = sorted(p for p in (tmp_path / "t" / "state" / "commits").iterdir() if p.name.isdigit())
+    for p in (log[-1], log[-1].with_name(f".{log[-1].name}.crc")):
+        p.unlink(missing_ok=True)  # as if the driver had gone down before the batch was marked as done
+    assert go() == dict.fromkeys(range(100), 1) | {5: 3} and files() == third
+    with pytest.raises(Exception, match="buckets"):
+        streams.upsert_into(streams.landed(spark, f"{tmp_path}/in/*", 1), f"{tmp_path}/t", ["k"], "n", buckets=4)
+
+
+def test_late_rows_are_counted(spark, tmp_path):
+    from veloria.streaming import streams
+
+    def land(rows, name):
+        spark.createDataFrame(rows, "k int, day string").selectExpr("k", "timestamp_ntz(day) AS ts").coalesce(1).write.parquet(f"{tmp_path}/in/{name}")
+
+    def go():
+        rows = streams.counted(streams.timed(streams.landed(spark, f"{tmp_path}/in/*")))
+        return sorted(r.k for r in streams.run(streams.without_repeats(rows, ["k"]), f"{tmp_path}/out").collect())
+
+    land([(1, "2024-01-10"), (2, "2024-01-20")], "a")
+    assert go() == [1, 2]
+    land([(3, "2024-01-05"), (4, "2024-01-21"), (5, "2024-01-19 12:00:00")], "b")
+    assert go() == [1, 2, 4, 5]
+    assert sorted((r.landed, r.dropped) for r in streams.progress(spark, f"{tmp_path}/out").collect() if r.landed) == [(2, 0), (3, 1)]

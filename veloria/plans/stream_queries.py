@@ -36,6 +36,18 @@ def stream_upsert(spark, d):
     return streams.upsert_into(rows, shared_path(spark, "upsert"), ["hero_name"], "event_id")
 
 
+def stream_late(spark, d):
+    """Events of even number land first, the others after a restart; what is a day behind by then is dropped, and counted."""
+    folder, out = shared_path(spark, "late-in"), shared_path(spark, "late")
+    events = A.table(spark, d, "events")
+    for half in (0, 1):
+        events.where(F.col("event_id") % 2 == half).write.parquet(f"{folder}/half={half}")
+        rows = streams.timed(A.events_of(streams.landed(spark, folder)))
+        kept = streams.run(streams.without_repeats(streams.counted(rows), ["event_id"]).select("event_id"), out)
+    totals = streams.progress(spark, out).agg(F.sum("landed").alias("landed"), F.sum("dropped").alias("dropped"))
+    return totals.join(F.broadcast(kept.agg(F.count(F.lit(1)).alias("kept"))))
+
+
 def _scored_stream(spark, d):
     """Incoming items scored with the bounds that were fitted before, on facts known by then."""
     view = feature_table(spark, d)
@@ -59,13 +71,14 @@ def stream_quarantine(spark, d):
     return streams.run(bad.select("event_id", F.array_join("failed", ",").alias("failed")), shared_path(spark, "quarantine"))
 
 
-QUERIES = {f.__name__: f for f in (stream_index, stream_counts, stream_dedup, stream_upsert, stream_scores, stream_alerts, stream_quarantine)}
+QUERIES = {f.__name__: f for f in (stream_index, stream_counts, stream_dedup, stream_late, stream_upsert, stream_scores, stream_alerts, stream_quarantine)}
 
 _CLOSED = "<= (SELECT max(ts) FROM events) - INTERVAL 1 DAY"
 SQL = {
     "stream_index": f"WITH {A.HERO_EVENTS}, w AS (SELECT *, unnest(generate_series(0, 6)) AS k FROM hero_events), x AS (SELECT hero_name, date_trunc('day', ts) + INTERVAL 1 DAY * (k + 1) AS window_end, value FROM w) SELECT hero_name, window_end, round(avg(value), 6) AS value FROM x WHERE window_end {_CLOSED} GROUP BY 1, 2",
     "stream_counts": f"WITH x AS (SELECT event_type, date_trunc('day', ts) + INTERVAL 1 DAY AS window_end FROM events) SELECT event_type, window_end, count(*) AS rows FROM x WHERE window_end {_CLOSED} GROUP BY 1, 2",
     "stream_dedup": f"WITH {A.HERO_EVENTS} SELECT event_id, hero_name FROM hero_events",
+    "stream_late": "WITH l AS (SELECT count(*) AS dropped FROM events WHERE event_id % 2 = 1 AND ts <= (SELECT max(ts) FROM events WHERE event_id % 2 = 0) - INTERVAL 1 DAY) SELECT (SELECT count(*) FROM events) AS landed, dropped, (SELECT count(*) FROM events) - dropped AS kept FROM l",
     "stream_upsert": f"WITH {A.HERO_EVENTS} SELECT hero_name, event_id, event_type, value FROM hero_events QUALIFY row_number() OVER (PARTITION BY hero_name ORDER BY event_id DESC) = 1",
     "stream_scores": SCORES["scorecard"],
     "stream_alerts": SCORES["risk_alerts"],
