@@ -77,7 +77,9 @@ def _sketch(words: Column) -> Column:
 def line_rows(docs: DataFrame, levels: DataFrame, t: float) -> DataFrame:
     """One row per line: the text's __v_row, doc_id, hash own, line_no, the set's digests a and b, size n, sketch and prefix (32 bits of each hash)."""
     hashes = F.array_remove(F.array_distinct(F.transform(_cut(F.col("line")), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
-    rows = docs.select("__v_row", F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(_text()).alias("own"), F.posexplode(F.split(_text(), "\n", -1)).alias("line_no", "line"))
+    # hashed below the generator: beside it a text would be hashed once a line
+    rows = docs.select("__v_row", F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(_text()).alias("own"), _text().alias("text"))
+    rows = rows.select("__v_row", "doc_id", "own", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
     rows = rows.select("__v_row", "doc_id", "own", "line_no", hashes.alias("hashes"), levels.scalar().alias("levels"))
     # the rarity takes the place of the upper byte; without nulls the sort is one of plain numbers
     ranked = F.transform("hashes", lambda h: F.coalesce(F.get(F.col("levels"), _bucket(h)), F.lit(0).cast("long")).bitwiseOR(F.shiftrightunsigned(h, 8)))
