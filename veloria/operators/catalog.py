@@ -94,9 +94,15 @@ def coverage(expected: DataFrame, present: DataFrame) -> DataFrame:
     return per.where("expected > 0").withColumn("bucket", bucket)
 
 
+def feed_value(raw: Column, key: str) -> Column:
+    """A raw entry's value as text: '' where the key is absent, null where it is null."""
+    found = F.try_variant_get(raw, f"$.{key}", "variant")
+    return F.when(found.isNull(), F.lit("")).when(F.is_variant_null(found), F.lit(None)).otherwise(F.try_variant_get(raw, f"$.{key}", "string"))
+
+
 def normalise_feed(feed: DataFrame) -> DataFrame:
-    """Raw feed entries to the columns of the skins table, but for image path and time."""
-    raw = lambda k: F.col(f"raw.{k}") if k in feed.schema["raw"].dataType.names else F.lit("")
+    """Raw feed entries to the columns of the skins table, but for image path and time; raw_json has all that was landed, nulls too, keys in order."""
+    raw = lambda k: feed_value(F.col("raw"), k)
     out = feed.select("source_index", *[raw(k).alias(n) for k, n in contracts.FEED_KEYS.items()], text.first_filled(*map(raw, contracts.FEED_IMAGES)).alias("image_url"), F.to_json("raw").alias("raw_json"))
     return out.withColumn("price_text", text.price_text(F.col("acquire_method"))).withColumn("source_key", text.source_key(F.col("source_index"), F.col("skin_id")))
 
@@ -105,7 +111,7 @@ def attach_assets(skins: DataFrame, listing: DataFrame) -> DataFrame:
     """Landed image paths by file name; a missing image leaves a null path and keeps the row."""
     name = text.asset_file(F.col("source_index"), F.col("skin_id"), F.col("hero_name"), F.col("skin_name"), F.col("image_url"))
     files = listing.select(F.col("file_name").alias("image_path")).distinct()
-    return skins.withColumn("_name", name).join(files, F.col("_name") == F.col("image_path"), "left").drop("_name")
+    return skins.withColumn("_name", name).join(files.hint("merge"), F.col("_name") == F.col("image_path"), "left").drop("_name")
 
 
 def run_summary(skins: DataFrame) -> DataFrame:

@@ -164,18 +164,36 @@ def url_extension(spark, d):
 
 
 def price_text(spark, d):
-    rows = A.feed(spark, d).select("source_index", text.price_text(F.col("raw.hqfs_8609")).alias("price_text"))
+    rows = A.feed(spark, d).select("source_index", text.price_text(catalog.feed_value(F.col("raw"), "hqfs_8609")).alias("price_text"))
     return rows.select("source_index", "price_text", text.price_amount(F.col("price_text")).alias("amount"), text.price_unit(F.col("price_text")).alias("unit"))
 
 
 def source_key(spark, d):
-    return A.feed(spark, d).select("source_index", text.source_key(F.col("source_index") * 7, F.col("raw.pfidlb_3934")).alias("source_key"))
+    return A.feed(spark, d).select("source_index", text.source_key(F.col("source_index") * 7, catalog.feed_value(F.col("raw"), "pfidlb_3934")).alias("source_key"))
 
 
 def feed_normalize(spark, d):
     return catalog.normalise_feed(A.feed(spark, d)).select("source_key", "source_index", "skin_id", "hero_name", "skin_name", "quality", "online_date", "acquire_method", "detail_url", "image_url", "price_text")
 
 
+_DOCUMENT_KEYS = {key: n for n, key in enumerate((k for k in contracts.REQUIRED_TOP if k != "hero-list"), 3)}
+
+
+def catalogue_documents(spark, d):
+    """What catalogue documents lack at their top level: documents of one hero each, some without a key or without heroes."""
+    k = F.col("c_custkey")
+    heroes = F.when(k % 5 == 0, F.lit(',"hero-list":[]')).when(k % 7 != 0, F.concat(F.lit(',"hero-list":[{"cname":"'), F.col("c_name"), F.lit('"}]'))).otherwise(F.lit(""))
+    rest = [F.when(k % n != 0, F.lit(f',"{key}":[]')).otherwise(F.lit("")) for key, n in _DOCUMENT_KEYS.items()]
+    documents = A.table(spark, d, "customer").select(k.alias("record_id"), F.concat(F.lit('{"version":1'), heroes, *rest, F.lit("}")).alias("json"))
+    return catalog.validate_catalogue(documents, "json")
+
+
+def feed_raw(spark, d):
+    """What was landed of each entry: null and absent cells differ, unknown keys stay."""
+    rows = catalog.normalise_feed(A.feed(spark, d))
+    return rows.select("source_index", "quality", "acquire_method", "detail_url", "raw_json")
+
+
 def _landed(spark, d):
     rows = catalog.normalise_feed(A.feed(spark, d))
     name = text.asset_file(F.col("source_index"), F.col("skin_id"), F.col("hero_name"), F.col("skin_name"), F.col("image_url"))
@@ -193,7 +211,7 @@ def feed_summary(spark, d):
 
 def feed_head(spark, d):
     """The first 100 entries by number."""
-    return A.feed(spark, d).where(F.col("source_index") <= 100).select("source_index", F.col("raw.pfmclb_7523").alias("skin_name"))
+    return A.feed(spark, d).where(F.col("source_index") <= 100).select("source_index", catalog.feed_value(F.col("raw"), "pfmclb_7523").alias("skin_name"))
 
 
 def feed_preview(spark, d):
@@ -315,7 +333,7 @@ def incremental_read(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     catalog_stats, type_counts, type_ranking, skin_histogram, top_heroes, lookup_by_name, lookup_by_code, lookup_by_id, heroes_by_type, search_skin, hero_skins, skin_index, asset_missing, asset_extra, asset_preview, asset_coverage, coverage_buckets,
-    asset_counts, asset_difference, distinct_names, name_split_check, validate_records, validation_summary, error_preview, safe_names, url_extension, price_text, source_key, feed_normalize, feed_assets, feed_summary, feed_head, feed_preview, lenient_json, model_run_summary,
+    asset_counts, asset_difference, distinct_names, name_split_check, validate_records, validation_summary, error_preview, safe_names, url_extension, price_text, source_key, feed_normalize, feed_raw, feed_assets, catalogue_documents, feed_summary, feed_head, feed_preview, lenient_json, model_run_summary,
     vision_fields, quarantine, palette, similar_resolved, code_maps, harmonised, page_text, clean_dedup, source_union, orphans, upsert_latest, hero_upsert, duplicate_keys, catalog_diff, incremental_read,
 )}
 
@@ -331,6 +349,10 @@ _AMOUNT = r"TRY_CAST(nullif(regexp_extract(price_text, '([0-9]+(?:\.[0-9]+)?)',
 _UNIT = r"nullif(regexp_extract(price_text, '[0-9]+(?:\.[0-9]+)?\s*(点券|荣耀积分|皮肤碎片)', 1), '')"
 
 SQL = {
+    "catalogue_documents": " UNION ALL ".join(
+        [f"SELECT c_custkey AS record_id, 'missing {key}' AS error FROM customer WHERE c_custkey % {n} = 0" for key, n in _DOCUMENT_KEYS.items()]
+        + ["SELECT c_custkey, 'missing hero-list' FROM customer WHERE c_custkey % 7 = 0 AND c_custkey % 5 <> 0", "SELECT c_custkey, 'no heroes' FROM customer WHERE c_custkey % 7 = 0 OR c_custkey % 5 = 0"]
+    ),
     "catalog_stats": f"WITH {A.HEROES} SELECT count(*) AS heroes, CAST(sum(len(skins)) AS BIGINT) AS skins, round_even(sum(len(skins)) / count(*), 1) AS mean_skins FROM heroes",
     "type_counts": f"WITH {A.HEROES} SELECT coalesce(heroType, '未知') AS hero_type, count(*) AS heroes FROM heroes GROUP BY 1",
     "type_ranking": f"WITH {A.HEROES} SELECT coalesce(heroType, '未知') AS hero_type, count(*) AS heroes, min(hero_pos) AS first_pos FROM heroes GROUP BY 1 ORDER BY 2 DESC, 3",
@@ -362,6 +384,7 @@ SQL = {
     "feed_normalize": f"WITH {_NORMAL} SELECT source_key, source_index, id AS skin_id, hero_name, skin_name, quality, online_date, acquire AS acquire_method, '' AS detail_url, image_url, price_text FROM normal",
     "feed_assets": f"WITH {_NORMAL} SELECT source_index, CASE WHEN source_index % 9 <> 0 THEN {_FILE} END AS image_path FROM normal",
     "feed_summary": f"WITH {_NORMAL} SELECT count(*) AS rows, count(*) FILTER (WHERE source_index % 9 <> 0) AS landed, count(*) FILTER (WHERE source_index % 9 = 0) AS failed FROM normal",
+    "feed_raw": f"WITH {A.FEED}, j AS (SELECT *, skin_id_of % 7 AS added, json_object('added_1', skin_id_of % 7, 'fmb1lb_5300', image_b, 'fmlb_4536', image_a, 'hqfs_8609', acquire, 'pfidlb_3934', id, 'pfmclb_7523', skin_name, 'pfpzlb_3289', quality, 'sxsjlb_1516', online_date, 'yxmclb_9965', hero_name, 'yxtxlb_8443', image_c) AS whole, json_object('added_1', skin_id_of % 7, 'fmb1lb_5300', image_b, 'fmlb_4536', image_a, 'pfidlb_3934', id, 'pfmclb_7523', skin_name, 'pfpzlb_3289', quality, 'sxsjlb_1516', online_date, 'yxmclb_9965', hero_name, 'yxtxlb_8443', image_c) AS part FROM (SELECT *, source_index - 1 AS skin_id_of FROM feed)) SELECT source_index, quality, acquire AS acquire_method, '' AS detail_url, CAST(CASE WHEN skin_id_of % 4 = 3 THEN part ELSE whole END AS VARCHAR) AS raw_json FROM j",
     "feed_head": f"WITH {A.FEED} SELECT source_index, skin_name FROM feed WHERE source_index <= 100",
     "feed_preview": f"WITH {_NORMAL} SELECT source_index, hero_name, skin_name, price_text, (SELECT count(*) FROM normal) AS rows FROM normal ORDER BY 1 LIMIT 10",
     "lenient_json": f"WITH {A.ANSWERS} SELECT skin_id, skin_id % 5 < 3 AS parsed, CASE WHEN skin_id % 5 < 3 THEN ['勇者','史诗','传说','无双','荣耀典藏','?'][skin_id % 6 + 1] END AS tier, CASE WHEN skin_id % 5 < 3 THEN skin_id % 10 + 0.5::DOUBLE END AS detail FROM answers",

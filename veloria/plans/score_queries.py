@@ -188,9 +188,17 @@ def evaluate_all(spark, d):
     return out.select("skin_id", "hero_name", "skin_name", "genre", "official_price", *DIMENSIONS, "total_premium", "price_min", "price_max", "confidence", "per_point", F.coalesce("alerts", F.lit(0)).alias("alerts"), F.coalesce("alert_types", F.lit("")).alias("alert_types"), scoring.band(F.col("total_premium")).alias("band"), "comparable")
 
 
+def report_values(spark, d):
+    """What a report on an item tells: its scores, its marks, how it is sought and talked about, its price and what it costs to get."""
+    scored = _scored(spark, d)
+    premium = facts.resale(A.listings(spark, d), A.skins(spark, d)).select("skin_id", "resale_premium")
+    marks = ["official_tier", "acquisition", "is_limited", "ip_source_type", "vlm_art_quality", "baidu_index_7d", "community_post_count", "official_price"]
+    return scored.join(premium, "skin_id", "left").select("skin_id", "hero_name", "skin_name", "genre", *DIMENSIONS, "total_premium", *marks, "resale_premium", F.round("avg_spend_to_obtain", 4).alias("mean_spend"))
+
+
 QUERIES = {f.__name__: f for f in (
     feature_fusion, feature_groups, feature_vector, bundle, normalizers, scorecard, scorecard_neutral, scorecard_long, what_if, price_range, premium_bands, risk_alerts, risk_counts, radar_long, comparables, competitors, comparison_lines, peers, lsh_neighbors, ahp_weights, target,
-    regression_eval, importance_weights, blend, blend_cold, fit_quality, spearman, evaluate_all,
+    regression_eval, importance_weights, blend, blend_cold, fit_quality, spearman, evaluate_all, report_values,
 )}
 
 
@@ -257,6 +265,7 @@ SQL = {
     "peers": f"WITH {A.SKINS}, w AS (SELECT a.skin_id AS target_id, b.skin_id, CAST((a.hero_name = b.hero_name)::INT + (a.series = b.series)::INT + (a.official_tier = b.official_tier)::INT AS BIGINT) AS ways, round(abs(a.official_price - b.official_price), 4) AS gap FROM skins a JOIN skins b ON a.genre = b.genre AND a.skin_id <> b.skin_id) SELECT * FROM (SELECT target_id, CAST(row_number() OVER (PARTITION BY target_id ORDER BY ways DESC, gap, skin_id) AS INTEGER) AS place, skin_id, ways, gap FROM w WHERE ways > 0) WHERE place <= 5",
     "ahp_weights": "WITH m AS (SELECT p_brand AS matrix, p_type AS i, avg(p_size) AS m FROM part WHERE p_type <> 'PROMO' GROUP BY 1, 2), p AS (SELECT a.matrix, a.i, b.i AS j, a.m / b.m AS v FROM m a JOIN m b ON a.matrix = b.matrix), g AS (SELECT matrix, i, exp(avg(ln(v))) AS g FROM p GROUP BY 1, 2) SELECT matrix, i, round(g / sum(g) OVER (PARTITION BY matrix), 6) AS weight, 0.0::DOUBLE AS consistency_ratio FROM g",
     "target": f"WITH {FEATURE_SQL}, pr AS (SELECT l.skin_id, round(avg((price - official_price) / official_price), 4) AS resale_premium FROM listings l JOIN skins s ON l.skin_id = s.skin_id GROUP BY 1), b AS (SELECT f.skin_id, genre, CASE WHEN acquisition = 'gacha' AND avg_spend_to_obtain IS NOT NULL THEN avg_spend_to_obtain ELSE official_price END * (1 + greatest(coalesce(resale_premium, 0), 0)) AS price FROM features f LEFT JOIN pr ON f.skin_id = pr.skin_id) SELECT skin_id, genre, round(price / max(price) OVER (PARTITION BY genre), 6) AS target FROM b",
+    "report_values": f"{_T}, pr AS (SELECT l.skin_id, round(avg((price - official_price) / official_price), 4) AS resale_premium FROM listings l JOIN skins s ON l.skin_id = s.skin_id GROUP BY 1) SELECT t.skin_id, hero_name, skin_name, genre, {', '.join(DIMENSIONS)}, total_premium, official_tier, acquisition, is_limited, CAST(ip_source_type AS INTEGER) AS ip_source_type, vlm_art_quality, baidu_index_7d, community_post_count, official_price, resale_premium, round(avg_spend_to_obtain, 4) AS mean_spend FROM t LEFT JOIN pr ON t.skin_id = pr.skin_id",
     "blend_cold": f"{_T} SELECT skin_id, total_premium AS rule_based, 1.0::DOUBLE AS alpha, total_premium FROM t",
     "fit_quality": f"WITH {A.SKINS}, {A.LISTINGS}, m AS (SELECT s.skin_id, any_value(official_price) AS y, round(median(price), 9) AS p FROM listings l JOIN skins s ON l.skin_id = s.skin_id GROUP BY 1) SELECT count(*) AS rows, round(avg(abs((p - y) / y)), 4) AS mape, round(1 - sum((y - p) * (y - p)) / sum((y - (SELECT avg(y) FROM m)) * (y - (SELECT avg(y) FROM m))), 2) AS r2, round(avg(abs(p - y)), 2) AS mae FROM m",
     "spearman": f"{_T}, k AS (SELECT genre, {_RANK.format('aesthetic')} AS a, {_RANK.format('total_premium')} AS b, {_RANK.format('official_price')} AS c FROM t) SELECT genre, round(corr(a, b), 6) AS aesthetic_total_premium, round(corr(a, c), 6) AS aesthetic_official_price FROM k GROUP BY 1",

@@ -123,19 +123,22 @@ answers AS (SELECT skin_id, hero_name, ['vl-a','vl-b','vl-c'][p_size % 3 + 1] AS
 
 
 def feed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw feed entries (source_index, raw) shaped as the landed feed, with empty, null and odd cells."""
+    """Raw feed entries (source_index, raw) shaped as the landed feed, with empty, null, absent and odd cells and a key that is not the feed's."""
     k = F.col("skin_id")
     rows = skins(spark, sf_dir)
-    raw = F.struct(
-        (k % 1000).cast("string").alias("pfidlb_3934"), F.col("hero_name").alias("yxmclb_9965"), F.concat(F.col("skin_name"), F.when(k % 11 == 0, F.lit(' : "x" ')).otherwise(F.lit(""))).alias("pfmclb_7523"),
-        F.when(k % 13 != 0, F.col("official_tier").cast("string")).alias("pfpzlb_3289"), F.lit("2024-01-01").alias("sxsjlb_1516"),
-        F.when(k % 4 == 0, F.concat(F.lit("直购"), k.cast("string"), F.lit("点券 或 3.5 荣耀积分"))).when(k % 4 == 1, F.lit("活动赠送")).when(k % 4 == 2, F.concat((k % 90).cast("string"), F.lit("皮肤碎片"))).alias("hqfs_8609"),
-        F.lit("").alias("fmlb_4536"), F.when(k % 3 == 0, F.concat(F.lit("//img.example.org/a/"), k.cast("string"), F.lit(".PNG?x=1"))).when(k % 3 == 1, F.lit("")).alias("fmb1lb_5300"), F.concat(F.lit("https://h/"), k.cast("string"), F.lit(".tiff")).alias("yxtxlb_8443"),
-    )
-    return rows.select((k + 1).cast("int").alias("source_index"), raw.alias("raw"))
+    cells = {
+        "pfidlb_3934": (k % 1000).cast("string"), "yxmclb_9965": F.col("hero_name"), "pfmclb_7523": F.concat(F.col("skin_name"), F.when(k % 11 == 0, F.lit(' : "x" ')).otherwise(F.lit(""))),
+        "pfpzlb_3289": F.when(k % 13 != 0, F.col("official_tier").cast("string")), "sxsjlb_1516": F.lit("2024-01-01"),
+        "hqfs_8609": F.when(k % 4 == 0, F.concat(F.lit("直购"), k.cast("string"), F.lit("点券 或 3.5 荣耀积分"))).when(k % 4 == 1, F.lit("活动赠送")).when(k % 4 == 2, F.concat((k % 90).cast("string"), F.lit("皮肤碎片"))),
+        "fmlb_4536": F.lit(""), "fmb1lb_5300": F.when(k % 3 == 0, F.concat(F.lit("//img.example.org/a/"), k.cast("string"), F.lit(".PNG?x=1"))).when(k % 3 == 1, F.lit("")), "yxtxlb_8443": F.concat(F.lit("https://h/"), k.cast("string"), F.lit(".tiff")),
+        "added_1": (k % 7).cast("int"),
+    }
+    text = lambda names: F.to_json(F.struct(*[cells[n].alias(n) for n in names]), {"ignoreNullFields": "false"})
+    raw = F.when(k % 4 == 3, text([n for n in cells if n != "hqfs_8609"])).otherwise(text(list(cells)))
+    return rows.select((k + 1).cast("int").alias("source_index"), F.parse_json(raw).alias("raw"))
 
 
 FEED = SKINS + """, feed AS (SELECT CAST(skin_id + 1 AS INTEGER) AS source_index, CAST(skin_id % 1000 AS VARCHAR) AS id, hero_name, skin_name || CASE WHEN skin_id % 11 = 0 THEN ' : "x" ' ELSE '' END AS skin_name,
   CASE WHEN skin_id % 13 <> 0 THEN CAST(official_tier AS VARCHAR) END AS quality, '2024-01-01' AS online_date,
-  CASE WHEN skin_id % 4 = 0 THEN '直购' || skin_id || '点券 或 3.5 荣耀积分' WHEN skin_id % 4 = 1 THEN '活动赠送' WHEN skin_id % 4 = 2 THEN (skin_id % 90) || '皮肤碎片' END AS acquire,
+  CASE WHEN skin_id % 4 = 0 THEN '直购' || skin_id || '点券 或 3.5 荣耀积分' WHEN skin_id % 4 = 1 THEN '活动赠送' WHEN skin_id % 4 = 2 THEN (skin_id % 90) || '皮肤碎片' ELSE '' END AS acquire,
   '' AS image_a, CASE WHEN skin_id % 3 = 0 THEN '//img.example.org/a/' || skin_id || '.PNG?x=1' WHEN skin_id % 3 = 1 THEN '' END AS image_b, 'https://h/' || skin_id || '.tiff' AS image_c FROM skins)"""

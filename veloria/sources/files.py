@@ -1,11 +1,10 @@
 """Landed files and tables: catalogue and feed documents, asset listings, model runs, versioned tables, results.
 
-A multi-line JSON document is read by one task; its exploded rows are to be landed as Parquet once and read from there.
+Lists of catalogues and feeds are read in pieces by many tasks; a document of model runs, which is small, by one.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.errors import AnalysisException
@@ -13,21 +12,21 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import contracts
+from . import contracts, jsonlists
+from .scratch import kept, shared_path  # noqa: F401  also imported from here
 
 LABELS = ("1phone-smallskin", "2phone-mobileskin", "3phone-bigskin", "4wallpaper-mobileskin", "5wallpaper-bigskin")
 
 
 def read_catalogue(spark: SparkSession, path: str) -> DataFrame:
-    """Heroes with their place ``hero_pos`` in the document; no list gives no rows."""
-    raw = spark.read.schema(contracts.CATALOGUE).option("multiLine", True).json(path)
-    return raw.select(F.posexplode("hero-list").alias("hero_pos", "h")).select("hero_pos", "h.*")
+    """Heroes with their place ``hero_pos`` in the document; no list gives no rows. Documents are read in pieces."""
+    entries = jsonlists.read_json_list(spark, path, "hero-list")
+    return entries.select(F.col("pos").alias("hero_pos"), F.try_variant_get("entry", "$", contracts.HERO.simpleString()).alias("h")).select("hero_pos", "h.*")
 
 
 def read_feed(spark: SparkSession, path: str, head: int = 0) -> DataFrame:
-    """Raw feed entries with ``source_index`` from 1; ``head`` keeps the first entries by that number, 0 keeps all."""
-    raw = spark.read.schema(contracts.FEED).option("multiLine", True).json(path)
-    rows = raw.select(F.posexplode(contracts.FEED_LIST).alias("pos", "raw")).select((F.col("pos") + 1).alias("source_index"), "raw")
+    """Raw feed entries as VARIANT with ``source_index`` from 1; ``head`` keeps the first entries by that number, 0 keeps all."""
+    rows = jsonlists.read_json_list(spark, path, contracts.FEED_LIST).select((F.col("pos") + 1).alias("source_index"), F.col("entry").alias("raw"))
     return rows.where(F.col("source_index") <= head) if head > 0 else rows
 
 
@@ -67,24 +66,6 @@ def new_version(df: DataFrame, root: str) -> str:
     return path
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share; a temporary one only where all runs on one machine."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        master = spark.sparkContext.master
-        if master != "local" and not master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        root = tempfile.mkdtemp(prefix="spark-veloria-")
-    return f"{root.rstrip('/')}/veloria/{name}-{uuid.uuid4().hex}"
-
-
-def kept(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read back: for tables that several branches of a plan read."""
-    path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def put_features(df: DataFrame, path: str) -> None:
     """Overwrite only the genres that ``df`` has."""
     df.write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy("genre").parquet(path)
