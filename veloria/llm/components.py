@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import discard, materialise
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """One step over edges (u, v) with u > v: neighbours are tied to the least of a node and its neighbours.
+def _star(edges: DataFrame, large: bool) -> tuple[DataFrame, DataFrame]:
+    """One step over edges (u, v) with u > v: neighbours are tied to the least of a node and its neighbours. Also the table that it wrote for this.
 
     The least neighbour comes from an aggregate that combines on the map side. It is written before it is joined: both sides
     of the join then are plain shuffles, and the rows of a node with very many neighbours can be split among tasks.
@@ -24,14 +24,15 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         tied = tied.where("m > n").select(F.col("m").alias("u"), F.col("low").alias("v"))
     else:
         tied = tied.select(F.col("m").alias("u"), F.col("low").alias("v")).unionAll(least.select(F.col("n").alias("u"), F.col("low").alias("v")))
-    return tied.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    return tied.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), least
 
 
 def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, root) for every node of ``edges`` (u, v): root is the least node of its component, itself included.
 
     Loops and repeated edges are harmless; no edges give no rows. Each round is written to the shared folder and read
-    back. It stops when a round changes nothing, which a checksum over the edges shows.
+    back, and the tables of the round before are deleted. It stops when a round changes nothing, which a checksum over the
+    edges shows.
     """
     mark = lambda df: df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     now = materialise(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
@@ -39,7 +40,10 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     for _ in range(most_rounds):
         if not seen[0]:
             break
-        now = materialise(_star(_star(now, True), False), "stars")
+        large, first = _star(now, True)
+        small, second = _star(large, False)
+        before, now = now, materialise(small, "stars")
+        discard(before, first, second)
         fresh = mark(now)
         if fresh == seen:
             break
