@@ -255,3 +255,31 @@ def test_late_rows_are_counted(spark, tmp_path):
     land([(3, "2024-01-05"), (4, "2024-01-21"), (5, "2024-01-19 12:00:00")], "b")
     assert go() == [1, 2, 4, 5]
     assert sorted((r.landed, r.dropped) for r in streams.progress(spark, f"{tmp_path}/out").collect() if r.landed) == [(2, 0), (3, 1)]
+
+
+def test_versions_tell_drift(spark, tmp_path):
+    from pyspark.sql import types as T
+
+    from veloria.sources import versions
+
+    root = str(tmp_path / "t")
+    kind = lambda ddl: spark.createDataFrame([], ddl).schema
+    rows = lambda data, ddl: spark.createDataFrame(data, ddl)
+    first = "k int, a string, n int"
+    assert [tuple(r) for r in versions.upsert(rows([(1, "x", 1), (1, "y", 2)], first), root, ["k"], "n", kind(first)).collect()] == [(1, "y", 2)]
+    with pytest.raises(contracts.SchemaDrift):  # the rows lack a column of the contract: nothing is written
+        versions.upsert(rows([(2, 1)], "k int, n int"), root, ["k"], "n", kind(first))
+    with pytest.raises(contracts.SchemaDrift):
+        versions.put(rows([(2, "a", "b")], "k int, a string, n string"), root, kind(first))
+    added = "k int, a string, n int, b double"
+    got = versions.upsert(rows([(2, "z", 1, 0.5)], added), root, ["k"], "n", kind(added))
+    assert sorted(map(tuple, got.collect())) == [(1, "y", 2, None), (2, "z", 1, 0.5)]
+    lost = "k int, n int, b string"
+    got = versions.upsert(rows([(3, 1, "q")], lost), root, ["k"], "n", kind(lost))
+    assert sorted(map(tuple, got.collect()), key=str) == [(1, 2, None), (2, 1, "0.5"), (3, 1, "q")]
+    told = {r.version: r.change for r in versions.versions(spark, root).collect()}
+    assert told == {0: "first", 1: "added b", 2: "lost a; retyped b"}
+    assert sorted(map(tuple, versions.read(spark, root, 1).collect())) == [(1, "y", 2, None), (2, "z", 1, 0.5)]  # the old version stays as it was
+    with pytest.raises(FileNotFoundError):
+        versions.read(spark, str(tmp_path / "none"))
+    assert isinstance(versions.read(spark, root).schema, T.StructType)

@@ -49,30 +49,43 @@ def usage(events: DataFrame, won: str = "purchase") -> DataFrame:
     return per.join(F.broadcast(everything)).select("hero_name", "matches", F.round(F.col("matches") / F.col("every"), 6).alias("usage_rate"), F.round(F.col("wins") / F.col("matches"), 6).alias("win_rate"))
 
 
-def ranked(rows: DataFrame, group: str, value: str, out: str = "before", total: str = "of") -> DataFrame:
-    """``rows`` with the number of rows of their group that have a smaller ``value`` (null smallest), of equal ones, and of all.
+def counts_by_value(rows: DataFrame, group: str, value: str) -> DataFrame:
+    """(_g, _v, before, ties, of): how many rows of a group have a smaller ``value`` (null smallest), how many each has, and all.
 
-    Counts by value come first, so what is put in order within a group is a row a distinct value and not a row an item.
+    Counts come first, so what is put in order within a group is a row a distinct value and not a row an item.
     """
     counts = rows.groupBy(F.col(group).alias("_g"), F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("ties"))
-    w = W.partitionBy("_g").orderBy("_v")
-    counts = counts.withColumns({out: F.coalesce(F.sum("ties").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)), total: F.sum("ties").over(W.partitionBy("_g"))})
-    return rows.join(counts, F.col(group).eqNullSafe(F.col("_g")) & F.col(value).eqNullSafe(F.col("_v"))).drop("_g", "_v")
+    before = F.coalesce(F.sum("ties").over(W.partitionBy("_g").orderBy("_v").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return counts.withColumns({"before": before, "of": F.sum("ties").over(W.partitionBy("_g"))})
+
+
+def ranked(rows: DataFrame, group: str, value: str) -> DataFrame:
+    """``rows`` with ``before``, ``ties`` and ``of`` of their value in their group."""
+    return rows.join(counts_by_value(rows, group, value), F.col(group).eqNullSafe(F.col("_g")) & F.col(value).eqNullSafe(F.col("_v"))).drop("_g", "_v")
+
+
+def rank_down() -> Column:
+    """Rank by descending value, from ``ranked``: 1 the largest."""
+    return (F.col("of") - F.col("before") - F.col("ties") + 1).cast("int")
+
+
+def share_below() -> Column:
+    """Percent rank, from ``ranked``."""
+    return F.round(F.when(F.col("of") > 1, F.col("before") / (F.col("of") - 1)).otherwise(F.lit(0.0)), 6)
 
 
 def gift_rank(gifts: DataFrame, skins: DataFrame) -> DataFrame:
     """Rank within the genre, 1 the most gifted; never gifted skins rank by 0."""
     per = gifts.groupBy("skin_id").agg(F.count(F.lit(1)).alias("gifts"))
     rows = skins.select("skin_id", "genre").join(per, "skin_id", "left").na.fill(0, ["gifts"])
-    return ranked(rows, "genre", "gifts").select("skin_id", "genre", "gifts", (F.col("of") - F.col("before") - F.col("ties") + 1).cast("int").alias("gift_rank"))
+    return ranked(rows, "genre", "gifts").select("skin_id", "genre", "gifts", rank_down().alias("gift_rank"))
 
 
 def drop_rate(sales: DataFrame, skins: DataFrame) -> DataFrame:
     """Percent rank within the genre of a skin's share of drops."""
     per = sales.groupBy("skin_id").agg(F.count(F.lit(1)).alias("drops"))
     rows = skins.select("skin_id", "genre").join(per, "skin_id", "left").na.fill(0, ["drops"])
-    share = F.when(F.col("of") > 1, F.col("before") / (F.col("of") - 1)).otherwise(F.lit(0.0))
-    return ranked(rows, "genre", "drops").select("skin_id", "genre", "drops", F.round(share, 6).alias("drop_rate"))
+    return ranked(rows, "genre", "drops").select("skin_id", "genre", "drops", share_below().alias("drop_rate"))
 
 
 def episodes(listings: DataFrame) -> DataFrame:
@@ -129,6 +142,33 @@ def price_history(daily: DataFrame) -> DataFrame:
     return daily.select("skin_id", "day", "price", before.alias("previous"), (F.col("price") - before).alias("change"))
 
 
+def listing_facts(listings: DataFrame, as_of: Column, gift: str = "N") -> DataFrame:
+    """Per skin, in one grouping: age in days, gifts, reruns and days since the last, as ``release_order``, ``gift_rank`` and ``rerun_stats`` have them."""
+    month = F.to_date(F.date_trunc("month", "listed_at"))
+    per = listings.groupBy("skin_id").agg(F.to_date(F.min("listed_at")).alias("_first"), F.count_if(F.col("flag") == gift).alias("gifts"), F.size(F.collect_set(month)).alias("_months"), F.max(month).alias("_last"))
+    days = F.when(F.col("_months") > 1, F.datediff(as_of, "_last"))
+    return per.select("skin_id", F.datediff(as_of, "_first").alias("age_days"), "gifts", (F.col("_months") - 1).cast("long").alias("rerun_count"), days.alias("days_since_last_rerun"))
+
+
+def sales_facts(sales: DataFrame) -> DataFrame:
+    """Per skin, in one grouping by buyer and one by skin: drops, ownership and mean spend, as ``drop_rate``, ``ownership`` and ``mean_spend`` have them."""
+    cents = F.sum(F.rint(F.col("spend") * 100).cast("long"))
+    per = sales.groupBy("skin_id", "user_id").agg(cents.alias("cents"), F.count(F.lit(1)).alias("n"))
+    per = per.groupBy("skin_id").agg(F.sum("n").alias("drops"), F.count("user_id").alias("owners"), (F.sum("cents") / (F.count(F.lit(1)) * F.lit(100.0))).alias("mean_spend"))
+    everyone = sales.agg(F.count_distinct("user_id").alias("players"))
+    return per.join(F.broadcast(everyone)).select("skin_id", "drops", F.round(F.col("owners") / F.col("players"), 6).alias("ownership_rate"), "mean_spend")
+
+
+def hero_facts(events: DataFrame, won: str = "purchase") -> DataFrame:
+    """Per hero, from one grouping by day: the last search index, usage, win rate and views, as ``search_index``, ``usage`` and ``view_totals`` have them."""
+    daily = events.groupBy("hero_name", F.to_date("ts").alias("day")).agg(F.avg("value").alias("value"), F.count(F.lit(1)).alias("matches"), F.count_if(F.col("event_type") == won).alias("wins"), F.sum(F.when(F.col("event_type") == "view", F.col("value"))).alias("views"))
+    week = W.partitionBy("hero_name").orderBy(F.unix_date("day")).rangeBetween(-6, 0)  # a row a day
+    daily = daily.withColumn("index_7d", F.round(F.avg("value").over(week), 4))
+    per = daily.groupBy("hero_name").agg(F.max_by("index_7d", "day").alias("index_7d"), F.sum("matches").alias("matches"), F.sum("wins").alias("wins"), F.round(F.sum("views"), 2).alias("views"))
+    everything = events.agg(F.count(F.lit(1)).alias("every"))
+    return per.join(F.broadcast(everything)).select("hero_name", "index_7d", F.round(F.col("matches") / F.col("every"), 6).alias("usage_rate"), F.round(F.col("wins") / F.col("matches"), 6).alias("win_rate"), "views")
+
+
 def price_as_of(daily: DataFrame, asked: DataFrame) -> DataFrame:
     """The last price at or before each asked (skin_id, day): both sides stand in one order, the last known price is carried on."""
     both = daily.select("skin_id", "day", "price", F.lit(0).alias("_asked")).unionByName(asked.select("skin_id", "day", F.lit(None).cast("double").alias("price"), F.lit(1).alias("_asked")))

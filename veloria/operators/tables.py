@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql import types as T
+
+from ..sources import contracts
 
 
 def latest(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -12,8 +15,13 @@ def latest(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")
 
 
-def upsert(old: DataFrame, new: DataFrame, keys: list[str], order: str, keep: tuple[str, ...] = ()) -> DataFrame:
-    """The table after an insert-or-overwrite of ``new``: its last row by ``order`` wins; columns in ``keep`` never become null."""
+def upsert(old: DataFrame, new: DataFrame, keys: list[str], order: str, keep: tuple[str, ...] = (), contract: T.StructType | None = None) -> DataFrame:
+    """The table after an insert-or-overwrite of ``new``: its last row by ``order`` wins; columns in ``keep`` never become null.
+
+    With a ``contract`` both sides must meet it.
+    """
+    if contract is not None:
+        old, new = contracts.guard(old, contract), contracts.guard(new, contract)
     tagged = old.withColumn("_batch", F.lit(0)).unionByName(new.withColumn("_batch", F.lit(1)), allowMissingColumns=True)
     if not keep:
         return latest(tagged, keys, [F.desc("_batch"), F.desc(order)]).drop("_batch")

@@ -306,11 +306,16 @@ def upsert_latest(spark, d):
     """The newest listing of each item as the catalogue's price."""
     rows = A.listings(spark, d).withColumn("order_no", F.struct("listed_at", "price", "flag"))
     old = rows.where("listed_at < '1998-01-01'")
-    return tables.upsert(old, rows.where("listed_at >= '1998-01-01'"), ["skin_id"], "order_no").select("skin_id", "price", "listed_at", "flag")
+    return tables.upsert(old, rows.where("listed_at >= '1998-01-01'"), ["skin_id"], "order_no", contract=old.schema).select("skin_id", "price", "listed_at", "flag")
 
 
 def hero_upsert(spark, d):
-    return A.hero_events(spark, d).groupBy("hero_name").agg(text.stamp(F.max("ts")).alias("updated_at"))
+    """Heroes with the time of their last event, from the table of the even events and an upsert of the others; a later old row stays."""
+    rows = A.hero_events(spark, d).select("hero_name", "ts", "event_id")
+    latest = lambda part: part.groupBy("hero_name").agg(F.max("ts").alias("ts"))
+    old, new = latest(rows.where("event_id % 2 = 0")), latest(rows.where("event_id % 2 = 1"))
+    later = new.join(old.withColumnRenamed("ts", "_old"), "hero_name", "left").where("_old IS NULL OR ts >= _old").drop("_old")
+    return tables.upsert(old, later, ["hero_name"], "ts", contract=old.schema).select("hero_name", text.stamp(F.col("ts")).alias("updated_at"))
 
 
 def duplicate_keys(spark, d):

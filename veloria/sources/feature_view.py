@@ -29,24 +29,26 @@ def base(rows: DataFrame) -> DataFrame:
 
 
 def feature_view(spark: SparkSession, d: str) -> DataFrame:
-    """One row per item: the 33 features, the item's own columns and the scored acquisition label."""
+    """One row per item: the 33 features, the item's own columns and the scored acquisition label.
+
+    Each fact table is read once and grouped by what its facts share; an item meets a row of each by two joins on its id and two
+    on its hero. Ranks in a genre and the size of a series come from counts.
+    """
     skins, listings, events, posts = A.skins(spark, d), A.listings(spark, d), A.hero_events(spark, d), A.posts(spark, d)
-    sales = kept(A.sales(spark, d).select("skin_id", "user_id", "spend"), "sales")  # joined once for the three facts that read it
+    sales = kept(A.sales(spark, d).select("skin_id", "user_id", "spend"), "sales")  # joined once for its facts and the number of players
     as_of = F.lit(AS_OF).cast("date")
-    reruns = facts.rerun_stats(facts.episodes(listings), as_of)
-    index = facts.search_index(events)
-    latest = index.groupBy("hero_name").agg(F.max_by("index_7d", "day").alias("baidu_index_7d"))
     community = posts.groupBy("hero_name").agg(F.count(F.lit(1)).alias("community_post_count"))
     most = community.agg(F.max("community_post_count").alias("_most"))
     community = community.join(F.broadcast(most)).select("hero_name", "community_post_count", F.round(F.col("community_post_count") / F.col("_most"), 6).alias("ip_popularity"))
-    usage = facts.usage(events).select("hero_name", F.col("usage_rate").alias("character_usage_rate"), F.col("win_rate").alias("character_win_rate"))
-    views = facts.view_totals(events).select("hero_name", F.col("views").alias("bilibili_video_views"))
-    by_skin = [
-        facts.release_order(listings, skins, as_of).select("skin_id", F.col("age_days").alias("skin_age_days")), facts.gift_rank(listings.where("flag = 'N'"), skins).select("skin_id", F.col("gift_rank").alias("gift_popularity_rank")),
-        facts.series_size(skins).select("skin_id", "series_membership"), reruns, facts.ownership(sales).select("skin_id", "ownership_rate"), facts.drop_rate(sales, skins).select("skin_id", F.col("drop_rate").alias("drop_rate_percentile")),
-        facts.mean_spend(sales).select("skin_id", F.col("mean_spend").alias("avg_spend_to_obtain")),
-    ]
-    out = features.fuse(base(skins), by_skin, [latest, community, usage, views])
+    heroes = facts.hero_facts(events).select("hero_name", F.col("index_7d").alias("baidu_index_7d"), F.col("usage_rate").alias("character_usage_rate"), F.col("win_rate").alias("character_win_rate"), F.col("views").alias("bilibili_video_views"))
+    listed = facts.listing_facts(listings, as_of).withColumnRenamed("age_days", "skin_age_days")
+    sold = facts.sales_facts(sales).withColumnRenamed("mean_spend", "avg_spend_to_obtain")
+    series = skins.groupBy("series").agg(F.count(F.lit(1)).alias("series_membership"))
+    out = features.fuse(base(skins), [listed, sold], [heroes, community]).na.fill(0, ["gifts", "drops"]).join(series, "series", "left")
+    out = kept(out, "fused")  # read once for each rank and once for the result
+    gifts = facts.counts_by_value(out, "genre", "gifts").select("_g", "_v", facts.rank_down().alias("gift_popularity_rank"))
+    drops = facts.counts_by_value(out, "genre", "drops").select(F.col("_g").alias("_h"), F.col("_v").alias("_w"), facts.share_below().alias("drop_rate_percentile"))
+    out = out.join(gifts, F.col("genre").eqNullSafe(F.col("_g")) & (F.col("gifts") == F.col("_v"))).join(drops, F.col("genre").eqNullSafe(F.col("_h")) & (F.col("drops") == F.col("_w")))
     own = ["skin_id", "hero_name", "skin_name", "genre", "series", "official_price", "acquisition", "acquisition_method_score"]
     return out.select(*own, *features.FEATURES)
 
