@@ -20,7 +20,7 @@ from pyspark import RDD, StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.files import kept
+from ..sources.scratch import discard, kept
 
 BLOCK_ROWS = 4096
 #: Rounds after which the blocks are written anew with their margins, so that a job evaluates few trees.
@@ -290,8 +290,9 @@ def train(rows: DataFrame, names: tuple[str, ...], label: str = "target", key: s
         done.append(now)
         before = held
         if len(done) == KEPT_ROUNDS or round_ == s.rounds - 1:
-            blocks, done = _written(blocks, done, features, len(out_of), s), []
+            old, blocks, done = blocks, _written(blocks, done, features, len(out_of), s), []
             held = _held(blocks)
+            discard(old)
         else:
             held = held.map(lambda row, now=now: _advance(row, [now], features, len(out_of), s)).persist(StorageLevel.MEMORY_AND_DISK)
         stale.append(before)

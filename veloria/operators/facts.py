@@ -189,7 +189,7 @@ def scaled_target(skins: DataFrame, spend: DataFrame, premium: DataFrame) -> Dat
     base = F.when((F.col("acquisition") == "gacha") & F.col("mean_spend").isNotNull(), F.col("mean_spend")).otherwise(F.col("official_price"))
     rows = rows.withColumn("price", base * (1 + F.greatest(F.coalesce("resale_premium", F.lit(0.0)), F.lit(0.0))))
     most = rows.groupBy("genre").agg(F.max("price").alias("most"))
-    return rows.join(F.broadcast(most), "genre").select("skin_id", "genre", F.round(F.col("price") / F.col("most"), 6).alias("target"))
+    return rows.join(most, "genre").select("skin_id", "genre", F.round(F.col("price") / F.col("most"), 6).alias("target"))  # sent whole if it turns out small
 
 
 def newest(posts: DataFrame, k: int = 50) -> DataFrame:

@@ -23,4 +23,12 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read back: for tables that several branches of a plan read."""
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.scratch = path
+    return out
+
+
+def discard(table: DataFrame) -> None:
+    """Delete a table that ``kept`` wrote and nothing that is still to run reads."""
+    where = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table.scratch)
+    where.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
