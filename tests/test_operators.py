@@ -187,6 +187,8 @@ def test_deduplication_tells_texts_of_one_id_apart(spark):
 
     rows = spark.createDataFrame([(1, "a"), (1, "b"), (2, "A"), (3, "c")], "doc_id int, text string")
     assert sorted(tuple(r) for r in clean.deduplicated(rows).collect()) == [(1, "a"), (1, "b"), (3, "c")]
+    rows = spark.createDataFrame([(None, "aaa"), (None, "b"), (4, "B"), (None, None), (5, None)], "doc_id int, text string")
+    assert sorted(map(str, map(tuple, clean.deduplicated(rows).collect()))) == sorted(map(str, [(None, "aaa"), (4, "B"), (5, None)]))
     rows = spark.createDataFrame([(0, "x"), (1, "X"), (1, "y")], "doc_id int, text string")
     assert sorted(tuple(r) for r in clean.deduplicated(rows).collect()) == [(0, "x"), (1, "y")]
 
@@ -244,7 +246,7 @@ def test_late_rows_are_counted(spark, tmp_path):
     from veloria.streaming import streams
 
     def land(rows, name):
-        spark.createDataFrame(rows, "k int, day string").selectExpr("k", "timestamp_ntz(day) AS ts").coalesce(1).write.parquet(f"{tmp_path}/in/{name}")
+        spark.createDataFrame(rows, "k int, day string").selectExpr("k", "CAST(day AS TIMESTAMP_NTZ) AS ts").coalesce(1).write.parquet(f"{tmp_path}/in/{name}")
 
     def go():
         rows = streams.counted(streams.timed(streams.landed(spark, f"{tmp_path}/in/*")))
