@@ -415,6 +415,24 @@ def check_pack(rows, ids_of, sequence):
     return held, pieces
 
 
+def test_whole_packing_equals_plain_first_fit_decreasing(spark, docs):
+    """Piece by piece: groups by the hash of each piece's draw, in each the longest first into the first sequence with room."""
+    pieces = packing.cut_pieces(docs, tokens.tokenizer_path()).withColumn("draw", F.monotonically_increasing_id()).cache()
+    rows = pieces.withColumn("g", F.pmod(F.xxhash64("draw", F.lit(17)), F.lit(5))).collect()
+    want = set()
+    for g in range(5):
+        free: list[int] = []
+        for r in sorted((r for r in rows if r.g == g), key=lambda r: (-r.length, r.doc_id is not None, r.doc_id or 0, r.start, r.ids_crc32, r.draw)):
+            at = next((i for i, n in enumerate(free) if n >= r.length), None)
+            if at is None:
+                at = len(free)
+                free.append(2048)
+            want.add((r.doc_id, r.start, r.length, r.ids_crc32, r.doc_tokens, (g << 32) + at, 2048 - free[at]))
+            free[at] -= r.length
+    got = packing.pack_pieces(pieces, 5).collect()
+    assert len(got) == len(rows) and {tuple(r) for r in got} == want
+
+
 def test_packing(spark, docs, awkward, empty):
     held, pieces = check_pack(packing.pack_documents(docs, tokens.tokenizer_path(), group_pieces=50).collect(), None, 2048)
     rows = docs.collect()
