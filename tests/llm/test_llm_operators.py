@@ -649,3 +649,28 @@ def test_near_pairs_in_blocks_and_groups(spark):
     assert len(links) < len(want)
     pairs = spark.createDataFrame(every, "u long, v long")
     assert {tuple(r) for r in jaccard.verified(table, nodes, pairs, 0.8, 5, together=3).collect()} == want
+
+
+def test_near_dedup_goes_by_simhash():
+    """The fingerprint of a set is its plain SimHash; near texts share a band, and a pair's bands before one are told right."""
+    rng = np.random.default_rng(8)
+    base = [f"w{i}" for i in range(120)]
+    found = []
+    for _ in range(300):
+        words = list(base)
+        for i in rng.choice(120, 2, replace=False):
+            words[i] = f"new{rng.integers(1 << 30)}"
+        a, b = (jaccard.shingles(" ".join(w).encode()) for w in (base, words))
+        similarity = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
+        x, y = np.stack([simhash.wide_fingerprint(a)]), np.stack([simhash.wide_fingerprint(b)])
+        shared = np.flatnonzero(simhash.band_keys(x, 14, jaccard.BANDS)[0] == simhash.band_keys(y, 14, jaccard.BANDS)[0])
+        for band in range(0, jaccard.BANDS, 7):
+            assert simhash.shared_before(x ^ y, 14 << 6 | band)[0] == bool((shared < band).any())
+        if similarity >= 0.8:
+            found.append(len(shared) > 0)
+            assert np.bitwise_count(x ^ y).sum() <= simhash.most_differing(0.8, 64 * simhash.WORDS)
+    assert len(found) > 50 and np.mean(found) >= 0.98
+    one = jaccard.shingles(b"a b c d e f g")
+    mixed = [[int(v) for v in simhash.wide_fingerprint(one[i : i + 1])] for i in range(3)]
+    for word, value in enumerate(simhash.wide_fingerprint(one).tolist()):
+        assert all((value >> bit & 1) == (sum(m[word] >> bit & 1 for m in mixed) > 1) for bit in range(64))

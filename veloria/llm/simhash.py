@@ -49,6 +49,60 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     return int(np.packbits(ones * 2 > n, bitorder="little").view("<u8")[0])
 
 
+#: A wide fingerprint has so many words of 64 bits; a band takes some of the bits of one word.
+WORDS = 4
+#: Standard deviations of differing bits beyond the mean that still make two wide fingerprints near: a chance below 1e-6.
+DEVIATIONS = 5.2
+_RNG = np.random.default_rng(HASH_SEED)
+_MIX = _RNG.integers(0, 1 << 63, WORDS, np.uint64) * np.uint64(2) + np.uint64(1)
+_PLACES = np.stack([_RNG.permutation(64) for _ in range(64)]).astype(np.uint64)
+_PRIME = np.uint64(0x9E3779B97F4A7C15)
+
+
+def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
+    """The SimHash of ``WORDS`` x 64 bits of a sorted set of 64-bit hashes that is not empty; a tie goes by the least hash."""
+    mixed = hashes[:, None] * _MIX
+    mixed ^= mixed >> np.uint64(31)
+    mixed *= _PRIME
+    mixed ^= mixed >> np.uint64(29)
+    bits = lambda rows: np.unpackbits(rows.view(np.uint8).reshape(-1, 8 * WORDS), axis=1, bitorder="little")
+    ones = np.zeros(64 * WORDS, np.int64)
+    for at in range(0, len(mixed), 255):
+        ones += bits(mixed[at : at + 255]).sum(axis=0, dtype=np.uint8)
+    over = (ones * 2 > len(mixed)) | ((ones * 2 == len(mixed)) & (bits(mixed[:1])[0] > 0))
+    return np.packbits(over, bitorder="little").view("<u8")
+
+
+def band_masks(width: int, count: int) -> np.ndarray:
+    """The ``width`` bits of each of ``count`` bands; band i lies in word i modulo ``WORDS``."""
+    return np.bitwise_or.reduce(np.uint64(1) << _PLACES[:count, :width], axis=1)
+
+
+def band_keys(words: np.ndarray, width: int, count: int) -> np.ndarray:
+    """A signed long for each row and band of wide fingerprints; its last 6 bits are the band, the 6 before it the width."""
+    bands = np.arange(count)
+    keys = (words[:, bands % WORDS] & band_masks(width, count)) * _PRIME
+    keys ^= keys >> np.uint64(29)
+    keys *= _MIX[0]
+    keys ^= keys >> np.uint64(32)
+    return (keys << np.uint64(12) | np.uint64(width << 6) | bands.astype(np.uint64)).view(np.int64)
+
+
+def shared_before(differing: np.ndarray, key: int) -> np.ndarray:
+    """Whether two wide fingerprints, of which the differing bits are given, share a band that stands before that of ``key``."""
+    band, width = key & 63, key >> 6 & 63
+    out = np.zeros(len(differing), bool)
+    for i, mask in enumerate(band_masks(width, band + 1)[:band]):
+        out |= differing[:, i % WORDS] & mask == 0
+    return out
+
+
+def most_differing(similarity: float, bits: int) -> int:
+    """Bits that may differ at a Jaccard similarity of ``similarity``: a bit does by the angle between two sets."""
+    share = np.arccos(min(1.0, 2 * similarity / (1 + similarity))) / np.pi
+    return int(np.ceil(bits * share + DEVIATIONS * np.sqrt(bits * share * (1 - share))))
+
+
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, fp) for every row; fp is the fingerprint as a signed long. Null and empty texts have fingerprint 0."""
 
