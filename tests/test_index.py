@@ -82,3 +82,15 @@ def test_ranks_by_counts(spark):
     rows = spark.createDataFrame([("a", 1), ("a", 1), ("a", None), ("a", 5), ("b", 2), (None, 2), (None, 1)], "g string, v int")
     got = sorted(map(str, map(tuple, facts.ranked(rows, "g", "v").select("g", "v", "before", "ties", "of").collect())))
     assert got == sorted(map(str, [("a", 1, 1, 2, 4), ("a", 1, 1, 2, 4), ("a", None, 0, 1, 4), ("a", 5, 3, 1, 4), ("b", 2, 0, 1, 1), (None, 1, 0, 1, 2), (None, 2, 1, 1, 2)]))
+
+
+def test_blocks_are_sent_once_for_each_group(spark):
+    """Vectors without clusters, of which each block meets each: a block is not sent once for each that it meets."""
+    rng = np.random.default_rng(6)
+    table = spark.createDataFrame([(i, "g", 0, rng.normal(size=8).tolist()) for i in range(3000)], SCHEMA)
+    rows = index.kept(index._rows(table, None, None), "rows")
+    pivots = index.pivots_of(rows)
+    blocks = index.blocks_of(rows, pivots, 16)
+    sent = index._meetings(blocks, pivots, 5, 0).groupBy("no").count().agg(F.max("count")).first()[0]
+    assert blocks.count() > 150 and sent <= 2 * index.GROUPS
+    assert index.search(table, 5, size=16).count() <= 5 * 3000 * index.GROUPS

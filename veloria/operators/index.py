@@ -21,6 +21,9 @@ BLOCK_ROWS = 1024
 #: Vectors that the pivots are fitted on, and pivots, at most.
 SAMPLE = 4096
 MOST_PIVOTS = 512
+#: Blocks are compared in a grid of groups: bytes of vectors in a group, and groups, at least.
+GROUP_BYTES = 64 << 20
+GROUPS = 8
 #: Similarities are rounded to so many decimals; the bound leaves room for it.
 DECIMALS = 6
 SLACK = 2e-6
@@ -127,8 +130,51 @@ def _bounds(ids: np.ndarray, unit: np.ndarray, k: int) -> np.ndarray:
     return np.where(np.isfinite(least), np.sqrt(np.maximum(2 - 2 * np.where(np.isfinite(least), least, 0.0) + SLACK, 0.0)), FARTHEST)
 
 
-def asked(blocks: DataFrame, pivots: dict[int, np.ndarray], k: int, width: int = 0, probes: int | None = None) -> DataFrame:
-    """(no, dim, bounds, q_ids, q_units): for each block the items that may have one of their k nearest in it."""
+class _Tile:
+    """A block's items as queries: how far their nearest can be, and the nearest found so far in a task."""
+
+    def __init__(self, ids: bytes, units: bytes, dim: int, pivots: np.ndarray, k: int, probes: int | None):
+        self.dim, self.pivots, self.k = dim, pivots, k
+        self.ids, self.unit = _arrays(ids, units, dim)
+        self.bound = _bounds(self.ids, self.unit, k)
+        self.scores, self.found = np.full((len(self.ids), k), -np.inf), np.zeros((len(self.ids), k), np.int64)
+        self.reach = None
+        if probes is not None and probes < len(pivots):
+            self.reach = np.partition(distances(self.unit, pivots), probes - 1, axis=1)[:, probes - 1]
+
+    def need(self, cell: int, low: float, high: float) -> np.ndarray:
+        """The items that may have one of their nearest in a block of ``cell`` between these distances to its pivot."""
+        own = distances(self.unit, self.pivots[cell : cell + 1])[:, 0]
+        need = (own - self.bound <= high + 1e-9) & (own + self.bound >= low - 1e-9)
+        return np.flatnonzero(need if self.reach is None else need & (own <= self.reach + 1e-9))
+
+    def meet(self, need: np.ndarray, ids: np.ndarray, unit: np.ndarray) -> None:
+        """Take what is nearest in a block into the nearest so far; what is found bounds the rest."""
+        score = _similarity(self.ids[need], self.unit[need], ids, unit)
+        n = min(self.k, len(ids))
+        least = np.maximum(-np.partition(-score, n - 1, axis=1)[:, n - 1], np.maximum(self.scores[need, -1], 1 - self.bound[need] ** 2 / 2))
+        i, j = np.nonzero((score >= least[:, None]) & (score > -np.inf))
+        if not len(i):
+            return
+        fresh = need[np.unique(i)]
+        item = np.concatenate([need[i], np.repeat(fresh, self.k)])
+        value, other = np.concatenate([score[i, j], self.scores[fresh].ravel()]), np.concatenate([ids[j], self.found[fresh].ravel()])
+        order = np.lexsort((other, -value, item))
+        item, value, other = item[order], value[order], other[order]
+        place = np.arange(len(item)) - np.searchsorted(item, item)
+        best = place < self.k
+        self.scores[item[best], place[best]], self.found[item[best], place[best]] = value[best], other[best]
+        last = self.scores[fresh, -1]
+        near = np.sqrt(np.maximum(2 - 2 * np.where(np.isfinite(last), last, -np.inf) + SLACK, 0.0))
+        self.bound[fresh] = np.minimum(self.bound[fresh], near)
+
+
+def _meetings(blocks: DataFrame, pivots: dict[int, np.ndarray], k: int, width: int) -> DataFrame:
+    """The cells (a, b) of a grid: first the blocks of group a as queries (no ``tiles``), then those of group b with the tiles that may need them.
+
+    Blocks are dealt to groups of about GROUP_BYTES, GROUPS at least, so a block is sent at most twice for each group and not for each
+    block that it meets.
+    """
 
     def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -140,25 +186,49 @@ def asked(blocks: DataFrame, pivots: dict[int, np.ndarray], k: int, width: int =
                 for near in range(t - width, t + width + 1):
                     yield pa.record_batch([pa.array([no] * n, pa.int64()), pa.array([g] * n, pa.string()), pa.array([near] * n, pa.int32()), pa.array([dim] * n, pa.int32()), pa.array(range(n), pa.int32()), pa.array(low), pa.array(high)], names=["tile", "g", "t", "dim", "cell", "least", "most"])
 
-    def needing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for no, cell, low, high, dim, ids, units in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                ids, unit = _arrays(ids, units, dim)
-                bound, far = _bounds(ids, unit, k), distances(unit, pivots.get(dim, np.zeros((0, dim))))
-                own = far[:, cell]
-                need = (own - bound <= high + 1e-9) & (own + bound >= low - 1e-9)
-                if probes is not None and probes < far.shape[1]:
-                    need &= own <= np.partition(far, probes - 1, axis=1)[:, probes - 1]
-                if need.any():
-                    yield pa.record_batch([pa.array([no], pa.int64()), pa.array([dim], pa.int32()), *(pa.array([x[need].tobytes()], pa.binary()) for x in (bound, ids, unit))], names=["no", "dim", "bounds", "q_ids", "q_units"])
-
-    wanted = kept(blocks.select("g", "t", "dim", "no", "ids", "units").mapInArrow(ranges, "tile long, g string, t int, dim int, cell int, least double, most double"), "index-ranges")
+    wanted = blocks.select("g", "t", "dim", "no", "ids", "units").mapInArrow(ranges, "tile long, g string, t int, dim int, cell int, least double, most double")
     shells = blocks.select("g", "t", "dim", "cell", "low", "high", "no")
     near = (F.col("low") <= F.col("most") + 1e-9) & (F.col("high") >= F.col("least") - 1e-9)
-    pairs = kept(wanted.join(shells.hint("merge"), ["g", "t", "dim", "cell"]).where(near).select("tile", "no", "cell", "low", "high"), "index-pairs")
-    tiles = blocks.select(F.col("no").alias("tile"), "dim", "ids", "units")
-    both = pairs.join(tiles.hint("merge"), "tile").select("no", "cell", "low", "high", "dim", "ids", "units")
-    return both.mapInArrow(needing, "no long, dim int, bounds binary, q_ids binary, q_units binary")
+    groups = max(GROUPS, -(-(blocks.agg(F.sum(F.octet_length("units").cast("long"))).first()[0] or 0) // GROUP_BYTES))
+    group = lambda c: F.pmod(F.xxhash64(c), F.lit(groups)).cast("int")
+    pairs = wanted.join(shells.hint("merge"), ["g", "t", "dim", "cell"]).where(near)
+    pairs = kept(pairs.groupBy("no", group("tile").alias("a")).agg(F.collect_list("tile").alias("tiles")), "index-pairs").withColumn("b", group("no"))
+    body = blocks.select("no", "dim", "cell", "low", "high", "ids", "units").hint("merge")
+    queries = pairs.select("a", "b", F.explode("tiles").alias("no")).distinct().withColumn("tiles", F.lit(None).cast("array<long>"))
+    met = queries.select("a", "b", "tiles", "no").join(body, "no").unionByName(pairs.select("a", "b", "tiles", "no").join(body, "no"))
+    dealt = met.repartition(3 * groups * groups, "a", "b").sortWithinPartitions("a", "b", F.col("tiles").isNotNull(), "no")
+    return dealt.select("a", "b", "no", "tiles", "dim", "cell", "low", "high", "ids", "units")
+
+
+def _met(batches: Iterator[pa.RecordBatch], pivots: dict[int, np.ndarray], k: int, probes: int | None) -> Iterator[tuple]:
+    """(tile, items, no, ids, vectors) of each tile and block of a cell with items that need it; after each cell its tiles, the rest None."""
+    at, tiles_of = None, {}
+    for batch in batches:
+        for i in range(batch.num_rows):
+            a, b, no, tiles, dim, cell, low, high, ids, units = (c[i].as_py() for c in batch.columns)
+            if (a, b) != at:
+                yield list(tiles_of.values()), None, None, None, None
+                at, tiles_of = (a, b), {}
+            if tiles is None:
+                tiles_of[no] = _Tile(ids, units, dim, pivots.get(dim, np.zeros((0, dim))), k, probes)
+                continue
+            b_ids, unit = _arrays(ids, units, dim)
+            for tile in (tiles_of[t] for t in tiles):
+                need = tile.need(cell, low, high)
+                if len(need):
+                    yield tile, need, no, b_ids, unit
+    yield list(tiles_of.values()), None, None, None, None
+
+
+def asked(blocks: DataFrame, pivots: dict[int, np.ndarray], k: int, width: int = 0, probes: int | None = None) -> DataFrame:
+    """(no, dim, bounds, q_ids, q_units): for each block the items that may have one of their k nearest in it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for tile, need, no, _, _ in _met(batches, pivots, k, probes):
+            if need is not None:
+                yield pa.record_batch([pa.array([no], pa.int64()), pa.array([tile.dim], pa.int32()), *(pa.array([x[need].tobytes()], pa.binary()) for x in (tile.bound, tile.ids, tile.unit))], names=["no", "dim", "bounds", "q_ids", "q_units"])
+
+    return _meetings(blocks, pivots, k, width).mapInArrow(run, "no long, dim int, bounds binary, q_ids binary, q_units binary")
 
 
 def search(items: DataFrame, k: int = 5, genre: str | None = None, tier: str | None = None, width: int = 0, probes: int | None = None, pivots: int | None = None, size: int = BLOCK_ROWS) -> DataFrame:
@@ -173,17 +243,12 @@ def search(items: DataFrame, k: int = 5, genre: str | None = None, tier: str | N
     blocks = blocks_of(rows, centres, size)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for dim, bounds, q_ids, q_units, ids, units in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                (q_ids, q), (b_ids, b), bound = _arrays(q_ids, q_units, dim), _arrays(ids, units, dim), np.frombuffer(bounds, "<f8")
-                score = _similarity(q_ids, q, b_ids, b)
-                n = min(k, len(b_ids))
-                least = np.maximum(-np.partition(-score, n - 1, axis=1)[:, n - 1], 1 - bound * bound / 2)
-                i, j = np.nonzero((score >= least[:, None]) & (score > -np.inf))
-                order = np.lexsort((b_ids[j], -score[i, j], i))
-                i, j = i[order], j[order]
-                best = np.arange(len(i)) - np.searchsorted(i, i) < k
-                yield pa.record_batch({"target_id": q_ids[i[best]], "skin_id": b_ids[j[best]], "similarity": score[i[best], j[best]]})
-
-    met = asked(blocks, centres, k, width, probes).join(blocks.select("no", "ids", "units").hint("merge"), "no")
-    return met.select("dim", "bounds", "q_ids", "q_units", "ids", "units").mapInArrow(compare, "target_id long, skin_id long, similarity double")
+        for tile, need, _, ids, unit in _met(batches, centres, k, probes):
+            if need is not None:
+                tile.meet(need, ids, unit)
+                continue
+            for done in tile:
+                i, j = np.nonzero(done.scores > -np.inf)
+                yield pa.record_batch({"target_id": done.ids[i], "skin_id": done.found[i, j], "similarity": done.scores[i, j]})
+
+    return _meetings(blocks, centres, k, width).mapInArrow(compare, "target_id long, skin_id long, similarity double")
