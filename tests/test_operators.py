@@ -285,3 +285,13 @@ def test_versions_tell_drift(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         versions.read(spark, str(tmp_path / "none"))
     assert isinstance(versions.read(spark, root).schema, T.StructType)
+
+
+def test_answers_are_parsed_once_in_many_tasks(spark):
+    """The plan of the vision queries reads parsed fields from a written table of as many parts as there are shuffle partitions."""
+    from veloria.plans import catalog_queries
+
+    for name in ("quarantine", "palette"):
+        plan = catalog_queries.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert "parse_json" not in plan.lower() and "ParseJson" not in plan, name
+    assert catalog_queries._vision(spark, "/root/testdata/sf0.001").inputFiles().__len__() == 4

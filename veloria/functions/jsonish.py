@@ -10,22 +10,31 @@ SCENES = ("indoor", "outdoor", "abstract")
 DENSITIES = ("low", "mid", "high", "extreme")
 
 
+def once(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` evaluated once a row, however often ``use`` names it: the optimizer doesn't write it out at each place."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def unfenced(text: Column) -> Column:
     """The text without an opening and a closing fence line; a fence that is one line leaves nothing."""
-    text = F.btrim(F.coalesce(text, F.lit("")))
-    fenced = text.startswith("```")
-    no_first = F.when(F.instr(text, "\n") > 0, F.regexp_replace(text, r"^[^\n]*\n", "")).otherwise(F.lit(""))
-    no_last = F.regexp_replace(no_first, r"\n?[ \t]*```[ \t]*$", "")
-    return F.btrim(F.when(fenced, no_last).otherwise(text))
+
+    def cut(text: Column) -> Column:
+        no_first = F.when(F.instr(text, "\n") > 0, F.regexp_replace(text, r"^[^\n]*\n", "")).otherwise(F.lit(""))
+        no_last = F.regexp_replace(no_first, r"\n?[ \t]*```[ \t]*$", "")
+        return F.btrim(F.when(text.startswith("```"), no_last).otherwise(text))
+
+    return once(F.btrim(F.coalesce(text, F.lit(""))), cut)
 
 
 def lenient_json(text: Column) -> Column:
     """The parsed answer: the text itself, else what stands from its first brace to its last; null if neither parses."""
-    body = unfenced(text)
-    inner = F.nullif(F.regexp_extract(body, r"(?s)(\{.*\})", 1), F.lit(""))
-    whole = F.try_parse_json(body)
-    parsed = F.coalesce(F.when(~F.is_variant_null(whole), whole), F.try_parse_json(inner))
-    return F.when(~F.is_variant_null(parsed), parsed)
+    some = lambda v: F.when(~F.is_variant_null(v), v)
+
+    def parsed(body: Column) -> Column:
+        inner = F.nullif(F.regexp_extract(body, r"(?s)(\{.*\})", 1), F.lit(""))
+        return F.coalesce(once(F.try_parse_json(body), some), once(F.try_parse_json(inner), some))
+
+    return once(unfenced(text), parsed)
 
 
 def number_at(value: Column, path: str) -> Column:

@@ -9,6 +9,7 @@ from ..functions import codes, jsonish, text
 from ..operators import catalog, clean, tables
 from ..sources import adapters as A
 from ..sources import contracts, files
+from ..sources.files import kept
 
 
 def _nested(spark: SparkSession, d: str) -> DataFrame:
@@ -230,11 +231,21 @@ def model_run_summary(spark, d):
 
 
 def _vision(spark, d):
-    """Typed fields of the answers that parse, under the names of the feature vector."""
-    rows = A.answers(spark, d).withColumn("v", jsonish.lenient_json(F.col("response"))).where("v IS NOT NULL")
-    number = lambda n: jsonish.number_at(F.col("v"), f"$.{n}")
-    colours = F.try_variant_get("v", "$.dominant_colors", "array<string>")
-    return rows.select("skin_id", "hero_name", jsonish.text_at(F.col("v"), "$.rarity_tier").alias("tier"), jsonish.text_at(F.col("v"), "$.scene_type").alias("scene"), number("character_ratio").alias("ratio"), jsonish.text_at(F.col("v"), "$.effect_density").alias("density"), colours.alias("colours"), number("model_detail").alias("vlm_art_quality"), number("effect_quality").alias("vlm_effect_score"), (number("color_scheme") / 10).alias("vlm_color_harmony"), number("composition").alias("vlm_composition"), jsonish.text_at(F.col("v"), "$.similar").alias("similar"))
+    """Typed fields of the answers that parse, under the names of the feature vector; each answer is parsed once, in tasks of a number of its own, and written."""
+    text_at, number_at = jsonish.text_at, jsonish.number_at
+
+    def fields(v):
+        colours = F.try_variant_get(v, "$.dominant_colors", "array<string>")
+        return F.struct(
+            text_at(v, "$.rarity_tier").alias("tier"), text_at(v, "$.scene_type").alias("scene"), number_at(v, "$.character_ratio").alias("ratio"), text_at(v, "$.effect_density").alias("density"), colours.alias("colours"),
+            number_at(v, "$.model_detail").alias("vlm_art_quality"), number_at(v, "$.effect_quality").alias("vlm_effect_score"), (number_at(v, "$.color_scheme") / 10).alias("vlm_color_harmony"),
+            number_at(v, "$.composition").alias("vlm_composition"), text_at(v, "$.similar").alias("similar"),
+        )
+
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = A.answers(spark, d).repartition(tasks, "skin_id")  # one small file of items is one task's input
+    parsed = rows.select("skin_id", "hero_name", jsonish.once(jsonish.lenient_json(F.col("response")), lambda v: F.when(v.isNotNull(), fields(v))).alias("v"))
+    return kept(parsed, "vision").where("v IS NOT NULL").select("skin_id", "hero_name", "v.*")
 
 
 PARSED = A.ANSWERS + """, vision AS (SELECT skin_id, hero_name, ['勇者','史诗','传说','无双','荣耀典藏','?'][skin_id % 6 + 1] AS tier, ['low','mid','high','extreme'][skin_id % 4 + 1] AS density, CAST((skin_id % 12) || 'e-1' AS DOUBLE) AS ratio,
