@@ -98,3 +98,27 @@ def test_empty_and_odd_rows(spark):
     rows = spark.createDataFrame([(1, None, 1.0, 1.0, 3.0), (1, None, 1.0, 1.0, 3.0), (2, 1.0, None, None, None), (None, 5.0, 1.0, 1.0, 5.0)], "skin_id long, a double, b double, c double, target double")
     (model,), _ = boosting.train(rows, NAMES, settings=s)
     assert model.base == pytest.approx(11 / 3)
+
+
+def test_tasks_do_not_follow_the_rows(spark):
+    """As many tasks as cores, not one for each few thousand rows; histograms of shared codes are those of the features."""
+    rows = spark.range(0, 30_000, 1, 9).select(F.col("id").alias("skin_id"), *[(F.col("id") * i % 97).cast("double").alias(n) for i, n in enumerate(NAMES, 1)], (F.col("id") % 7).cast("double").alias("target"))
+    _, blocks = boosting.train(rows, NAMES, settings=boosting.Settings(rounds=1, depth=1))
+    assert len(blocks.inputFiles()) <= spark.sparkContext.defaultParallelism and sum(r.n for r in blocks.select("n").collect()) == 30_000
+    layout = boosting.Layout.of((tuple(range(31)), (), tuple(range(31)), (1.0,), tuple(range(4)), tuple(range(31))))
+    assert max(layout.sizes) <= boosting.CODES and len(layout.sizes) < 6
+    rng = np.random.default_rng(1)
+    bins, g = np.stack([rng.integers(0, n, 500) for n in layout.bins], axis=1).astype(np.uint8), rng.normal(size=500)
+    codes = layout.codes(bins)
+    got = layout.by_bin([np.bincount(codes[c], g, size) for c, size in enumerate(layout.sizes)], [0, 2, 3, 5], 32)
+    assert np.allclose(got, [np.bincount(bins[:, f], g, 32) for f in (0, 2, 3, 5)])
+    assert all((layout.right(f, 1)[codes[layout.code[f]]] == (bins[:, f] > 1)).all() for f in range(6))
+
+
+def test_learning_rows_take_one_feature_view(spark, monkeypatch):
+    from veloria.plans import score_queries
+
+    built, view = [], score_queries.feature_view
+    monkeypatch.setattr(score_queries, "feature_view", lambda *a: built.append(a) or view(*a))
+    rows = score_queries._learning_rows(spark, "/root/testdata/sf0.001")
+    assert len(built) == 1 and rows.where("target is null").count() == 0 < rows.count()

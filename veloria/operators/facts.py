@@ -144,8 +144,12 @@ def price_history(daily: DataFrame) -> DataFrame:
 
 def listing_facts(listings: DataFrame, as_of: Column, gift: str = "N") -> DataFrame:
     """Per skin, in one grouping: age in days, gifts, reruns and days since the last, as ``release_order``, ``gift_rank`` and ``rerun_stats`` have them."""
-    month = F.to_date(F.date_trunc("month", "listed_at"))
-    per = listings.groupBy("skin_id").agg(F.to_date(F.min("listed_at")).alias("_first"), F.count_if(F.col("flag") == gift).alias("gifts"), F.size(F.collect_set(month)).alias("_months"), F.max(month).alias("_last"))
+    day = F.to_date("listed_at")
+    month = (F.year(day) * 12 + F.month(day) - 1).cast("long")
+    rows = listings.select("skin_id", day.alias("_day"), (F.col("flag") == gift).alias("_gift"), F.floor(month / 64).alias("_span"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(month, F.lit(64)).cast("int")).alias("_bit"))
+    # months are bits of a span of 64: plain sums, where a set of them would be sorted
+    spans = rows.groupBy("skin_id", "_span").agg(F.min("_day").alias("_first"), F.max("_day").alias("_last"), F.count_if("_gift").alias("gifts"), F.bit_or("_bit").alias("_bits"))
+    per = spans.groupBy("skin_id").agg(F.min("_first").alias("_first"), F.sum("gifts").alias("gifts"), F.coalesce(F.sum(F.bit_count("_bits")), F.lit(0)).alias("_months"), F.trunc(F.max("_last"), "month").alias("_last"))
     days = F.when(F.col("_months") > 1, F.datediff(as_of, "_last"))
     return per.select("skin_id", F.datediff(as_of, "_first").alias("age_days"), "gifts", (F.col("_months") - 1).cast("long").alias("rerun_count"), days.alias("days_since_last_rerun"))
 
@@ -183,9 +187,14 @@ def market_trends(listings: DataFrame, skins: DataFrame) -> DataFrame:
     return per.withColumn("change", F.round(F.col("mean_price") - F.lag("mean_price").over(W.partitionBy("genre").orderBy("month")), 4))
 
 
-def scaled_target(skins: DataFrame, spend: DataFrame, premium: DataFrame) -> DataFrame:
-    """Training target: official price (mean spend for gacha skins), raised by a positive resale premium, over the genre's largest."""
-    rows = skins.select("skin_id", "genre", "official_price", "acquisition").join(spend.select("skin_id", "mean_spend"), "skin_id", "left").join(premium.select("skin_id", "resale_premium"), "skin_id", "left")
+def scaled_target(skins: DataFrame, spend: DataFrame | None, premium: DataFrame) -> DataFrame:
+    """Training target: official price (mean spend for gacha skins), raised by a positive resale premium, over the genre's largest.
+
+    Without ``spend`` the skins have their own mean_spend.
+    """
+    if spend is not None:
+        skins = skins.select("skin_id", "genre", "official_price", "acquisition").join(spend.select("skin_id", "mean_spend"), "skin_id", "left")
+    rows = skins.join(premium.select("skin_id", "resale_premium"), "skin_id", "left")
     base = F.when((F.col("acquisition") == "gacha") & F.col("mean_spend").isNotNull(), F.col("mean_spend")).otherwise(F.col("official_price"))
     rows = rows.withColumn("price", base * (1 + F.greatest(F.coalesce("resale_premium", F.lit(0.0)), F.lit(0.0))))
     most = rows.groupBy("genre").agg(F.max("price").alias("most"))

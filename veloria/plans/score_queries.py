@@ -136,17 +136,19 @@ def ahp_weights(spark, d):
     return scoring.ahp_weights(_pairs(spark, d)).select("matrix", "i", "weight", F.abs(F.round("consistency_ratio", 4)).alias("consistency_ratio"))
 
 
-def _targets(spark, d):
-    skins = feature_view(spark, d).select("skin_id", "genre", "official_price", "acquisition")
-    return facts.scaled_target(skins, facts.mean_spend(A.sales(spark, d)), facts.resale(A.listings(spark, d), A.skins(spark, d)))
+def _targets(spark, d, view):
+    """The targets of the view's items; what a buyer spends on the mean is among their features."""
+    skins = view.select("skin_id", "genre", "official_price", "acquisition", F.col("avg_spend_to_obtain").alias("mean_spend"))
+    return facts.scaled_target(skins, None, facts.resale(A.listings(spark, d), A.skins(spark, d)))
 
 
 def target(spark, d):
-    return _targets(spark, d)
+    return _targets(spark, d, feature_view(spark, d))
 
 
 def _learning_rows(spark, d):
-    return kept(feature_view(spark, d).join(_targets(spark, d).select("skin_id", "target"), "skin_id"), "learning")
+    view = feature_table(spark, d)
+    return kept(view.join(_targets(spark, d, view).select("skin_id", "target"), "skin_id"), "learning")
 
 
 def regression_eval(spark, d):
