@@ -295,3 +295,14 @@ def test_answers_are_parsed_once_in_many_tasks(spark):
         plan = catalog_queries.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
         assert "parse_json" not in plan.lower() and "ParseJson" not in plan, name
     assert catalog_queries._vision(spark, "/root/testdata/sf0.001").inputFiles().__len__() == 4
+
+
+def test_peers_have_tasks_by_items(spark, monkeypatch):
+    """However small the file: a task looks at so many items at most, and the pairs of a task are those of its items."""
+    rows = spark.range(0, 3_000, 1, 1).select(F.col("id").alias("skin_id"), F.lit("G").alias("genre"), (F.col("id") % 50).cast("double").alias("official_price"), (F.col("id") % 3).cast("string").alias("hero_name"), F.lit(None).cast("string").alias("series"), F.lit(1).alias("official_tier"))
+    whole = {tuple(r) for r in similar.peers(rows).collect()}
+    monkeypatch.setattr(similar, "TASK_ITEMS", 300, raising=False)
+    found = similar.peers(rows)
+    assert found.rdd.getNumPartitions() == 10
+    assert {tuple(r) for r in found.collect()} == whole and len(whole) == 15_000
+    assert max(found.groupBy(F.spark_partition_id().alias("p")).count().collect(), key=lambda r: r["count"])["count"] < 3_000

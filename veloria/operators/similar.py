@@ -8,8 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..sources.files import kept
-
 from . import index
 
 
@@ -33,6 +31,8 @@ def top(rows: DataFrame, keys: list[str], order: list, k: int) -> DataFrame:
 
 #: The ways in which peers can be alike, alone and together.
 SHARED = ("hero_name", "series", "official_tier")
+#: Items a task of ``peers`` looks at: each becomes seven rows, and these up to 6 pairs each.
+TASK_ITEMS = 50_000
 COMBINATIONS = tuple(c for n in range(1, len(SHARED) + 1) for c in combinations(SHARED, n))
 
 
@@ -42,10 +42,13 @@ def peers(skins: DataFrame, k: int = 5) -> DataFrame:
 
     Whatever is among a skin's k first peers is among the k nearest in price of those that share the same ways or more. So for each
     combination of ways only neighbours are looked at: skins fall into its groups, a group's distinct prices stand in order with the k + 1
-    least ids of each, and each price is compared with the k prices on either side. Output and work grow with the number of skins.
+    least ids of each, and each price is compared with the k prices on either side. Output and work grow with the number of skins, and
+    the number of tasks as well: what a task holds doesn't, though a small file has many skins.
     """
+    tasks = max(1, -(-skins.count() // TASK_ITEMS))
     rows = skins.where(F.col("genre").isNotNull() & F.col("official_price").isNotNull()).withColumn("price", F.round(F.col("official_price").cast("double"), 4))
     ways = F.array(*[F.struct(F.lit(i).alias("combination"), *[(F.col(s) if s in c else F.lit(None)).cast("string").alias(f"_{s}") for s in SHARED], F.lit(len(c)).cast("long").alias("ways")) for i, c in enumerate(COMBINATIONS)])
+    rows = rows.select("skin_id", "genre", "price", *SHARED).repartition(tasks, "skin_id")  # one exchange serves both readers
     rows = rows.select("skin_id", "genre", "price", *SHARED, F.explode(ways).alias("w")).select("skin_id", "genre", "price", "w.*", *SHARED)
     whole = F.lit(False)
     for i, c in enumerate(COMBINATIONS):
@@ -55,7 +58,7 @@ def peers(skins: DataFrame, k: int = 5) -> DataFrame:
         whole = whole | ((F.col("combination") == i) & known)
     names = [f"_{s}" for s in SHARED]
     group = ["combination", "genre", *names]
-    rows = kept(rows.where(whole).select("skin_id", "price", "ways", *group), "peer-groups")
+    rows = rows.where(whole).select("skin_id", "price", "ways", *group)
     few = top(rows.select("skin_id", "price", *group), [*group, "price"], [F.col("skin_id")], k + 1)
     prices = few.groupBy(*group, "price").agg(F.array_sort(F.collect_list("skin_id")).alias("ids"))  # k + 1 ids at most
     around = F.collect_list(F.struct("price", "ids")).over(W.partitionBy(*group).orderBy("price").rowsBetween(-k, k))  # a row a distinct price
@@ -64,7 +67,8 @@ def peers(skins: DataFrame, k: int = 5) -> DataFrame:
     on = F.col("price") == F.col("_price")
     for c in group:
         on = on & F.col(c).eqNullSafe(F.col(f"g{c}"))
-    pairs = rows.join(near.hint("merge"), on).select(F.col("skin_id").alias("target_id"), "ways", F.explode("near").alias("n")).select("target_id", "ways", "n.*").where("target_id <> skin_id")
+    pairs = rows.join(near.hint("merge"), on).select(F.col("skin_id").alias("target_id"), "ways", "near").repartition(tasks, "target_id")  # a target's pairs meet here only: nothing to combine before
+    pairs = pairs.select("target_id", "ways", F.explode("near").alias("n")).select("target_id", "ways", "n.*").where("target_id <> skin_id")
     per = pairs.groupBy("target_id", "skin_id").agg(F.max("ways").alias("ways"), F.min("gap").alias("gap"))
     return top(per, ["target_id"], [F.desc("ways"), F.col("gap"), F.col("skin_id")], k)
 
