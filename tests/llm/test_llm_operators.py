@@ -285,6 +285,18 @@ def test_lines_of_rows_that_share_a_doc_id(spark):
     assert all(list(r.removed_lines) == [1] for r in got if r.doc_id == 7)
 
 
+def test_second_semi_join_of_lines_gets_matched_entries_alone(spark):
+    """Of a similar pair both sets keep the entry of a word that they share; sets that are like none keep no entry."""
+    words = lambda *w: " ".join(f"w{i}" for i in w)
+    texts = {1: words(*range(40)), 2: words(*range(3, 42)), 3: words(*range(100, 140)), 4: words(0, *range(200, 239)), 5: words(*range(300, 306)), 6: words(*range(300, 305))}
+    table = spark.createDataFrame(list(texts.items()), "doc_id long, text string").withColumn("__v_row", F.col("doc_id"))
+    sets = linededup.line_sets(linededup.line_rows(table, linededup.rarity_levels(table), 0.8))
+    rows = linededup.possible_entries(sets, 0.8).join(sets.select("sid", "doc_id"), "sid").select("doc_id", linededup._word("").alias("word")).collect()
+    kept = {d: {r.word for r in rows if r.doc_id == d} for d in texts}
+    assert kept[1] & kept[2] and kept[5] & kept[6] and not kept[3] and not kept[4]
+    assert sorted(r.doc_id for r in linededup.repeated_lines(table.drop("__v_row")).collect() if r.removed_lines) == [2, 6]
+
+
 def test_language_sample_holds_every_language(spark):
     """Few documents in many rows beside a large language, and more labels than a fixed list would hold."""
     rows = [(i % 3 + 4, "ab cd", "few") for i in range(3000)] + [(i, "xy zw", "many") for i in range(100, 3100)] + [(10_000 + i, f"t {i}", f"l{i}") for i in range(900)]

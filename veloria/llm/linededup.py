@@ -8,10 +8,11 @@ Jaccard similarity to its own is ``threshold`` or more.
 2. One pass cuts all lines into words, orders them by (rarity, hash), and writes the first n - ceil(threshold n) + 1 of them, the
    prefix: similar sets share a word of their prefixes. Equal sets fall together by two 64-bit digests of their words' 64-bit
    hashes; the earliest line stands for them. Sets of up to three words are similar to equal ones alone.
-3. A semi join on prefix words leaves sets that have a possible partner by length, by the words' places in the sets and by
-   a 64-bit parity sketch (each differing bit needs a word in which the sets differ). No pairs are listed.
-4. Only for those sets the lines are fetched. A set is verified, on the words themselves, with the earliest set that shares one
-   of its prefix words, and where that one is not similar, with every earlier one in a second semi join.
+3. A semi join on prefix words leaves the entries (set, word) that have a possible partner by a 64-bit parity sketch (each
+   differing bit needs a word in which the sets differ), by length and by the words' places in the sets. No pairs are listed.
+   Both sets of a similar pair keep their entry of the first word that they share.
+4. Only for the sets of those entries the lines are fetched. A set is verified, on the words themselves, with the earliest set
+   that has an entry of one of its words, and where that one is not similar, with every earlier one in a second semi join.
 """
 
 from __future__ import annotations
@@ -59,9 +60,14 @@ def rarity_levels(docs: DataFrame) -> DataFrame:
     return materialise(row.select(F.transform("all", lambda x: F.shiftleft(x["level"].cast("long"), 56)).alias("levels")), "rarity-levels")
 
 
+def _shared(a: Column, b: Column, t: float) -> Column:
+    """The number of words that sets of a and b words must share for a similarity of t, not rounded up."""
+    return (a + b) * F.lit(t / (1 + t)) - F.lit(1e-9)
+
+
 def _needed(a: Column, b: Column, t: float) -> Column:
     """Words that sets of a and b words must share for a similarity of t."""
-    return F.ceil((a + b) * F.lit(t / (1 + t)) - F.lit(1e-9))
+    return F.ceil(_shared(a, b, t))
 
 
 def _prefix(n: Column, t: float) -> Column:
@@ -69,24 +75,33 @@ def _prefix(n: Column, t: float) -> Column:
 
 
 def _sketch(words: Column) -> Column:
-    """A 64-bit word in which each set bit says that an odd number of words chose it."""
-    bit = lambda w: F.shiftright(w, 20).bitwiseAND(F.lit(63)).cast("int")
-    return F.aggregate(words, F.lit(0).cast("long"), lambda acc, w: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), bit(w))))
+    """A 64-bit word in which each set bit says that an odd number of words chose it. A shift looks at six bits of its distance."""
+    return F.aggregate(words, F.lit(0).cast("long"), lambda acc, w: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(w, 33).cast("int"))))
+
+
+def _half_sketch(hashes: Column) -> Column:
+    """The same bits by about half of the words alone; these are the hashes before a rarity has shifted them by a byte."""
+    one = lambda h: F.call_function("shiftleft", F.shiftright(h, 35).bitwiseAND(F.lit(1)), F.shiftrightunsigned(h, 41).cast("int"))
+    return F.aggregate(hashes, F.lit(0).cast("long"), lambda acc, h: acc.bitwiseXOR(one(h)))
+
+
+def _hashes(line: Column) -> Column:
+    """The hashes of a line's distinct words."""
+    return F.array_except(F.transform(_cut(line), lambda w: F.xxhash64(w)), F.array(F.xxhash64(F.lit(""))))
 
 
 def line_rows(docs: DataFrame, levels: DataFrame, t: float) -> DataFrame:
     """One row per line: the text's __v_row, doc_id, hash own, line_no, the set's digests a and b, size n, sketch and prefix (32 bits of each hash)."""
-    hashes = F.array_remove(F.array_distinct(F.transform(_cut(F.col("line")), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
     # hashed below the generator: beside it a text would be hashed once a line
     rows = docs.select("__v_row", F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(_text()).alias("own"), _text().alias("text"))
     rows = rows.select("__v_row", "doc_id", "own", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-    rows = rows.select("__v_row", "doc_id", "own", "line_no", hashes.alias("hashes"), levels.scalar().alias("levels"))
+    rows = rows.select("__v_row", "doc_id", "own", "line_no", _hashes(F.col("line")).alias("hashes"), levels.scalar().alias("levels"))
     # the rarity takes the place of the upper byte; without nulls the sort is one of plain numbers
     ranked = F.transform("hashes", lambda h: F.coalesce(F.get(F.col("levels"), _bucket(h)), F.lit(0).cast("long")).bitwiseOR(F.shiftrightunsigned(h, 8)))
     rows = rows.select("__v_row", "doc_id", "own", "line_no", F.sort_array(ranked).alias("words"))
     rows = rows.select("__v_row", "doc_id", "own", "line_no", "words", F.size("words").alias("n"))
-    prefix = F.transform(F.slice("words", 1, _prefix(F.col("n"), t)), lambda w: w.bitwiseAND(F.lit(0xFFFFFFFF)).cast("long").bitwiseXOR(F.lit(1 << 31)).cast("long") - F.lit(1 << 31))
-    rows = rows.select("__v_row", "doc_id", "own", "line_no", F.xxhash64("words").alias("a"), F.xxhash64(F.lit(7), "words").alias("b"), "n", _sketch(F.col("words")).alias("sketch"), prefix.cast("array<int>").alias("prefix"))
+    prefix = F.transform(F.slice("words", 1, _prefix(F.col("n"), t)), lambda w: F.shiftright(F.shiftleft(w, 32), 32).cast("int"))
+    rows = rows.select("__v_row", "doc_id", "own", "line_no", F.xxhash64("words").alias("a"), F.xxhash64(F.lit(7), "words").alias("b"), "n", _sketch(F.col("words")).alias("sketch"), prefix.alias("prefix"))
     return materialise(rows, "line-rows")
 
 
@@ -96,85 +111,89 @@ def line_sets(rows: DataFrame) -> DataFrame:
     return materialise(sets.withColumn("sid", F.monotonically_increasing_id()), "line-sets")
 
 
-def _fits(n: Column, m: Column, place: Column, other: Column, t: float) -> Column:
-    """Length and positional filter."""
-    return (F.least(n, m) >= F.greatest(n, m) * F.lit(t) - F.lit(1e-9)) & (F.least(n - place, m - other) >= _needed(n, m, t))
+def _near(n: Column, m: Column, place: Column, other: Column, bits: Column, t: float) -> Column:
+    """Sketches, lengths and places allow the similarity. Each word in which the sets differ changes one bit, so ``bits`` is even with n + m."""
+    shared = _shared(n, m, t)
+    return (bits <= n + m - shared * 2) & (m >= n * F.lit(t) - F.lit(1e-9)) & (n >= m * F.lit(t) - F.lit(1e-9)) & (n - place >= shared) & (m - other >= shared)
+
 
+def _word(side: str) -> Column:
+    return F.shiftright(F.col(f"{side}entry"), 32)
 
-def possible_sets(sets: DataFrame, t: float) -> DataFrame:
-    """sid of every set that may have a similar one. An entry is a word with the set's size and its place, in one number."""
+
+def _place(side: str) -> Column:
+    return F.col(f"{side}entry").bitwiseAND(F.lit(_MOST_PLACE))
+
+
+def possible_entries(sets: DataFrame, t: float) -> DataFrame:
+    """(sid, entry) of every entry that may be shared with a similar set. An entry is a word with the set's size and its place, in one number."""
     entries = sets.where(_needed(F.col("n"), F.col("n") + 1, t) <= F.col("n"))
     entries = entries.select("sid", "sketch", F.least(F.col("n"), F.lit(_MOST_WORDS)).cast("long").alias("n"), F.posexplode("prefix").alias("place", "word"))
     entry = F.shiftleft(F.col("word").cast("long"), 32).bitwiseOR(F.shiftleft(F.col("n"), 14)).bitwiseOR(F.least(F.col("place"), F.lit(_MOST_PLACE)).cast("long"))
     entries = entries.select(entry.alias("entry"), "sid", "sketch")
-    word = lambda side: F.shiftright(F.col(f"{side}.entry"), 32)
-    size = lambda side: F.shiftright(F.col(f"{side}.entry"), 14).bitwiseAND(F.lit(_MOST_WORDS))
-    place = lambda side: F.col(f"{side}.entry").bitwiseAND(F.lit(_MOST_PLACE))
-    n, m = size("x"), size("y")
-    differ = n + m - F.lit(2) * _needed(n, m, t)
-    near = (word("x") == word("y")) & (F.col("x.sid") != F.col("y.sid")) & _fits(n, m, place("x"), place("y"), t) & (F.bit_count(F.col("x.sketch").bitwiseXOR(F.col("y.sketch"))) <= differ)
-    return entries.alias("x").join(entries.alias("y").hint("merge"), near, "left_semi").select("sid").distinct()
-
+    size = lambda side: F.shiftright(F.col(f"{side}entry"), 14).bitwiseAND(F.lit(_MOST_WORDS))
+    near = _near(size("x."), size("y."), _place("x."), _place("y."), F.bit_count(F.col("x.sketch").bitwiseXOR(F.col("y.sketch"))), t)
+    near = (_word("x.") == _word("y.")) & near & (F.col("x.sid") != F.col("y.sid"))
+    return entries.alias("x").join(entries.alias("y").hint("merge"), near, "left_semi").select("sid", "entry")
 
-def _wide_sketch(hashes: Column) -> Column:
-    """Two such words of 64 bits, each for half of the words: room for long lines."""
-    bit = lambda w: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(w, 20).bitwiseAND(F.lit(63)).cast("int"))
-    part = lambda k: F.aggregate(F.filter(hashes, lambda w: F.shiftright(w, 26).bitwiseAND(F.lit(1)) == k), F.lit(0).cast("long"), lambda acc, w: acc.bitwiseXOR(bit(w)))
-    return F.struct(*[part(k).alias(f"s{k}") for k in range(2)])
 
-
-def _words_of(docs: DataFrame, held: DataFrame) -> DataFrame:
-    """(sid, m, words, wide) of the sets in ``held``: its distinct words, parted by spaces, and their number.
+def _lines_of(docs: DataFrame, held: DataFrame) -> DataFrame:
+    """(sid, at, n, line, s0, s1) of the sets in ``held``: the line itself and its sketches by either half of the words.
 
     Each text is cut into lines once more, but only the lines asked for into words.
     """
-    by_doc = materialise(held.groupBy(F.col("doc_id").alias("_doc"), F.col("own").alias("_own")).agg(F.collect_list(F.struct("line_no", "sid")).alias("_found")), "possible-documents")
+    found = F.struct("line_no", "sid", "n", "sketch")
+    by_doc = materialise(held.groupBy(F.col("doc_id").alias("_doc"), F.col("own").alias("_own")).agg(F.collect_list(found).alias("_found")), "possible-documents")
     size = by_doc.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("_found")), F.lit(0))).first()
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(_text()).alias("own"), _text().alias("text"))
     rows = rows.join(by_doc.hint(_how(max(size))), F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("own") == F.col("_own")))
     # as a generator's output the lines are cut once a text and not again for each of those found
-    rows = rows.select("_found", F.explode(F.array(F.split("text", "\n", -1))).alias("lines"))
-    rows = rows.select(F.inline(F.transform("_found", lambda f: F.struct(f["sid"].alias("sid"), F.coalesce(F.get(F.col("lines"), f["line_no"]), F.lit("")).alias("line")))))
-    words = rows.select("sid", F.array_remove(F.array_distinct(_cut(F.col("line"))), "").alias("words"))
-    # rows that repeat doc_id and text give the set's words once each
-    words = words.select("sid", "words", F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"))
-    return words.select("sid", F.size("words").alias("m"), F.array_join("words", " ").alias("words"), _wide_sketch(F.col("hashes")).alias("wide"))
+    rows = rows.select("doc_id", "own", "_found", F.explode(F.array(F.split("text", "\n", -1))).alias("lines"))
+    line = lambda f: F.struct(f["line_no"].alias("line_no"), f["sid"].alias("sid"), f["n"].alias("n"), f["sketch"].alias("sketch"), F.coalesce(F.get(F.col("lines"), f["line_no"]), F.lit("")).alias("line"))
+    rows = rows.select("doc_id", "own", F.inline(F.transform("_found", line)))
+    rows = rows.select("sid", F.struct("doc_id", "line_no", "own").alias("at"), "n", "line", "sketch", _half_sketch(_hashes(F.col("line"))).alias("s1"))
+    return rows.select("sid", "at", "n", "line", F.col("sketch").bitwiseXOR(F.col("s1")).alias("s0"), "s1")
+
+
+def _counted(lines: DataFrame) -> DataFrame:
+    """``lines`` with the number m of a line's distinct words; as it can't be null, no test for nulls counts the lines below a join."""
+    return lines.withColumn("m", F.coalesce(F.size(F.array_remove(F.array_distinct(_cut(F.col("line"))), "")), F.lit(0)))
 
 
 def removed_sets(docs: DataFrame, sets: DataFrame, t: float) -> DataFrame:
     """sid of every set that has an earlier similar one."""
-    possible = materialise(possible_sets(sets, t), "possible-lines")
-    held = materialise(sets.drop("sketch").join(possible.hint(_how(possible.count())), "sid", "left_semi"), "possible-sets")
-    words = materialise(_words_of(docs, held), "possible-words")
-    if words.count() > held.count():  # some rows repeat doc_id and text
-        words = materialise(words.groupBy("sid").agg(*[F.min(c).alias(c) for c in words.columns if c != "sid"]), "distinct-words")
-    entries = materialise(held.join(words.select("sid", "wide").hint("merge"), "sid"), "possible-sketches")
-    entries = entries.select("sid", F.struct("doc_id", "line_no", "own").alias("at"), "n", "wide", F.posexplode("prefix").alias("place", "word"))
+    matched = materialise(possible_entries(sets, t), "possible-entries")
+    possible = materialise(matched.select("sid").distinct(), "possible-lines")
+    held = materialise(sets.drop("prefix").join(possible.hint(_how(possible.count())), "sid", "left_semi"), "possible-sets")
+    lines = materialise(_lines_of(docs, held), "possible-words")
+    if lines.count() > held.count():  # rows that repeat doc_id and text give a set's line once each
+        lines = materialise(lines.groupBy("sid").agg(*[F.min(c).alias(c) for c in lines.columns if c != "sid"]), "distinct-words")
+    entries = matched.select("sid", _word("").alias("word"), _place("").alias("place"))
+    entries = materialise(entries.join(lines.drop("line").hint("merge"), "sid"), "possible-sketches")
+    lines = lines.select("sid", "line")
     x, y = (lambda c: F.col(f"x.{c}")), (lambda c: F.col(f"y.{c}"))
-    differ = x("n") + y("n") - F.lit(2) * _needed(x("n"), y("n"), t)
-    near = (y("at") < x("at")) & _fits(x("n"), y("n"), x("place"), y("place"), t) & (sum(F.bit_count(x(f"wide.s{k}").bitwiseXOR(y(f"wide.s{k}"))) for k in range(2)) <= differ)
-    near = (x("word") == y("word")) & (x("sid") != y("sid")) & near  # with sid on both sides one exchange serves both
+    near = _near(x("n"), y("n"), x("place"), y("place"), sum(F.bit_count(x(s).bitwiseXOR(y(s))) for s in ("s0", "s1")), t)
+    near = (x("word") == y("word")) & (x("sid") != y("sid")) & near & (y("at") < x("at"))  # with sid on both sides one exchange serves both
     later = materialise(entries.alias("x").join(entries.alias("y").hint("merge"), near, "left_semi"), "later-lines")
     # an earlier set of one of its words, the first, is the partner of most: verify that one alone
     asked = materialise(later.select("word").distinct(), "later-words")
-    heads = entries.join(asked.hint(_how(asked.count())), "word", "left_semi").groupBy("word").agg(F.min(F.struct("at", "sid", "n", "wide", "place")).alias("head")).select("word", "head.*")
+    heads = entries.join(asked.hint(_how(asked.count())), "word", "left_semi").groupBy("word").agg(F.min(F.struct("at", "sid", "n", "s0", "s1", "place")).alias("head")).select("word", "head.*")
     tried = later.alias("x").join(materialise(heads, "first-lines").alias("y").hint("merge"), near)
     tried = tried.groupBy(x("sid").alias("sid")).agg(F.min(F.struct(y("at").alias("at"), y("sid").alias("sid"))).alias("y")).select("sid", F.col("y.sid").alias("partner"))
     tried = materialise(tried, "tried-lines")
-    words = words.drop("wide")
-    alike = lambda a, b: F.size(F.array_intersect(_cut(a("words")), _cut(b("words")))) >= _needed(a("m"), b("m"), t)
+    alike = lambda a, b: F.size(F.array_remove(F.array_intersect(_cut(a("line")), _cut(b("line"))), "")) >= _needed(a("m"), b("m"), t)
     how = _how(tried.count())
-    own = words.join(tried.hint(how), "sid")
-    other = words.select(F.col("sid").alias("partner"), F.struct("m", "words").alias("y")).join(tried.select("partner").distinct().hint(how), "partner", "left_semi")
-    both = own.select("sid", "partner", F.struct("m", "words").alias("x")).join(other.hint("merge"), "partner")
+    own = _counted(lines.join(tried.hint(how), "sid"))
+    other = _counted(lines.select(F.col("sid").alias("partner"), "line").join(tried.select("partner").distinct().hint(how), "partner", "left_semi"))
+    both = own.select("sid", "partner", F.struct("m", "line").alias("x")).join(other.select("partner", F.struct("m", "line").alias("y")).hint("merge"), "partner")
     found = materialise(both.where(alike(x, y)).select("sid").distinct(), "verified-lines")
     # the others are compared with every earlier set that shares a prefix word
     rest = materialise(later.join(found.hint(_how(found.count())), "sid", "left_anti"), "unverified-lines")
     asked = materialise(rest.select("word").distinct(), "unverified-words")
     partners = entries.join(asked.hint(_how(asked.count())), "word", "left_semi").alias("y")
     partners = materialise(partners.join(rest.alias("x").hint("merge"), near, "left_semi"), "unverified-partners")
-    with_words = lambda e: e.join(words.hint("merge"), "sid")
-    more = with_words(rest).alias("x").join(with_words(partners).alias("y").hint("merge"), near & alike(x, y), "left_semi").select("sid")
+    with_line = lambda e: _counted(e.join(lines.hint("merge"), "sid"))
+    more = with_line(rest).alias("x").join(with_line(partners).alias("y").hint("merge"), near & alike(x, y), "left_semi").select("sid")
     return found.unionAll(more).distinct()
 
 
