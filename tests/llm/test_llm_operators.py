@@ -686,3 +686,23 @@ def test_near_dedup_goes_by_simhash():
     mixed = [[int(v) for v in simhash.wide_fingerprint(one[i : i + 1])] for i in range(3)]
     for word, value in enumerate(simhash.wide_fingerprint(one).tolist()):
         assert all((value >> bit & 1) == (sum(m[word] >> bit & 1 for m in mixed) > 1) for bit in range(64))
+
+
+def test_workers_keep_few_words():
+    """What a worker knows of words from one task to the next is bounded in bytes, for rare and for long words, and changes no result."""
+    import sys
+
+    letters = lambda i: "".join(chr(97 + i // 26**k % 26) for k in range(6)).encode()
+    size = lambda known: sys.getsizeof(known) + sum(sys.getsizeof(k) + sys.getsizeof(v) for k, v in known.items())
+    encoder = tokens.encoder(tokens.tokenizer_path())
+    first = b" ".join(letters(i) for i in range(50))
+    before, ids = jaccard.shingles(first).tolist(), encoder.encode([first])
+    for at in range(0, 450_000, 5000):
+        text = b" ".join(letters(i) for i in range(at, at + 5000))
+        jaccard.shingles(text)
+        encoder.encode([text])
+    for i in range(1000):
+        jaccard.shingles(b"%d" % i * 10_000)
+    assert size(jaccard._words) < 16e6
+    assert size(encoder) + size(encoder.old) < 64e6
+    assert jaccard.shingles(first).tolist() == before and encoder.encode([first]) == ids

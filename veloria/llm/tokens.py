@@ -32,7 +32,8 @@ from .common import materialise, scratch_path
 BLOCK_TOKENS = 2_000_000
 HEADER = struct.Struct("<4sIIQqBII")
 MAGIC = b"VTK1"
-CACHE_WORDS = 400_000
+#: A worker keeps two generations of so many words, from one task to the next.
+CACHE_WORDS = 1 << 17
 CACHED_LENGTH = 64
 
 #: A plain word: letters that are their own normal form in lower case, and marks after them.
