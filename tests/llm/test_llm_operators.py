@@ -706,3 +706,12 @@ def test_workers_keep_few_words():
     assert size(jaccard._words) < 16e6
     assert size(encoder) + size(encoder.old) < 64e6
     assert jaccard.shingles(first).tolist() == before and encoder.encode([first]) == ids
+
+
+def test_white_space_tells_texts_of_one_doc_id_apart(spark):
+    """Texts that differ in a tab alone are different texts: of their equal lines only the earliest stays, whatever doc_id they share."""
+    rows = [(1, "a b c d e f"), (1, "a\tb c d e f"), (2, "a b\rc d e f"), (3, "x\ty\nx y")]
+    got = [(r.doc_id, r.n_lines, list(r.removed_lines)) for r in linededup.repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(got) == [(1, 1, []), (1, 1, [0]), (2, 1, [0]), (3, 2, [1])]
+    levels = linededup.rarity_levels(spark.createDataFrame([(1, "a b\n\na\tc")], "doc_id long, text string")).first().levels
+    assert sum(v != 0 for v in levels) == 4  # a, b, c and the empty line

@@ -36,6 +36,11 @@ def _text() -> Column:
     return F.when(odd, F.translate(text, "\t\x0b\x0c\r", "    ")).otherwise(text)
 
 
+def _own() -> Column:
+    """What tells a text from others of its doc_id."""
+    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+
+
 def _cut(line: Column) -> Column:
     """The line's words in order; runs of spaces leave empty ones. One plain character parts faster than a pattern."""
     return F.split(line, " ", -1)
@@ -52,7 +57,8 @@ def _bucket(word: Column) -> Column:
 
 def rarity_levels(docs: DataFrame) -> DataFrame:
     """One row (levels): for each bucket four times the binary logarithm of the number of words that fell in it, in the upper byte."""
-    words = docs.select(F.explode(F.split(_text(), "\n", -1)).alias("line")).select(F.explode(_cut(F.col("line"))).alias("word"))
+    # cut at once: lines of their own would be copied and decoded once more
+    words = docs.select(F.explode(_cut(F.replace(_text(), F.lit("\n"), F.lit(" ")))).alias("word"))
     counts = words.groupBy(_bucket(F.xxhash64("word")).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
     counts = materialise(counts.select(F.col("bucket").cast("long").alias("bucket"), F.least(F.lit(127), F.round(F.log2("n") * 4) + 1).cast("tinyint").alias("level")), "rarity-counts")
     every = docs.sparkSession.range(BUCKETS).join(counts.hint("merge"), F.col("id") == F.col("bucket"), "left").select("id", F.coalesce("level", F.lit(0).cast("tinyint")).alias("level"))
@@ -93,7 +99,7 @@ def _hashes(line: Column) -> Column:
 def line_rows(docs: DataFrame, levels: DataFrame, t: float) -> DataFrame:
     """One row per line: the text's __v_row, doc_id, hash own, line_no, the set's digests a and b, size n, sketch and prefix (32 bits of each hash)."""
     # hashed below the generator: beside it a text would be hashed once a line
-    rows = docs.select("__v_row", F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(_text()).alias("own"), _text().alias("text"))
+    rows = docs.select("__v_row", F.col("doc_id").cast("long").alias("doc_id"), _own().alias("own"), _text().alias("text"))
     rows = rows.select("__v_row", "doc_id", "own", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
     rows = rows.select("__v_row", "doc_id", "own", "line_no", _hashes(F.col("line")).alias("hashes"), levels.scalar().alias("levels"))
     # the rarity takes the place of the upper byte; without nulls the sort is one of plain numbers
@@ -114,7 +120,8 @@ def line_sets(rows: DataFrame) -> DataFrame:
 def _near(n: Column, m: Column, place: Column, other: Column, bits: Column, t: float) -> Column:
     """Sketches, lengths and places allow the similarity. Each word in which the sets differ changes one bit, so ``bits`` is even with n + m."""
     shared = _shared(n, m, t)
-    return (bits <= n + m - shared * 2) & (m >= n * F.lit(t) - F.lit(1e-9)) & (n >= m * F.lit(t) - F.lit(1e-9)) & (n - place >= shared) & (m - other >= shared)
+    # the first test meets all pairs: one product, what n + m less twice ``shared`` comes to
+    return (bits <= (n + m) * F.lit((1 - t) / (1 + t)) + F.lit(1e-8)) & (m >= n * F.lit(t) - F.lit(1e-9)) & (n >= m * F.lit(t) - F.lit(1e-9)) & (n - place >= shared) & (m - other >= shared)
 
 
 def _word(side: str) -> Column:
@@ -145,10 +152,10 @@ def _lines_of(docs: DataFrame, held: DataFrame) -> DataFrame:
     found = F.struct("line_no", "sid", "n", "sketch")
     by_doc = materialise(held.groupBy(F.col("doc_id").alias("_doc"), F.col("own").alias("_own")).agg(F.collect_list(found).alias("_found")), "possible-documents")
     size = by_doc.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("_found")), F.lit(0))).first()
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(_text()).alias("own"), _text().alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _own().alias("own"), "text")
     rows = rows.join(by_doc.hint(_how(max(size))), F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("own") == F.col("_own")))
     # as a generator's output the lines are cut once a text and not again for each of those found
-    rows = rows.select("doc_id", "own", "_found", F.explode(F.array(F.split("text", "\n", -1))).alias("lines"))
+    rows = rows.select("doc_id", "own", "_found", F.explode(F.array(F.split(_text(), "\n", -1))).alias("lines"))
     line = lambda f: F.struct(f["line_no"].alias("line_no"), f["sid"].alias("sid"), f["n"].alias("n"), f["sketch"].alias("sketch"), F.coalesce(F.get(F.col("lines"), f["line_no"]), F.lit("")).alias("line"))
     rows = rows.select("doc_id", "own", F.inline(F.transform("_found", line)))
     rows = rows.select("sid", F.struct("doc_id", "line_no", "own").alias("at"), "n", "line", "sketch", _half_sketch(_hashes(F.col("line"))).alias("s1"))
